@@ -1,10 +1,63 @@
-"""Stages over ``documents``: quality rules, line dedup, near-duplicate removal, mixing and packing."""
+"""From raw documents to packed sequences: quality rules, line dedup, near-duplicate removal, mixing to target weights, packing.
+
+Each stage reads what its predecessor wrote and returns the columns of documents, but for the last, which returns the pieces
+of the packed sequences.  ORACLE_SQL is None: the estimation, the template tree, the signatures and the linear program have no SQL
+form; ``tests/llm`` holds the stages against plain Python.
+
+Edge cases: a document whose lines all recur across documents is dropped with them, one without a word stays; rows with a null doc_id pass near-duplicate
+removal; of rows that share a doc_id one stays there; an empty table passes all stages.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sextant.llm.line_dedup import drop_recurring_lines
+from sextant.llm.mixing import mix
+from sextant.llm.near_duplicates import near_duplicates
+from sextant.llm.packing import pack
+from sextant.llm.quality_rules import SPACE, judged
+from sextant.llm.shared import new_dir
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = judged(docs, docs.columns, "quality_verdict")
+    return rows.where(F.col("quality_verdict.kept")).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = drop_recurring_lines(docs)
+    cut = F.col("line_dedup")
+    emptied = (cut["n_dropped"] > 0) & (F.length(F.btrim(cut["text"], F.lit(SPACE))) == 0)
+    own = {"text": cut["text"], "n_chars": F.coalesce(F.length(cut["text"]), F.lit(0)).cast("long")}
+    return rows.where(~emptied).select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs, docs.columns).where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = new_dir(spark, f"stage-{name}")
+        found = stage(spark, docs, sf_dir)
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

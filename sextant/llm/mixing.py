@@ -52,46 +52,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     return levels.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``docs(doc_id, text, source)`` to (doc_id, source, size, source_size, target, copies, taken)."""
+def mix(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``docs(doc_id, text, source)`` to the columns ``carry`` in a struct ``row``, and (size, source_size, target, copies, taken)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     text_key = F.coalesce(F.md5("text"), F.lit(""))
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), id_key, text_key)), 1, DIGITS)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**DIGITS)
-    rows = materialise(docs.select("doc_id", "source", size.alias("size"), u.alias("u")), "sizes")
+    # a key without nulls, so that the join and the ranks share one exchange
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = materialise(docs.select(F.struct(*carry).alias("row"), "doc_id", "source", key.alias("key"), size.alias("size"), u.alias("u")), "sizes")
 
-    ranges = 64 + rows.count() // range_rows
-    in_range = F.floor(F.col("u") * ranges).cast("int")
-    sums = rows.groupBy("source", in_range.alias("range")).agg(F.sum("size").alias("range_size"))
-    sums = materialise(sums, "range-sizes")
+    in_range = F.floor(F.col("u") * (64 + rows.count() // range_rows)).cast("int")
+    sums = materialise(rows.groupBy("key", in_range.alias("range")).agg(F.first("source").alias("source"), F.sum("size").alias("range_size")), "range-sizes")
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_copies)
-    below = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("range_base", F.coalesce(F.sum("range_size").over(below), F.lit(0)))
+    targets = targets.withColumn("key", key).drop("source")
+    below = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("key", "range", F.coalesce(F.sum("range_size").over(below), F.lit(0)).alias("range_base"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = (
-        bases.alias("b")
-        .join(targets.alias("t"), F.expr("b.source <=> t.source"))
-        .select("b.source", "range", "range_base", "source_size", "target", rate.alias("rate"))
+        bases.join(targets, "key")
+        .withColumn("rate", rate)
         .withColumn("certain", F.floor(F.col("rate") + 1e-12))
         .withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("certain")))
         .withColumn("lacking", F.col("target") - F.col("certain") * F.col("source_size"))
     )
-    ranked = rows.withColumn("range", in_range).alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source and d.range = p.range"))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p.p") / (1 - F.col("p.p")))
-    ranked = ranked.select("d.doc_id", "d.source", "d.size", "d.u", "d.range", "range_base", "source_size", "target", "certain", "lacking", F.when(F.col("p.p") > 0, odds).alias("odds"))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    ranked = rows.withColumn("range", in_range).join(plan, ["key", "range"]).withColumn("odds", F.when(F.col("p") > 0, odds))
     # the range stands for the leading digits of the odds: within a source these rise with u
-    order = Window.partitionBy("source", "range").orderBy("odds", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key", "range").orderBy("odds", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("range_base") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0
     copies = F.col("certain") + F.when(F.col("odds").isNotNull() & (middle <= F.col("lacking")), 1).otherwise(0)
     found = ranked.withColumn("copies", copies.cast("int"))
-    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return found.select("row", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed: sources weigh 1, 2, 3, repeating, and share all words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mix(docs, ["doc_id", "source"]).select("row.doc_id", "size", "source_size", "target", "taken", "row.source", "copies")
 
 
 OP6_SQL = r"""
