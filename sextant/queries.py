@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import news_queries, posting_queries, signal_queries, text_queries  # noqa: F401  each registers its queries
+from .plans import news_queries, posting_queries, signal_queries, source_queries, state_queries, text_queries  # noqa: F401  each registers its queries
 from .registry import QUERIES, SQL, Query
 
 
