@@ -5,9 +5,9 @@
    later step can change them, so the walk stops early.  The signature is cut into bands.
 2. Texts of one set are one node, whatever their number, so groups of copies meet once.
 3. Nodes that share a band are candidates.  Each bucket is a star: its members are compared with its smallest member, never all with all.
-   First each node meets one such lead, then those leads that the components don't already connect.
-4. Buckets of three and more whose members still lie in several components have their remaining pairs compared, across components only and
-   only where the set sizes allow the similarity.
+4. Buckets of three and more whose members then lie in several components have their remaining pairs compared: across components only,
+   only where the set sizes allow the similarity, and only where the similarities to the bucket's lead do.  Jaccard distance is a metric, so two
+   members whose similarities to the lead differ by more than 0.2 are less than 0.8 alike.
 5. Links count if they hold on the full sets; components come from union-find inside partitions, then contraction rounds.
 
 With 36 bands of 5 rows a pair of similarity 0.8 shares no band with probability 6e-7, and one above that less.
@@ -96,18 +96,20 @@ def _texts_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         yield batch.filter(pa.array(right)).select(["node", "text"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Similarity of each pair's full sets, and whether it links them."""
     last, lead = None, np.zeros(0, np.uint64)
     for batch in batches:
         a, b, texts = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a").to_pylist()
-        held = []
+        found = []
         for first, block in blocks(batch.column("text_b").to_pylist()):
             for i, other in enumerate(shingle_sets(block, k), first):
                 if a[i] != last:
                     last, lead = a[i], shingle_sets([texts[i].encode("utf-8", "surrogatepass")], k)[0]
                 common = len(np.intersect1d(lead, other, assume_unique=True))
-                held.append(100 * common >= percent * (len(lead) + len(other) - common))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(held, pa.bool_()))
+                union = len(lead) + len(other) - common
+                found.append((common / union, 100 * common >= percent * union))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.bool_())], ["a", "b", "j", "linked"])
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,38 +168,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     buckets = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
     # members of shared buckets only; all further steps read this table
     members = materialise(keys.join(buckets, "key").select("key", "node", "n", "lead", "members"), "members")
-    stars = materialise(members.where("node != lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared")), "stars")
-
     chosen = members.select(F.col("node")).distinct().join(nodes.select("node", "digest"), "node")
     joined = texts.join(chosen, texts["doc_id"] == chosen["node"]).select("node", "digest", "text")
     bodies = materialise(joined.mapInArrow(lambda it: _texts_of(it, shingle), "node long, text string").dropDuplicates(["node"]), "candidate-texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         right = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         full = right.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, shingle, percent), "a long, b long"), "links")
-
-    def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs that lie in different components."""
-        at = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-        placed = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        return placed.where("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b")
-
-    # the lead that shares most bands first
-    first = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
-    found = components(first)
-    second = verified(across(stars, found).select("a", "b"))
-    links = first.union(second)
+        return materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _compare(it, shingle, percent), "a long, b long, j double, linked boolean"), "compared")
+
+    stars = compared(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    links = stars.where("linked").select("a", "b")
     found = components(links)
 
-    large = members.where("members > 2").select("key", "node", "n")
-    placed = large.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    large = members.where("members > 2 and node != lead").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "j"), ["lead", "node"])
+    placed = large.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", "j", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = materialise(placed.join(mixed, "key"), "mixed-buckets")
     one, two = left.alias("x"), left.alias("y")
-    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and abs(x.j - y.j) <= {1 - percent / 100 + 1e-9}"
     rest = one.join(two, F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {fits}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = links.union(verified(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")))
+    links = links.union(compared(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")).where("linked").select("a", "b"))
 
     # a row hangs on the node of its set
     hung = signed.where("digest is not null").join(nodes.select("digest", "node"), "digest", "left")
