@@ -96,10 +96,11 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     near = materialise(lines.where(in_bitmap(F.col("leaf"), bitmap_of(shared))).join(shared, "leaf"), "shared-lines")
     dropped = materialise(recurring_lines(near, min_docs).select("h").distinct(), "recurring-lines")
     per_doc = near.select("doc_id", F.xxhash64("line").alias("h")).join(dropped, "h").groupBy("doc_id").agg(F.collect_set("h").alias("line_hashes")).withColumnRenamed("doc_id", "line_doc_id")
+    hashes = per_doc["line_hashes"]
     joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["line_doc_id"]), "left")
-    cut = let(F.split(docs["text"], "\n"), lambda x: let(F.filter(x, lambda v: ~F.array_contains("line_hashes", F.xxhash64(v))), lambda y: F.struct(F.array_join(y, "\n").alias("text"), F.size(x).alias("n_lines"), (F.size(x) - F.size(y)).alias("n_dropped"))))
+    cut = let(F.split(docs["text"], "\n"), lambda x: let(F.filter(x, lambda v: ~F.array_contains(hashes, F.xxhash64(v))), lambda y: F.struct(F.array_join(y, "\n").alias("text"), F.size(x).alias("n_lines"), (F.size(x) - F.size(y)).alias("n_dropped"))))
     whole = F.struct(docs["text"].alias("text"), F.coalesce(F.size(F.split(docs["text"], "\n")), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_dropped"))
-    return joined.select(*(docs[c] for c in docs.columns), F.when(F.col("line_hashes").isNotNull() & docs["text"].isNotNull(), cut).otherwise(whole).alias("line_dedup"))
+    return joined.select(*(docs[c] for c in docs.columns), F.when(hashes.isNotNull() & docs["text"].isNotNull(), cut).otherwise(whole).alias("line_dedup"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
