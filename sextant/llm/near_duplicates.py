@@ -4,13 +4,14 @@
    permutation of the signature's places, and the r-th step offers r plus a random fraction; once all places hold less than r + 1 no
    later step can change them, so the walk stops early.  The signature is cut into bands.
 2. Texts of one set are one node, whatever their number, so groups of copies meet once.
-3. Nodes that share a band are candidates.  Each bucket is a star: its members are compared with its smallest member, never all with all.
+3. Nodes that share a band are candidates.  Each bucket is a star: its members are compared with the one that meets most others, never all with all.
 4. Buckets of three and more whose members then lie in several components have their remaining pairs compared: across components only,
-   only where the set sizes allow the similarity, and only where the similarities to the bucket's lead do.  Jaccard distance is a metric, so two
-   members whose similarities to the lead differ by more than 0.2 are less than 0.8 alike.
+   only where what each shares with the bucket's lead allows: two members can't have more in common than the smaller of their parts inside
+   the lead plus the smaller of their parts outside.  A sketch of two bits from each of 1024 places
+   bars pairs whose agreement lies over five standard deviations below that of a linked pair.
 5. Links count if they hold on the full sets; components come from union-find inside partitions, then contraction rounds.
 
-With 36 bands of 5 rows a pair of similarity 0.8 shares no band with probability 6e-7, and one above that less.
+With 36 bands of 5 rows a pair of similarity 0.8 shares no band with probability 6e-7, and fails the sketch with 3e-7; one above that less.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; fewer words than a shingle are one
 shingle; equal texts, and rows that share a doc_id, are linked; a row with a null doc_id belongs to its copies'
@@ -34,6 +35,8 @@ BANDS = 36
 ROWS = 5
 SHINGLE = 5
 PERCENT = 80
+#: Places of the sketch that candidates get, a multiple of 32.
+SKETCH = 1024
 #: Steps that are worked out from their history; beyond these a text's permutations are kept as a table.
 CHAINED = 8
 
@@ -76,6 +79,18 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each place, 32 places to a 64-bit word."""
+    bits = (mix(signature) & np.uint64(3)).reshape(-1, 32)
+    return np.bitwise_or.reduce(bits << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
+
+
+def least_agreement(places: int, percent: int, deviations: float = 5.0) -> int:
+    """Places that two sketches of linked sets agree in, but for a tail of ``deviations``."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return int(places * p - deviations * (places * p * (1 - p)) ** 0.5)
+
+
 SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
@@ -89,15 +104,19 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (node, digest, text) those whose text has the node's set."""
+    """Of rows (node, digest, text) those whose text has the node's set, with a sketch of the set."""
     for batch in batches:
         own = batch.column("digest").to_pylist()
-        right = [len(x) > 0 and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == own[first + i] for first, block in blocks(batch.column("text").to_pylist()) for i, x in enumerate(shingle_sets(block, k))]
-        yield batch.filter(pa.array(right)).select(["node", "text"])
+        right, sketches = [], []
+        for first, block in blocks(batch.column("text").to_pylist()):
+            for i, x in enumerate(shingle_sets(block, k), first):
+                right.append(len(x) > 0 and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == own[i])
+                sketches.append(sketch(super_minhash(x, SKETCH)) if right[-1] else None)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(sketches, pa.list_(pa.int64()))], ["node", "text", "sketch"]).filter(pa.array(right, pa.bool_()))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Similarity of each pair's full sets, and whether it links them."""
+    """Size of the intersection of each pair's full sets, and whether it links them."""
     last, lead = None, np.zeros(0, np.uint64)
     for batch in batches:
         a, b, texts = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a").to_pylist()
@@ -108,8 +127,8 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
                     last, lead = a[i], shingle_sets([texts[i].encode("utf-8", "surrogatepass")], k)[0]
                 common = len(np.intersect1d(lead, other, assume_unique=True))
                 union = len(lead) + len(other) - common
-                found.append((common / union, 100 * common >= percent * union))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.bool_())], ["a", "b", "j", "linked"])
+                found.append((common, 100 * common >= percent * union))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.bool_())], ["a", "b", "common", "linked"])
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,29 +184,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     with_id = signed.where("digest is not null and doc_id is not null")
     nodes = materialise(with_id.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    # members of shared buckets only; all further steps read this table
-    members = materialise(keys.join(buckets, "key").select("key", "node", "n", "lead", "members"), "members")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # all further steps read the members of shared buckets only
+    shared = materialise(keys.join(buckets, "key").select("key", "node", "n", "members"), "shared-buckets")
+    # the member that meets most others leads: near the middle of its group, it links most and bounds best
+    meets = shared.groupBy("node").agg(F.sum("members").alias("meets"))
+    leads = shared.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("lead"))
+    members = materialise(shared.join(leads, "key"), "members")
+
     chosen = members.select(F.col("node")).distinct().join(nodes.select("node", "digest"), "node")
     joined = texts.join(chosen, texts["doc_id"] == chosen["node"]).select("node", "digest", "text")
-    bodies = materialise(joined.mapInArrow(lambda it: _texts_of(it, shingle), "node long, text string").dropDuplicates(["node"]), "candidate-texts")
+    bodies = materialise(joined.mapInArrow(lambda it: _texts_of(it, shingle), "node long, text string, sketch array<long>").dropDuplicates(["node"]), "candidate-texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         right = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         full = right.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _compare(it, shingle, percent), "a long, b long, j double, linked boolean"), "compared")
+        return materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _compare(it, shingle, percent), "a long, b long, common long, linked boolean"), "compared")
 
     stars = compared(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     links = stars.where("linked").select("a", "b")
     found = components(links)
 
-    large = members.where("members > 2 and node != lead").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "j"), ["lead", "node"])
-    placed = large.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", "j", F.coalesce("component", "node").alias("component"))
+    large = members.where("members > 2 and node != lead").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "common"), ["lead", "node"])
+    placed = large.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", "common", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = materialise(placed.join(mixed, "key"), "mixed-buckets")
+    # a column for each word: primitive, so that Spark compiles the comparison
+    words = bodies.select("node", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 32)))
+    left = materialise(placed.join(mixed, "key").join(words, "node"), "mixed-buckets")
+    differ = " + ".join(f"bit_count(((x.s{k} ^ y.s{k}) | shiftrightunsigned(x.s{k} ^ y.s{k}, 1)) & 6148914691236517205)" for k in range(SKETCH // 32))
+    most = SKETCH - least_agreement(SKETCH, percent)
     one, two = left.alias("x"), left.alias("y")
-    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and abs(x.j - y.j) <= {1 - percent / 100 + 1e-9}"
-    rest = one.join(two, F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {fits}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    at_most = "(least(x.common, y.common) + least(x.n - x.common, y.n - y.common))"
+    fits = f"100 * {at_most} >= {percent} * (x.n + y.n - {at_most})"
+    rest = one.join(two, F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {fits} and {differ} <= {most}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = links.union(compared(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")).where("linked").select("a", "b"))
 
     # a row hangs on the node of its set
