@@ -98,7 +98,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     open_labels = labels.where(~held_out & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     n, good = open_labels.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
     prior = min(0.99, max(0.01, good / n)) if n else 0.5
-    by_hash = lambda df: np.array(df.orderBy(F.xxhash64("doc_id")).select(*MEASURES).limit(max_rows).collect(), np.float64).reshape(-1, len(MEASURES))
+
+    def by_hash(rows: DataFrame) -> np.ndarray:
+        """The first ``max_rows`` by hash; what can't be among them stays out of the tasks' results."""
+        places = 1 << 30
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(places))
+        share = min(1.0, 1.2 * max_rows / max(1, rows.count()))
+        first = rows.withColumn("at", at).where(F.col("at") < int(places * share)).orderBy("at", *MEASURES).limit(max_rows)
+        return np.array(first.select(*MEASURES).collect(), np.float64).reshape(-1, len(MEASURES))
+
     positive = by_hash(measured.join(open_labels.where("quality = 1"), "doc_id", "left_semi"))
     unlabelled = by_hash(measured.where(~held_out))
     if len(positive) and len(unlabelled):
