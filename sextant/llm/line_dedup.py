@@ -6,8 +6,9 @@ variable; lines of the same constants are one template.  A template of mostly co
 from all of them, and so is a line that recurs as it stands.
 
 Copies of a document are one document here: a line's support is the number of different line sets it stands in, each known by
-the smallest leaf hash of its document, and it must be a fair share of the documents with the line.  Groups of copies are left to
-near-duplicate removal.
+a digest of the whole set, and it must be a fair share of the documents with the line.  A near copy has a line set of its own, so the
+documents that mostly consist of lines of other sets are grouped as near-duplicate removal groups them, and a group counts once, else a
+few near copies would lose all they share.  Groups of copies are left to near-duplicate removal.
 
 Only lines in shared leaves move with their text.  A bitmap of fixed size over leaf hashes finds them in the scan, an exact join follows.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_duplicates import near_duplicates
 from .quality_rules import SPACE, let, words
 from .shared import materialise
 
@@ -31,6 +33,8 @@ MIN_DOCS = 5
 CONSTANT = 0.2
 SIMILAR = 0.6
 DIFFERENT = 0.1
+#: Share of a document's characters in lines that stand in other line sets too, from which it may be a near copy.
+COPIED = 0.5
 BITS = 1 << 18
 VARIABLE = "<*>"
 
@@ -43,13 +47,22 @@ def leaf_of(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), *(mask(F.get(tokens, k)) for k in range(depth)))
 
 
+def lines_in(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(text, "\n")), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
+
+
+def set_of(lines: Column) -> Column:
+    """Digest of a whole line set."""
+    return F.xxhash64(F.sort_array(F.transform(lines, lambda x: F.xxhash64(x))))
+
+
 def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc_id, document, line, leaf, tokens): each line of each document once; ``document`` stands for its line set."""
-    split = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    placed = F.transform(split, lambda x: let(words(x), lambda w: F.struct(x.alias("line"), leaf_of(w, depth).alias("leaf"), F.size(w).alias("n"))))
-    both = let(placed, lambda p: F.struct(p.alias("lines"), F.array_min(F.transform(p, lambda x: x["leaf"])).alias("document")))
-    found = docs.where("text is not null").select("doc_id", both.alias("x")).select("doc_id", F.col("x.document").alias("document"), F.explode("x.lines").alias("y"))
-    return found.where(F.col("y.n") >= min_tokens).select("doc_id", "document", "y.line", "y.leaf")
+    """(doc_id, document, chars, line, leaf): each line of each document once; ``document`` stands for its line set of ``chars`` characters."""
+    place = lambda x: let(words(x), lambda w: F.struct(x.alias("line"), leaf_of(w, depth).alias("leaf"), F.size(w).alias("n")))
+    chars = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    both = let(lines_in(F.col("text")), lambda s: F.struct(F.transform(s, place).alias("lines"), set_of(s).alias("document"), chars(s).alias("chars")))
+    found = docs.where("text is not null").select("doc_id", both.alias("x")).select("doc_id", "x.document", "x.chars", F.explode("x.lines").alias("y"))
+    return found.where(F.col("y.n") >= min_tokens).select("doc_id", "document", "chars", "y.line", "y.leaf")
 
 
 def in_bitmap(leaf: Column, bitmap: list[int]) -> Column:
@@ -67,6 +80,20 @@ def bitmap_of(leaves: DataFrame) -> list[int]:
     return found
 
 
+def copies_as_one(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """``lines`` with one ``document`` for all line sets of a group of near copies."""
+    held = lines.select("document", "chars", F.xxhash64("line").alias("h"), F.length("line").alias("n")).distinct()
+    often = held.groupBy("h").agg(F.count("*").alias("sets")).where(F.col("sets") >= min_docs).select("h")
+    copied = held.join(often, "h").groupBy("document").agg(F.sum("n").alias("n"), F.first("chars").alias("chars")).where(F.col("n") >= COPIED * F.col("chars")).select("document")
+    ids = materialise(lines.select("doc_id", "document").distinct().join(copied, "document").select(F.col("doc_id").alias("copy_id")).distinct(), "copied-documents")
+    if ids.isEmpty():
+        return lines
+    marked = docs.where(in_bitmap(F.xxhash64("doc_id"), bitmap_of(ids.select(F.xxhash64("copy_id").alias("leaf")))))
+    texts = marked.join(ids, marked["doc_id"].eqNullSafe(ids["copy_id"]), "left_semi").where("text is not null").select(set_of(lines_in(F.col("text"))).alias("doc_id"), "text")
+    groups = near_duplicates(texts.groupBy("doc_id").agg(F.min("text").alias("text"))).where("doc_id != component_id").select(F.col("doc_id").alias("document"), "component_id")
+    return lines.join(groups, "document", "left").withColumn("document", F.coalesce("component_id", "document")).drop("component_id")
+
+
 def recurring_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """(h, line, template, n_docs): lines of shared leaves that recur, as they stand or by their template."""
     per_set = lines.groupBy("leaf", "line", "document").agg(F.count("*").alias("n"))
@@ -94,7 +121,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     lines = lines_of(docs, depth, min_tokens)
     shared = materialise(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "shared-leaves")
     near = materialise(lines.where(in_bitmap(F.col("leaf"), bitmap_of(shared))).join(shared, "leaf"), "shared-lines")
-    dropped = materialise(recurring_lines(near, min_docs).select("h").distinct(), "recurring-lines")
+    dropped = materialise(recurring_lines(materialise(copies_as_one(docs, near, min_docs), "line-sets"), min_docs).select("h").distinct(), "recurring-lines")
     per_doc = near.select("doc_id", F.xxhash64("line").alias("h")).join(dropped, "h").groupBy("doc_id").agg(F.collect_set("h").alias("line_hashes")).withColumnRenamed("doc_id", "line_doc_id")
     hashes = per_doc["line_hashes"]
     joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["line_doc_id"]), "left")

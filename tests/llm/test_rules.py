@@ -119,3 +119,21 @@ def test_quality_model_on_held_out_rows(spark, docs, no_docs):
 )
 def test_main_text(html, text):
     assert main_text(html) == text
+
+
+def cut_lines(spark, texts):
+    """What line dedup leaves of each text, by its place."""
+    r = [(i, t, "en", "a", *rows()[0][4:]) for i, t in enumerate(texts)]
+    return {x.doc_id: x.cut for x in drop_recurring_lines(spark.createDataFrame(r, SCHEMA)).select("doc_id", F.col("line_dedup.text").alias("cut")).collect()}
+
+
+def test_unlike_documents_count_apart_whatever_lines_they_share(spark):
+    boiler = [f"{w} footer stands below every page." for w in ("First", "Second", "Third", "Fourth")]
+    own = [" ".join(prose(3000 + i, 40).split()) for i in range(20)]
+    assert cut_lines(spark, ["\n".join([x, *boiler]) for x in own]) == dict(enumerate(own))
+
+
+def test_near_copies_keep_the_lines_they_share(spark):
+    body = [" ".join(prose(4000 + k, 30).split()) for k in range(20)]
+    near = ["\n".join([*body[:i], f"{body[i]} but changed", *body[i + 1 :]]) for i in range(20)]
+    assert cut_lines(spark, near) == dict(enumerate(near))
