@@ -6,7 +6,7 @@ variable; lines of the same constants are one template.  A template of mostly co
 from all of them, and so is a line that recurs as it stands.
 
 Copies of a document are one document here: a line's support is the number of different line sets it stands in, each known by
-a digest of the whole set, and it must be a fair share of the documents with the line.  A near copy has a line set of its own, so the
+a digest of the whole set; how many copies there are doesn't matter.  A near copy has a line set of its own, so the
 documents that mostly consist of lines of other sets are grouped as near-duplicate removal groups them, and a group counts once, else a
 few near copies would lose all they share.  Groups of copies are left to near-duplicate removal.
 
@@ -29,10 +29,9 @@ from .shared import materialise
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 5
-#: Least share of a leaf's documents for a constant token, of constant tokens in a template, of different line sets among a line's documents.
+#: Least share of a leaf's documents for a constant token, of constant tokens in a template.
 CONSTANT = 0.2
 SIMILAR = 0.6
-DIFFERENT = 0.1
 #: Share of a document's characters in lines that stand in other line sets too, from which it may be a near copy.
 COPIED = 0.5
 BITS = 1 << 18
@@ -100,7 +99,7 @@ def recurring_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     distinct = materialise(per_set.groupBy("leaf", "line").agg(F.sum("n").alias("docs"), F.count("*").alias("sets")), "distinct-lines")
     tokens = distinct.withColumn("tokens", words(F.col("line")))
 
-    recurs = lambda docs, sets: (F.col(sets) >= min_docs) & (F.col(sets) >= DIFFERENT * F.col(docs))
+    recurs = lambda sets: F.col(sets) >= min_docs
     leaf_docs = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"))
     at_place = tokens.select("leaf", "docs", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("token_docs"))
     # at most 1 / CONSTANT tokens a place
@@ -110,10 +109,10 @@ def recurring_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     named = tokens.join(constants, "leaf", "left").withColumn("constants", F.coalesce("constants", F.array().cast("array<string>"))).withColumn("template", generalised)
     fixed = F.size(F.filter("template", lambda t: t != VARIABLE))
     named = materialise(named.select("leaf", "line", "docs", "sets", F.array_join("template", " ").alias("template"), (fixed >= F.greatest(F.lit(MIN_TOKENS), SIMILAR * F.size("template"))).alias("steady")), "templates")
-    templates = named.where("steady").groupBy("leaf", "template").agg(F.sum("docs").alias("t_docs"), F.sum("sets").alias("t_sets")).where(recurs("t_docs", "t_sets"))
+    templates = named.where("steady").groupBy("leaf", "template").agg(F.sum("docs").alias("t_docs"), F.sum("sets").alias("t_sets")).where(recurs("t_sets"))
     found = named.join(templates, ["leaf", "template"], "left")
     by_template = F.col("t_docs").isNotNull() & F.col("steady")
-    return found.where(by_template | recurs("docs", "sets")).select(F.xxhash64("line").alias("h"), "line", F.when(by_template, F.col("template")).otherwise(F.col("line")).alias("template"), F.when(by_template, F.col("t_docs")).otherwise(F.col("docs")).alias("n_docs"))
+    return found.where(by_template | recurs("sets")).select(F.xxhash64("line").alias("h"), "line", F.when(by_template, F.col("template")).otherwise(F.col("line")).alias("template"), F.when(by_template, F.col("t_docs")).otherwise(F.col("docs")).alias("n_docs"))
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -137,3 +137,10 @@ def test_near_copies_keep_the_lines_they_share(spark):
     body = [" ".join(prose(4000 + k, 30).split()) for k in range(20)]
     near = ["\n".join([*body[:i], f"{body[i]} but changed", *body[i + 1 :]]) for i in range(20)]
     assert cut_lines(spark, near) == dict(enumerate(near))
+
+
+def test_copies_of_one_document_rescue_no_line(spark):
+    boiler = "One footer stands below every page."
+    own = [" ".join(prose(5000 + i, 40).split()) for i in range(12)]
+    found = cut_lines(spark, [f"{own[max(0, i - 300)]}\n{boiler}" for i in range(312)])
+    assert found == {i: own[max(0, i - 300)] for i in range(312)}
