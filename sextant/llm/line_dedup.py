@@ -2,7 +2,8 @@
 
 A line goes down a tree of fixed depth: its token count, then its first tokens, where a token with a digit is a variable.  In a leaf
 that many documents reach, tokens that hold a fair share of the leaf at their place are constant and the rest generalise to a
-variable; lines of the same constants are one template.  A template of mostly constant tokens that recurs across documents is dropped
+variable; lines of the same constants are one template.  The leaf's own leading tokens don't make a template alone: it has a constant
+beyond them, or a digit in every variable's token.  A template of mostly constant tokens that recurs across documents is dropped
 from all of them, and so is a line that recurs as it stands.
 
 Copies of a document are one document here: a line's support is the number of different line sets it stands in, each known by
@@ -93,7 +94,7 @@ def copies_as_one(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame
     return lines.join(groups, "document", "left").withColumn("document", F.coalesce("component_id", "document")).drop("component_id")
 
 
-def recurring_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+def recurring_lines(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
     """(h, line, template, n_docs): lines of shared leaves that recur, as they stand or by their template."""
     per_set = lines.groupBy("leaf", "line", "document").agg(F.count("*").alias("n"))
     distinct = materialise(per_set.groupBy("leaf", "line").agg(F.sum("n").alias("docs"), F.count("*").alias("sets")), "distinct-lines")
@@ -108,7 +109,10 @@ def recurring_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     generalised = F.transform("tokens", lambda t, k: F.when(F.array_contains("constants", F.concat_ws("\x00", k, t)), t).otherwise(F.lit(VARIABLE)))
     named = tokens.join(constants, "leaf", "left").withColumn("constants", F.coalesce("constants", F.array().cast("array<string>"))).withColumn("template", generalised)
     fixed = F.size(F.filter("template", lambda t: t != VARIABLE))
-    named = materialise(named.select("leaf", "line", "docs", "sets", F.array_join("template", " ").alias("template"), (fixed >= F.greatest(F.lit(MIN_TOKENS), SIMILAR * F.size("template"))).alias("steady")), "templates")
+    beyond = F.size(F.filter("template", lambda t, k: (k >= depth) & (t != VARIABLE))) > 0
+    fields = F.size(F.filter("template", lambda t, k: (t == VARIABLE) & ~F.get("tokens", k).rlike("[0-9]"))) == 0
+    steady = (fixed >= F.greatest(F.lit(MIN_TOKENS), SIMILAR * F.size("template"))) & (beyond | fields)
+    named = materialise(named.select("leaf", "line", "docs", "sets", F.array_join("template", " ").alias("template"), steady.alias("steady")), "templates")
     templates = named.where("steady").groupBy("leaf", "template").agg(F.sum("docs").alias("t_docs"), F.sum("sets").alias("t_sets")).where(recurs("t_sets"))
     found = named.join(templates, ["leaf", "template"], "left")
     by_template = F.col("t_docs").isNotNull() & F.col("steady")
@@ -120,7 +124,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     lines = lines_of(docs, depth, min_tokens)
     shared = materialise(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "shared-leaves")
     near = materialise(lines.where(in_bitmap(F.col("leaf"), bitmap_of(shared))).join(shared, "leaf"), "shared-lines")
-    dropped = materialise(recurring_lines(materialise(copies_as_one(docs, near, min_docs), "line-sets"), min_docs).select("h").distinct(), "recurring-lines")
+    dropped = materialise(recurring_lines(materialise(copies_as_one(docs, near, min_docs), "line-sets"), depth, min_docs).select("h").distinct(), "recurring-lines")
     per_doc = near.select("doc_id", F.xxhash64("line").alias("h")).join(dropped, "h").groupBy("doc_id").agg(F.collect_set("h").alias("line_hashes")).withColumnRenamed("doc_id", "line_doc_id")
     hashes = per_doc["line_hashes"]
     joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["line_doc_id"]), "left")

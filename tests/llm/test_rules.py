@@ -144,3 +144,10 @@ def test_copies_of_one_document_rescue_no_line(spark):
     own = [" ".join(prose(5000 + i, 40).split()) for i in range(12)]
     found = cut_lines(spark, [f"{own[max(0, i - 300)]}\n{boiler}" for i in range(312)])
     assert found == {i: own[max(0, i - 300)] for i in range(312)}
+
+
+def test_short_lines_need_more_than_a_common_opening(spark):
+    unlike = [f"I do not {w}" for w in "sing dance cook swim read write paint climb".split()]
+    fields = [f"Number of visits {n}" for n in range(8)]
+    own = [" ".join(prose(7000 + i, 40).split()) for i in range(8)]
+    assert cut_lines(spark, [f"{x}\n{y}\n{z}" for x, y, z in zip(own, unlike, fields, strict=True)]) == {i: f"{x}\n{y}" for i, (x, y) in enumerate(zip(own, unlike, strict=True))}
