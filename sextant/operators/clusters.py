@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected
 from .storage import written
 
 #: Least Jaccard across and inside a domain, least common anchors, window, share that makes an anchor too common, least block for that cut.
@@ -38,22 +39,9 @@ def similar_pairs(items: DataFrame) -> DataFrame:
     return sized.where((F.col("common") >= COMMON) & (F.col("jaccard") >= F.when(F.col("inside"), INSIDE).otherwise(ACROSS))).select("a", "b", "common", "jaccard", "inside")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` to (id, cluster), the smallest id connected: each vertex gives way to its smallest neighbour until no edge is left."""
-    edges = written(edges.select("a", "b"), "edges")
-    found = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("cluster"))
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a")).toDF("v", "w")
-        parents = written(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("parent")), "parents")
-        found = written(found.join(parents, found["cluster"] == parents["v"], "left").select("id", F.coalesce("parent", "cluster").alias("cluster")), "clusters")
-        half = edges.join(parents, edges["a"] == parents["v"]).select(F.col("parent").alias("a"), "b")
-        edges = written(half.join(parents, half["b"] == parents["v"]).select("a", F.col("parent").alias("b")).where("a != b").distinct(), "edges")
-    return found
-
-
 def clustered(items: DataFrame) -> DataFrame:
     """(id, cluster): items without a pair are clusters of their own."""
-    found = connected(similar_pairs(items))
+    found = connected(similar_pairs(items), "cluster")
     return items.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 

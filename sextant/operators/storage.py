@@ -12,7 +12,9 @@ _OWN: list[str] = []
 
 def new_dir(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a test on one machine
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="sextant-own-"))
         base = _OWN[0]
