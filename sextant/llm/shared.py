@@ -1,7 +1,7 @@
 """The folder that driver and executors share, and tables that cut lineage there.
 
-``spark.checkpoint.dir`` names the folder.  Where it is unset (tests on one machine) a folder of
-our own is made.  Tables go there as Parquet through Spark's committed writer, so a lost executor
+``spark.checkpoint.dir`` names the folder.  Where it is unset a local master (tests) gets a folder of
+its own, any other an error.  Tables go there as Parquet through Spark's committed writer, so a lost executor
 costs its running tasks only; binary files are named by task attempt, and only names that
 reach a committed table are ever read.
 """
@@ -20,6 +20,8 @@ def base_dir(spark: SparkSession) -> str:
     """URI of the shared folder."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         import tempfile
 
