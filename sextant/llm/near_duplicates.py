@@ -5,13 +5,11 @@
    later step can change them, so the walk stops early.  The signature is cut into bands.
 2. Texts of one set are one node, whatever their number, so groups of copies meet once.
 3. Nodes that share a band are candidates.  Each bucket is a star: its members are compared with the one that meets most others, never all with all.
-4. Buckets of three and more whose members then lie in several components have their remaining pairs compared: across components only,
-   only where what each shares with the bucket's lead allows: two members can't have more in common than the smaller of their parts inside
-   the lead plus the smaller of their parts outside.  A sketch of two bits from each of 1024 places
-   bars pairs whose agreement lies over five standard deviations below that of a linked pair.
-5. Links count if they hold on the full sets; components come from union-find inside partitions, then contraction rounds.
+4. Buckets of three and more whose members then lie in several components have their remaining pairs compared: across components only, and
+   only where exact bounds on the intersection allow a link (:func:`residual_pairs`).
+5. Links count if they hold on the full sets; components come from union-find inside partitions, then rounds of stars.
 
-With 36 bands of 5 rows a pair of similarity 0.8 shares no band with probability 6e-7, and fails the sketch with 3e-7; one above that less.
+With 36 bands of 5 rows a pair of similarity 0.8 shares no band with probability 6e-7; one above that less.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; fewer words than a shingle are one
 shingle; equal texts, and rows that share a doc_id, are linked; a row with a null doc_id belongs to its copies'
@@ -28,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.operators.components import connected as components
+
 from .shared import materialise
 from .shingles import GOLDEN, blocks, mix, shingle_sets
 
@@ -35,8 +35,10 @@ BANDS = 36
 ROWS = 5
 SHINGLE = 5
 PERCENT = 80
-#: Places of the sketch that candidates get, a multiple of 32.
-SKETCH = 1024
+#: 64-bit words of the bitmap that stands for a set in a mixed bucket.
+WORDS = 32
+#: Members of a block; two blocks are compared at once.
+SPLIT = 1000
 #: Steps that are worked out from their history; beyond these a text's permutations are kept as a table.
 CHAINED = 8
 
@@ -79,18 +81,6 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each place, 32 places to a 64-bit word."""
-    bits = (mix(signature) & np.uint64(3)).reshape(-1, 32)
-    return np.bitwise_or.reduce(bits << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
-
-
-def least_agreement(places: int, percent: int, deviations: float = 5.0) -> int:
-    """Places that two sketches of linked sets agree in, but for a tail of ``deviations``."""
-    p = percent / 100 + (1 - percent / 100) / 4
-    return int(places * p - deviations * (places * p * (1 - p)) ** 0.5)
-
-
 SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
@@ -104,15 +94,34 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (node, digest, text) those whose text has the node's set, with a sketch of the set."""
+    """Of rows (node, digest, text) those whose text has the node's set."""
     for batch in batches:
         own = batch.column("digest").to_pylist()
-        right, sketches = [], []
+        right = []
+        for first, block in blocks(batch.column("text").to_pylist()):
+            right += [len(x) > 0 and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == own[i] for i, x in enumerate(shingle_sets(block, k), first)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text")], ["node", "text"]).filter(pa.array(right, pa.bool_()))
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         for first, block in blocks(batch.column("text").to_pylist()):
-            for i, x in enumerate(shingle_sets(block, k), first):
-                right.append(len(x) > 0 and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == own[i])
-                sketches.append(sketch(super_minhash(x, SKETCH)) if right[-1] else None)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(sketches, pa.list_(pa.int64()))], ["node", "text", "sketch"]).filter(pa.array(right, pa.bool_()))
+            sets = [x.view(np.int64) for x in shingle_sets(block, k)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(block)), lists], ["node", "hashes"])
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, hashes, alone): how many hashes aren't alone, and a bitmap of these."""
+    for batch in batches:
+        sizes, bitmaps = [], []
+        for hashes, alone in zip(batch.column("hashes"), batch.column("alone"), strict=True):
+            own = np.setdiff1d(hashes.values.to_numpy(), alone.values.to_numpy() if alone.is_valid else [], assume_unique=True)
+            bits = np.zeros(64 * WORDS, np.uint8)
+            bits[own.view(np.uint64) >> np.uint64(64 - (64 * WORDS - 1).bit_length())] = 1
+            sizes.append(len(own))
+            bitmaps.append(np.packbits(bits).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.list_(pa.int64()))], ["node", "s", "bitmap"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -131,49 +140,76 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.bool_())], ["a", "b", "common", "linked"])
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a partition as stars around each component's smallest id, in blocks of bounded size."""
+def may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of two blocks that lie in two components and that no bound rules out."""
+    at = lambda name: (x[name][:, None], y[name][None, :])
+    n, s, common = at("n"), at("s"), at("common")
+    least, total = np.minimum(*s), n[0] + n[1]
+    inside, outside = np.minimum(least, np.minimum(*common)), np.minimum(least, np.minimum(n[0] - common[0], n[1] - common[1]))
+    open_ = np.not_equal(*at("component")) & (100 * least >= percent * np.maximum(*n)) & ((100 + percent) * np.minimum(least, inside + outside) >= percent * total)
+    i, j = np.nonzero(open_)
+    bx, by = x["bitmap"][i], y["bitmap"][j]
+    both = np.bitwise_count(bx & by).sum(1, dtype=np.int64)
+    most = np.minimum(x["s"][i] - np.bitwise_count(bx).sum(1, dtype=np.int64), y["s"][j] - np.bitwise_count(by).sum(1, dtype=np.int64)) + both
+    fits = (100 + percent) * most >= percent * (x["n"][i] + y["n"][j])
+    return i[fits], j[fits]
+
 
-    def stars(parent: dict[int, int]) -> pa.RecordBatch:
-        pairs = [(find(parent, x), x) for x in parent]
-        pairs = [(r, x) for r, x in pairs if r != x]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
+BLOCK = ("lead", "lo", "hi", "part", "node", "component", "n", "common", "s")
 
-    def find(parent: dict[int, int], x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    parent: dict[int, int] = {}
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (lead, lo, hi), each such block bounded, to the pairs of a block that may be linked."""
+
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in BLOCK}
+        return own | {"bitmap": batch.column("bitmap").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)}
+
+    def pairs(block: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        one = block["part"] == block["lo"][0]
+        other = one if block["lo"][0] == block["hi"][0] else ~one
+        y = {c: v[other] for c, v in block.items()}
+        for first in range(0, int(one.sum()), 64):
+            x = {c: v[one][first : first + 64] for c, v in block.items()}
+            i, j = may_link(x, y, percent)
+            a, b = np.minimum(x["node"][i], y["node"][j]), np.maximum(x["node"][i], y["node"][j])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held: dict[str, np.ndarray] | None = None
     for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            a, b = find(parent, a), find(parent, b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(parent) > 2_000_000:
-            yield stars(parent)
-            parent = {}
-    yield stars(parent)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` to (id, component), the smallest id connected; ids without an edge are left out.
-
-    After union-find in each partition, every vertex is replaced by its smallest neighbour until no edge is left: connections stay, and
-    the smallest id of a component stays itself.
+        if not batch.num_rows:
+            continue
+        rows = columns(batch)
+        held = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        new = (held["lead"][1:] != held["lead"][:-1]) | (held["lo"][1:] != held["lo"][:-1]) | (held["hi"][1:] != held["hi"][:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield from pairs({c: v[a:b] for c, v in held.items()})
+        held = {c: v[cuts[-1] :] for c, v in held.items()}
+    if held is not None:
+        yield from pairs(held)
+
+
+def residual_pairs(placed: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """``placed(key, lead, node, n, common, component)`` and ``bodies(node, text)`` to the pairs (a, b) of buckets that lie in two components and may be linked.
+
+    The buckets of one lead are compared as one, so that a pair meets once for each lead it shares.  All bounds are exact.  A shingle that stands in one node
+    of these alone is common to no pair; a node with too many of them has no link.  Of the others, what the two bitmaps show to be in one
+    set only is not common; nor can two nodes have more in common than the smaller of their parts inside the lead plus the smaller of
+    their parts outside.  Members of a lead are split into blocks of about ``SPLIT``; each pair of blocks is compared in one task.
     """
-    edges = materialise(edges.select("a", "b").mapInArrow(_union_find, "a long, b long"), "edges")
-    found = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("component"))
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        parents = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("parent")).withColumnRenamed("a", "v"), "parents")
-        found = materialise(found.join(parents, found["component"] == parents["v"], "left").select("id", F.coalesce("parent", "component").alias("component")), "components")
-        half = edges.join(parents, edges["a"] == parents["v"]).select(F.col("parent").alias("a"), "b")
-        whole = half.join(parents, half["b"] == parents["v"]).select("a", F.col("parent").alias("b")).where("a != b")
-        edges = materialise(whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().mapInArrow(_union_find, "a long, b long"), "edges")
-    return found
+    several = lambda rows, by: rows.groupBy(by).agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("held")).where("first < last").select(by, "held")
+    mixed = materialise(placed.join(several(placed, "key"), "key").select("lead", "node", "n", "common", "component").distinct(), "mixed-buckets")
+    sets = materialise(bodies.join(mixed.select("node").distinct(), "node", "left_semi").mapInArrow(lambda it: _sets_of(it, k), "node long, hashes array<long>"), "mixed-sets")
+    once = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
+    alone = once.groupBy("node").agg(F.collect_list("h").alias("alone"))
+    outlines = sets.join(alone, "node", "left").select("node", "hashes", "alone").mapInArrow(_outline, "node long, s long, bitmap array<long>")
+    open_ = materialise(mixed.join(outlines, "node").where(f"100 * s >= {percent} * n"), "open-buckets")
+    left = open_.join(several(open_, "lead"), "lead").withColumn("parts", F.expr(f"1 + held div {SPLIT}")).withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
+    dealt = left.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    blocks_ = dealt.select(*BLOCK, "bitmap").repartition("lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi")
+    return blocks_.mapInArrow(lambda it: _block_pairs(it, percent), "a long, b long").where("a < b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -194,7 +230,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     chosen = members.select(F.col("node")).distinct().join(nodes.select("node", "digest"), "node")
     joined = texts.join(chosen, texts["doc_id"] == chosen["node"]).select("node", "digest", "text")
-    bodies = materialise(joined.mapInArrow(lambda it: _texts_of(it, shingle), "node long, text string, sketch array<long>").dropDuplicates(["node"]), "candidate-texts")
+    bodies = materialise(joined.mapInArrow(lambda it: _texts_of(it, shingle), "node long, text string").dropDuplicates(["node"]), "candidate-texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         right = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -205,18 +241,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = stars.where("linked").select("a", "b")
     found = components(links)
 
-    large = members.where("members > 2 and node != lead").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "common"), ["lead", "node"])
-    placed = large.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", "common", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    # a column for each word: primitive, so that Spark compiles the comparison
-    words = bodies.select("node", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 32)))
-    left = materialise(placed.join(mixed, "key").join(words, "node"), "mixed-buckets")
-    differ = " + ".join(f"bit_count(((x.s{k} ^ y.s{k}) | shiftrightunsigned(x.s{k} ^ y.s{k}, 1)) & 6148914691236517205)" for k in range(SKETCH // 32))
-    most = SKETCH - least_agreement(SKETCH, percent)
-    one, two = left.alias("x"), left.alias("y")
-    at_most = "(least(x.common, y.common) + least(x.n - x.common, y.n - y.common))"
-    fits = f"100 * {at_most} >= {percent} * (x.n + y.n - {at_most})"
-    rest = one.join(two, F.expr(f"x.key = y.key and x.node < y.node and x.component != y.component and {fits} and {differ} <= {most}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "common")
+    large = members.where("members > 2 and node != lead").join(met, ["lead", "node"])
+    placed = large.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "lead", "node", "n", "common", F.coalesce("component", "node").alias("component"))
+    rest = residual_pairs(placed, bodies, shingle, percent)
     links = links.union(compared(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")).where("linked").select("a", "b"))
 
     # a row hangs on the node of its set
