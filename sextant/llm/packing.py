@@ -65,16 +65,16 @@ def price(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarra
     return counts, float(best[size])
 
 
-def greedy_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def greedy_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """A first solution of little waste: longest first, filled up with the longest that fit, until one length is used up.
 
-    Each pattern holds a length that no later one holds, so the patterns are a basis.
+    Each pattern holds a length that no later one holds (the third part names its place), so the patterns are a basis.
     """
     m = len(lengths)
     left = demand.astype(np.float64).copy()
     at = {int(x): k for k, x in enumerate(lengths)}
     open_ = np.ones(m, bool)
-    patterns, amounts = [], []
+    patterns, amounts, own = [], [], []
     longest = m - 1
     while len(patterns) < m:
         while longest >= 0 and not open_[longest]:
@@ -100,12 +100,24 @@ def greedy_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np
         open_[gone] = False
         patterns.append(counts)
         amounts.append(times)
-        for k in gone[1:]:  # used up at once: a pattern of its own, used no times
+        own.append(int(gone[0]))
+        for k in gone[1:].tolist():  # used up at once: a pattern of its own, used no times
             counts = np.zeros(m)
             counts[k] = size // lengths[k]
             patterns.append(counts)
             amounts.append(0.0)
-    return np.array(patterns).reshape(m, m), np.array(amounts)
+            own.append(k)
+    return np.array(patterns).reshape(m, m), np.array(amounts), own
+
+
+def basis_inverse(patterns: np.ndarray, own: list[int]) -> np.ndarray:
+    """Inverse of a greedy basis: triangular once lengths are in the order of ``own``, so rows are substituted from the last."""
+    inverse = np.zeros_like(patterns)
+    for i in range(len(own) - 1, -1, -1):
+        row = -np.einsum("k,kj->j", patterns[i][(others := np.flatnonzero(patterns[i]))], inverse[others])
+        row[i] += 1
+        inverse[own[i]] = row / patterns[i, own[i]]
+    return inverse
 
 
 def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, max_pivots: int = MAX_PIVOTS, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +126,15 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, max_pi
     Revised simplex from the greedy basis.  Stops when no column improves, at a relative gap to
     the bound sum(duals * demand) / best price, or after ``max_pivots`` pivots; any stop leaves a valid solution.
     """
-    patterns, amounts = greedy_basis(lengths, demand, size)
-    inverse = np.linalg.inv(patterns.T)
+    patterns, amounts, own = greedy_basis(lengths, demand, size)
+    inverse = basis_inverse(patterns, own).T.copy()
     for _ in range(max_pivots):
         duals = inverse.sum(0)
         counts, value = price(duals, lengths, size)
-        if value <= 1 + 1e-9 or amounts.sum() <= (1 + gap) * max((duals @ demand) / value, lengths @ demand / size):
+        if value <= 1 + 1e-9 or amounts.sum() <= (1 + gap) * max((duals * demand).sum() / value, (lengths * demand).sum() / size):
             break
-        step = inverse @ counts
+        used = np.flatnonzero(counts)
+        step = (inverse[:, used] * counts[used]).sum(1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, amounts / step, np.inf)
         out = int(ratio.argmin())

@@ -1,10 +1,10 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
-from sextant.llm.packing import Plan, pack
+from sextant.llm.packing import Plan, basis_inverse, greedy_basis, pack
 from sextant.llm.shared import new_dir
 from sextant.llm.token_files import read_token_files, write_token_files
 from sextant.llm.tokens import ChunkEncoder, default_vocabulary
@@ -66,7 +66,8 @@ def test_packing_holds_each_id_once(docs):
         assert sum(p.length for p in by_doc[i]) == len(ids) * len(same)
         for p in by_doc[i]:
             assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
-        assert sorted(p.start + k for p in by_doc[i] for k in (0,)) == sorted([p.start for p in by_doc[i]])
+        times = Counter(k for p in by_doc[i] for k in range(p.start, p.start + p.length))
+        assert times == dict.fromkeys(range(len(ids)), len(same))
     assert held(pieces) <= 0.02 * sum(p.length for p in pieces)
 
 
@@ -74,6 +75,14 @@ def test_packing_of_nothing(no_docs):
     assert pack(no_docs).count() == 0
 
 
+def test_the_greedy_basis_is_inverted_by_substitution():
+    r = random.Random(3)
+    lengths = np.array(sorted(r.sample(range(1, 64), 30)))
+    patterns, _, own = greedy_basis(lengths, np.array([float(r.randint(1, 50)) for _ in lengths]), 64)
+    product = (patterns[:, :, None] * basis_inverse(patterns, own)[None]).sum(1)
+    assert np.abs(product - np.eye(30)).max() < 1e-9
+
+
 def test_plans_hold_any_histogram():
     r = random.Random(2)
     cases = [{}, {1: 1}, {1023: 7}, {600: 500}, {512: 3, 511: 3, 2: 1}, {k: r.randint(1, 9) for k in range(1, 1024)}, {k: 1 for k in range(1, 1024, 7)}]
