@@ -1,13 +1,13 @@
 """Media columns: WAV bytes in a binary column, spectra, and time-coded spectral-peak fingerprints.
 
 A media value is a one-channel WAV file of 8-bit samples written by the ``wave`` module.  Features come from
-the stored bytes: frames of 192 samples, a Hann window and a short-time Fourier transform; in each frame the local maxima over
-frequency that exceed their neighbour frames too are peaks; each peak is paired with the next peaks in time, and a pair
+the stored bytes as read back from the written table: frames of 192 samples that overlap by half, a Hann window and a short-time Fourier transform;
+in each frame the local maxima over frequency that exceed their neighbour frames too are peaks; each peak is paired with the next peaks in time, and a pair
 (frequency, frequency, distance) with the anchor's frame is one fingerprint.  The array holds ``frame << 32 | pair``, in time
 order.
 
 Edge cases: a null or empty payload is padded to one block of blanks, so no media value is empty; a null
-media value has null features; silence has no peaks and an empty array; equal payloads have equal media, arrays and features;
+media value has null features; repeated rows are apart but alike, an empty table gives no rows, other columns are ignored; silence has no peaks and an empty array; equal payloads have equal media, arrays and features;
 very long payloads go through frame blocks of fixed size.
 """
 
@@ -24,7 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 BLOCK = 192
+#: Samples from one frame to the next.
+HOP = 96
 FAN = 3
 REACH = 8
 FRAMES = 8192
@@ -49,7 +53,7 @@ def from_wav(media: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, frequency bin) of the spectral peaks, in time order: the strongest bin among its neighbours in time and frequency, above the frame's mean."""
-    frames = samples.reshape(-1, BLOCK)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, BLOCK)[::HOP]
     window = np.hanning(BLOCK).astype(np.float32)
     found = []
     for at in range(0, len(frames), FRAMES):
@@ -128,6 +132,6 @@ def op7_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` as WAV payloads; ``feature`` is the number of fingerprints and a digest of the time-coded array."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     payloads = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("payload"))
-    found = media_features(media_column(payloads))
+    found = media_features(materialise(media_column(payloads), "media"))
     feature = F.concat_ws(":", F.size("fingerprints").cast("string"), F.md5(F.array_join(F.col("fingerprints").cast("array<string>"), ",")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
