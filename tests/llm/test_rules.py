@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm.html_text import main_text
+from sextant.llm.html_text import extract_main_text, main_text
 from sextant.llm.line_dedup import drop_recurring_lines
 from sextant.llm.mixing import mix
 from sextant.llm.quality_model import score_quality
@@ -121,6 +121,41 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+LONG = "A paragraph of the article that is long enough to be dense, as most of them are on such a page."
+TEMPLATES = [
+    '<div class="layout has-sidebar"><div id="menu"><a href="/">Home</a></div><div class="body"><h2>Head</h2><p>{0}</p><p>{0}</p></div></div>',
+    '<div class="page no-comments"><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul><div><h2>Head</h2><p>{0}</p><p>{0}</p></div><div class="comments"><p>{0}</p></div></div>',
+    '<div id="top"><a href="/">Home</a></div><div class="post-related-content"><h2>Head</h2><p>{0}</p><p>{0}</p></div>',
+    '<table><tr><td><a href="/a">One</a><br><a href="/b">Two</a></td><td><h2>Head</h2><p>{0}</p><p>{0}</p></td></tr></table>',
+    '<body><h2>Head</h2><p>{0}</p><p>{0}</p><div><ul><li><a href="/a">More one</a></li><li><a href="/b">More two</a></li></ul></div>',
+    '<div class="related"><article><h2>Head</h2><p>{0}</p><p>{0}</p></article></div>',
+    '<article><div class="post-header"><h2>Head</h2></div><p>{0}</p><p>{0}</p><section class="replies"><article><p>{0}</p></article></section><div><a href="/x">Next page</a> <a href="/y">Last page</a></div></article>',
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_articles_of_other_templates(template):
+    assert main_text(template.format(LONG)) == f"Head {LONG} {LONG}"
+
+
+def test_the_threshold_decides():
+    page = TEMPLATES[3].format(LONG)
+    assert main_text(page, cut=0.0) == f"One Two Head {LONG} {LONG}" != main_text(page)
+    inside = TEMPLATES[6].format(LONG)
+    assert main_text(inside, cut=0.0).endswith("Next page Last page") and not main_text(inside).endswith("page Last page")
+    short = f"<article><p>{LONG}</p><ul><li>One</li><li>Two</li></ul></article>"
+    assert main_text(short) == f"{LONG} One Two"
+
+
+def test_pages_of_a_table(spark):
+    long = "<p>" + "word " * 200_000 + "</p>"
+    pages = [(1, "u", None), (2, None, f"<article><p>{LONG}</article>"), (2, None, f"<article><p>{LONG}</article>"), (3, "v", long), (None, "w", "")]
+    frame = spark.createDataFrame([(*x, "t", 5) for x in pages], "page_id long, url string, html string, text string, n_chars int")
+    found = sorted(extract_main_text(frame).collect(), key=lambda x: x.page_id or 0)
+    assert [(x.page_id, x.url, x.n_chars) for x in found] == [(None, "w", 0), (1, "u", 0), (2, None, len(LONG)), (2, None, len(LONG)), (3, "v", 999_999)]
+    assert all(x.n_chars == len(x.text) for x in found) and extract_main_text(frame.limit(0)).count() == 0
+
+
 def cut_lines(spark, texts):
     """What line dedup leaves of each text, by its place."""
     r = [(i, t, "en", "a", *rows()[0][4:]) for i, t in enumerate(texts)]
