@@ -2,15 +2,18 @@
 
 A source's target is its share by weight of all sizes, at most ``max_copies`` times its own size, what is cut off being
 shared out again by weight.  The rate target / size gives each document of the source floor(rate) certain whole copies.  The fraction that is left
-is sampled at fixed size: documents are ranked by random odds over inclusion odds, u / (1 - u) over p / (1 - p), and taken in
-that order as long as the middle of the document lies below what the source still lacks.
+is sampled at fixed size with unequal probabilities: a document's inclusion leans towards long texts, as the square root of its size class (powers of two),
+so that fragments are what a mix leaves out first; a class whose probability would exceed one is certain.  Documents are ranked by random
+odds over inclusion odds, u / (1 - u) over p / (1 - p), and taken in that order as long as the middle of the document lies below
+what the source still lacks.
 
-A rank over a whole source would put a source in one task.  The random number is cut into ranges first; sums per
-(source, range) give each range the size before it, and ranks are only taken inside a range.
+A rank over a whole source would put a source in one task.  The quotient of odds is cut into ranges first; sums per
+(source, range) give each range the size before it, and ranks are only taken inside a range.  Sources, their size classes and their ranges are
+small tables; the sources pass through one task for their weights and levels, a row each, which bears millions of sources.
 
 Edge cases: null or empty texts have size 0 and take 0; a null source is a source of its own, after the others;
-rows that repeat an id and a text are apart but alike, ties go by id and size; an empty table gives no rows; other columns are
-ignored.  All is DataFrame code; the random number is a hash of seed, id and text, so reruns agree.
+rows that repeat an id and a text are apart but alike, ties go by random number, id and size; an empty table gives no rows; other columns are
+ignored; very long texts are counted whole.  All is DataFrame code; the random number is a hash of seed, id and text, so reruns agree.
 """
 
 from __future__ import annotations
@@ -52,6 +55,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     return levels.withColumn("target", target).select("source", "source_size", "target")
 
 
+def class_plans(classes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``classes(key, class, class_size)`` and ``targets(key, source_size, target)`` to the certain copies, what the source lacks and p of each class.
+
+    p is level * sqrt(2 ** class), at most 1, and the sizes times p come to what is lacking.  From the largest class on, a class is certain if the
+    level that those after it leave would bring it to 1.
+    """
+    lean = F.expr("sqrt(cast(shiftleft(1L, class) as double))")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = classes.join(targets, "key").withColumn("lean", lean).withColumn("certain", F.floor(rate + 1e-12))
+    rows = rows.withColumn("lacking", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size")))
+    order = Window.partitionBy("key").orderBy(F.desc("class"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("lacking") - F.coalesce(F.sum("class_size").over(before), F.lit(0))
+    rows = rows.withColumn("level", left / F.greatest(F.lit(1.0), F.sum(F.col("lean") * F.col("class_size")).over(after)))
+    rows = rows.withColumn("sure", F.col("lean") * F.col("level") >= 1)
+    # the level of the largest class that is not sure holds for all below it
+    level = F.max_by("level", F.when(~F.col("sure"), F.col("class"))).over(Window.partitionBy("key"))
+    p = F.when(F.col("sure"), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("lean") * level))
+    return rows.withColumn("p", p).select("key", "class", "source_size", "target", "certain", "lacking", "p")
+
+
 def mix(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``docs(doc_id, text, source)`` to the columns ``carry`` in a struct ``row``, and (size, source_size, target, copies, taken)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -62,28 +86,23 @@ def mix(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = WEIGHTS, m
     # a key without nulls, so that the join and the ranks share one exchange
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     rows = materialise(docs.select(F.struct(*carry).alias("row"), "doc_id", "source", key.alias("key"), size.alias("size"), u.alias("u")), "sizes")
-
-    in_range = F.floor(F.col("u") * (64 + rows.count() // range_rows)).cast("int")
-    sums = materialise(rows.groupBy("key", in_range.alias("range")).agg(F.first("source").alias("source"), F.sum("size").alias("range_size")), "range-sizes")
-    targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_copies)
-    targets = targets.withColumn("key", key).drop("source")
+    rows = rows.withColumn("class", F.length(F.bin("size")) - 1)
+
+    classes = materialise(rows.groupBy("key", "class").agg(F.first("source").alias("source"), F.sum("size").alias("class_size"), F.count("*").alias("n")), "class-sizes")
+    targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), weights, max_copies)
+    plans = materialise(class_plans(classes, targets.withColumn("key", key).drop("source")), "plans")
+    n_ranges = 64 + (classes.agg(F.sum("n")).first()[0] or 0) // range_rows
+    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
+    placed = rows.join(plans, ["key", "class"]).withColumn("odds", F.when(F.col("p") > 0, odds))
+    # of the odds' share of 1: evenly filled where p is one half, never decreasing with the odds
+    placed = placed.withColumn("range", F.coalesce(F.floor(F.col("odds") / (1 + F.col("odds")) * n_ranges).cast("int"), F.lit(n_ranges)))
+    sums = placed.groupBy("key", "range").agg(F.sum("size").alias("range_size"))
     below = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("key", "range", F.coalesce(F.sum("range_size").over(below), F.lit(0)).alias("range_base"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = (
-        bases.join(targets, "key")
-        .withColumn("rate", rate)
-        .withColumn("certain", F.floor(F.col("rate") + 1e-12))
-        .withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("certain")))
-        .withColumn("lacking", F.col("target") - F.col("certain") * F.col("source_size"))
-    )
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = rows.withColumn("range", in_range).join(plan, ["key", "range"]).withColumn("odds", F.when(F.col("p") > 0, odds))
-    # the range stands for the leading digits of the odds: within a source these rise with u
+    bases = materialise(sums.select("key", "range", F.coalesce(F.sum("range_size").over(below), F.lit(0)).alias("range_base")), "range-bases")
     order = Window.partitionBy("key", "range").orderBy("odds", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("range_base") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0
     copies = F.col("certain") + F.when(F.col("odds").isNotNull() & (middle <= F.col("lacking")), 1).otherwise(0)
-    found = ranked.withColumn("copies", copies.cast("int"))
+    found = placed.join(bases, ["key", "range"]).withColumn("copies", copies.cast("int"))
     return found.select("row", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -107,13 +126,27 @@ levels as (
 capped as (select *, 3 * source_size * remains_weight <= weight * remains as is_capped from levels),
 level as (select arg_min(remains / remains_weight, place) as height from capped where not is_capped),
 targets as (select source, source_size, case when is_capped then (3 * source_size)::double else weight * (select height from level) end as target from capped),
-rates as (select *, case when source_size > 0 then target / source_size else 0 end as rate from targets),
-plans as (select *, floor(rate + 1e-12) as certain, greatest(0, rate - floor(rate + 1e-12)) as p from rates),
+classes as (select source, length(bin(size)) - 1 as class, sum(size)::bigint as class_size from sized group by all),
+lacks as (
+  select c.*, t.source_size, t.target, sqrt((1::bigint << class::int)::double) as lean,
+    floor(case when t.source_size > 0 then t.target / t.source_size else 0 end + 1e-12) as certain,
+    greatest(0, t.target - floor(case when t.source_size > 0 then t.target / t.source_size else 0 end + 1e-12) * t.source_size) as lacking
+  from classes c join targets t on c.source is not distinct from t.source),
+class_levels as (
+  select *, (lacking - coalesce(sum(class_size) over (partition by source order by class desc rows between unbounded preceding and 1 preceding), 0))
+    / greatest(1, sum(lean * class_size) over (partition by source order by class desc rows between current row and unbounded following)) as own_level
+  from lacks),
+sure as (select *, lean * own_level >= 1 as is_sure from class_levels),
+plans as (
+  select *, case when is_sure then 1 else greatest(0, lean * max_by(own_level, case when not is_sure then class end) over (partition by source)) end as p
+  from sure),
+odds as (
+  select d.*, r.source_size, r.target, r.certain, r.lacking, case when r.p > 0 then (d.u / (1 - d.u)) * ((1 - r.p) / r.p) end as odds
+  from sized d join plans r on d.source is not distinct from r.source and length(bin(d.size)) - 1 = r.class),
 ranked as (
-  select d.doc_id, d.source, d.size, r.source_size, r.target, r.certain, r.p,
-    coalesce(sum(d.size) over (partition by d.source order by d.u, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) + d.size / 2.0 as middle
-  from sized d join plans r on d.source is not distinct from r.source)
-select doc_id, size, source_size, target, (certain + case when p > 0 and middle <= target - certain * source_size then 1 else 0 end)::int as copies,
-  (size * (certain + case when p > 0 and middle <= target - certain * source_size then 1 else 0 end))::bigint as taken, source
+  select *, coalesce(sum(size) over (partition by source order by odds nulls last, u, doc_id, size rows between unbounded preceding and 1 preceding), 0) + size / 2.0 as middle
+  from odds)
+select doc_id, size, source_size, target, (certain + case when odds is not null and middle <= lacking then 1 else 0 end)::int as copies,
+  (size * (certain + case when odds is not null and middle <= lacking then 1 else 0 end))::bigint as taken, source
 from ranked
 """
