@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, docs.columns).where("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    return mix(docs, docs.columns).where("copies > 0").select(F.explode(F.sequence(F.lit(1), "copies")).alias("copy_of_row"), "row").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
