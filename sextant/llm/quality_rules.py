@@ -30,26 +30,27 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 THRESHOLD = 0.5
 ITERATIONS = 60
-#: Rule: a measure, the range of it that votes quality (None: the rule finds junk only) and the range that votes junk; it abstains elsewhere.
-RULES: dict[str, tuple[str, tuple[float, float] | None, tuple[float, float]]] = {
-    "symbols": ("n_symbols / n_words", None, (0.25, math.inf)),
-    "repeats": ("n_repeat_words / n_words", None, (0.35, math.inf)),
-    "stutter": ("n_stutter / n_words", None, (0.15, math.inf)),
-    "capitals": ("n_upper / word_chars", None, (0.4, math.inf)),
-    "shouting": ("n_marks / n_words", None, (0.25, math.inf)),
-    "bars": ("n_bars / n_words", None, (0.15, math.inf)),
-    "lines": ("n_dup_lines / n_lines", None, (0.4, math.inf)),
-    "lengths": ("word_chars / n_words", (2.5, 14.0), (22.0, math.inf)),
-    "sentences": ("n_stops / n_words", (0.01, 0.34), (math.inf, math.inf)),
+#: ASCII characters that aren't letters.
+OTHERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\"
+#: Rule: a measure, the range of it that votes quality and the range that votes junk; it abstains elsewhere.
+RULES: dict[str, tuple[str, tuple[float, float], tuple[float, float]]] = {
+    "symbols": ("n_symbols / n_words", (0.0, 0.05), (0.25, math.inf)),
+    "letters": ("n_others / word_chars", (0.0, 0.1), (0.2, math.inf)),
+    "repeats": ("n_repeat_words / n_words", (0.0, 0.15), (0.35, math.inf)),
+    "stutter": ("n_stutter / n_words", (0.0, 0.02), (0.15, math.inf)),
+    "capitals": ("n_upper / word_chars", (0.0, 0.12), (0.4, math.inf)),
+    "shouting": ("n_marks / n_words", (0.0, 0.03), (0.25, math.inf)),
+    "bars": ("n_bars / n_words", (0.0, 0.01), (0.15, math.inf)),
+    "lines": ("n_dup_lines / n_lines", (0.0, 0.1), (0.3, math.inf)),
+    "lengths": ("word_chars / n_words", (3.0, 10.0), (14.0, math.inf)),
+    "sentences": ("n_stops / n_words", (0.02, 0.25), (0.0, 0.01)),
+    "variety": ("n_distinct / n_words", (0.5, 1.0), (0.0, 0.35)),
 }
-#: First guess of the estimation: P(vote | junk) and P(vote | quality), and the share of quality text.
-FIRST = {-1: (0.2, 0.0005), 1: (0.4, 0.6)}
-FIRST_QUALITY = 0.7
-#: What is known of a rule beforehand: it votes junk on no more than this share of quality text.  Without it two classes could
-#: settle on any two kinds of text.
-FALSE_ALARMS = 0.0005
-#: Pseudo-counts that keep an estimate off 0 and 1.
-SMOOTHING = 1.0
+#: Beforehand: P(vote | junk) and P(vote | quality), and the share of quality text.  They start the estimation and weigh as
+#: much as BEFOREHAND of each class, so that the classes are junk and quality and not any two kinds of text.
+FIRST = {-1: (0.3, 0.01), 1: (0.5, 0.9)}
+FIRST_QUALITY = 0.8
+BEFOREHAND = 0.05
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -92,7 +93,7 @@ def measures(text: Column) -> Column:
     def of_words(w: Column) -> Column:
         stops = F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(".", "!", "?")))
         stutter = F.size(F.filter(w, lambda x, k: F.coalesce(F.get(w, k - 1) == x, F.lit(False))))
-        return F.struct(F.size(w).alias("n_words"), stutter.alias("n_stutter"), stops.alias("n_stops"), repeated_words(w).alias("n_repeat_words"))
+        return F.struct(F.size(w).alias("n_words"), stutter.alias("n_stutter"), stops.alias("n_stops"), F.size(F.array_distinct(w)).alias("n_distinct"), repeated_words(w).alias("n_repeat_words"))
 
     with_words = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     n = F.length(t)
@@ -101,6 +102,7 @@ def measures(text: Column) -> Column:
         let(with_words, lines).alias("l"),
         without(SPACE).alias("word_chars"),
         (n - without(SYMBOLS)).alias("n_symbols"),
+        (n - without(OTHERS)).alias("n_others"),
         (n - without("!")).alias("n_marks"),
         (n - without("|")).alias("n_bars"),
         F.regexp_count(t, F.lit("\\p{Lu}")).alias("n_upper"),
@@ -114,7 +116,7 @@ def counted(docs: DataFrame, name: str = "quality_counts") -> DataFrame:
     """Adds a struct column of the counts (long), the base verdict and each rule's vote: -1 junk, 1 quality, 0 abstains."""
     m = docs.withColumn(name, measures(F.col("text")))
     c = F.col(name)
-    flat = {k: c["w"][k] for k in ("n_words", "n_stutter", "n_stops", "n_repeat_words")} | {k: c["l"][k] for k in ("n_lines", "n_dup_lines")} | {k: c[k] for k in ("word_chars", "n_symbols", "n_marks", "n_bars", "n_upper")}
+    flat = {k: c["w"][k] for k in ("n_words", "n_stutter", "n_stops", "n_distinct", "n_repeat_words")} | {k: c["l"][k] for k in ("n_lines", "n_dup_lines")} | {k: c[k] for k in ("word_chars", "n_symbols", "n_others", "n_marks", "n_bars", "n_upper")}
     m = m.withColumn(name, F.struct(*(v.cast("long").alias(k) for k, v in flat.items())))
     failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED * c["n_words"])
 
@@ -122,8 +124,7 @@ def counted(docs: DataFrame, name: str = "quality_counts") -> DataFrame:
         measure, quality, (bad_lo, bad_hi) = RULES[rule]
         over, under = (c[x] for x in measure.split(" / "))
         value = F.when(under > 0, over / under)
-        good = value.between(*quality) if quality else F.lit(False)
-        return F.when(value.between(bad_lo, bad_hi), -1).when(good, 1).otherwise(0).cast("tinyint").alias(rule)
+        return F.when(value.between(bad_lo, bad_hi), -1).when(value.between(*quality), 1).otherwise(0).cast("tinyint").alias(rule)
 
     return m.withColumn(name, F.struct(*(c[k].alias(k) for k in flat), failed.alias("base_failed"), F.struct(*map(vote, RULES)).alias("votes")))
 
@@ -132,27 +133,26 @@ Odds = list[dict[int, tuple[float, float]]]
 
 
 def first_odds() -> Odds:
-    return [{v: FIRST[v] for v in votes} | {0: tuple(1 - sum(FIRST[v][k] for v in votes) for k in (0, 1))} for votes in ((-1, 1) if good else (-1,) for _, good, _ in RULES.values())]
+    return [FIRST | {0: tuple(1 - FIRST[-1][k] - FIRST[1][k] for k in (0, 1))} for _ in RULES]
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[float, Odds]:
     """EM over (votes, count): the share of quality text, and for each rule, P(vote | junk) and P(vote | quality)."""
     share, first = FIRST_QUALITY, first_odds()
     odds = first
+    known = BEFOREHAND * sum(count for _, count in patterns)
     for _ in range(iterations):
         weights = [(votes, count, posterior(votes, share, odds)) for votes, count in patterns]
-        good = sum(count * q for _, count, q in weights)
-        bad = sum(count * (1 - q) for _, count, q in weights)
-        share = (good + SMOOTHING * FIRST_QUALITY) / (good + bad + SMOOTHING)
-        odds = []
-        for j, start in enumerate(first):
-            sums = {v: [SMOOTHING * x for x in p] for v, p in start.items()}
-            for votes, count, q in weights:
-                sums[votes[j]][0] += count * (1 - q)
-                sums[votes[j]][1] += count * q
-            own = {v: (x[0] / (bad + SMOOTHING), x[1] / (good + SMOOTHING)) for v, x in sums.items()}
-            over = max(0.0, own[-1][1] - FALSE_ALARMS)
-            odds.append(own | {-1: (own[-1][0], own[-1][1] - over), 0: (own[0][0], own[0][1] + over)})
+        sums = [{v: [known * (1 - FIRST_QUALITY) * p[0], known * FIRST_QUALITY * p[1]] for v, p in start.items()} for start in first]
+        bad, good = known * (1 - FIRST_QUALITY), known * FIRST_QUALITY
+        for votes, count, q in weights:
+            bad += count * (1 - q)
+            good += count * q
+            for own, v in zip(sums, votes, strict=True):
+                own[v][0] += count * (1 - q)
+                own[v][1] += count * q
+        share = good / (good + bad)
+        odds = [{v: (x[0] / bad, x[1] / good) for v, x in own.items()} for own in sums]
     return share, odds
 
 
@@ -170,7 +170,7 @@ def judged(docs: DataFrame, columns: list[str], name: str = "quality_counts", th
     x = F.lit(math.log(share / (1 - share)))
     for rule, o in zip(RULES, odds, strict=True):
         gain = {v: math.log(p[1] / p[0]) for v, p in o.items()}
-        x = x + F.when(votes[rule] == -1, gain[-1]).when(votes[rule] == 1, gain.get(1, 0.0)).otherwise(gain[0])
+        x = x + F.when(votes[rule] == -1, gain[-1]).when(votes[rule] == 1, gain[1]).otherwise(gain[0])
     probability = 1 / (1 + F.exp(-x))
     kept = ~F.col(name)["base_failed"] & (probability >= threshold)
     return rows.withColumn(name, F.col(name).withField("probability", probability).withField("kept", kept))

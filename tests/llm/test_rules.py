@@ -8,7 +8,7 @@ from sextant.llm.html_text import extract_main_text, main_text
 from sextant.llm.line_dedup import drop_recurring_lines
 from sextant.llm.mixing import mix
 from sextant.llm.quality_model import score_quality
-from sextant.llm.quality_rules import COUNTS, estimate, judged
+from sextant.llm.quality_rules import COUNTS, estimate, judged, posterior
 
 from .conftest import SCHEMA, prose, rows
 
@@ -41,9 +41,23 @@ def test_quality_of_nothing(no_docs):
 
 
 def test_estimation_separates_agreeing_rules():
-    clean, bars, loud = (0, 0, 0, 0, 0, 0, 0, 1, 1), (-1, 0, 0, 0, 0, -1, 0, 1, 1), (0, -1, 0, -1, -1, 0, 0, 1, 0)
-    share, odds = estimate([(clean, 900), (bars, 50), (loud, 50)])
-    assert 0.8 < share < 0.97 and odds[0][-1][0] > odds[0][-1][1]
+    clean, bars, loud = (1,) * 11, (-1, 1, 1, 1, 1, 1, -1, 1, 1, 0, 1), (1, -1, -1, 1, -1, -1, 1, 1, 1, 1, -1)
+    noisy, alone = (1, 1, 1, 1, 1, 1, 1, -1, 1, 1, 1), (1, 1, 1, 1, 1, 1, 1, 1, 1, -1, 1)
+    share, odds = estimate([(clean, 900), (bars, 50), (loud, 50), (noisy, 60), (alone, 1)])
+    assert 0.85 < share < 0.95 and odds[0][-1][0] > odds[0][-1][1]
+    # one junk vote of a rule that errs often is overruled by the others; where rules agree, it isn't
+    assert odds[7][-1][1] > 0.03 and posterior(noisy, share, odds) > 0.9 and posterior(clean, share, odds) > 0.99
+    assert posterior(bars, share, odds) < 0.01 and posterior(loud, share, odds) < 0.01
+
+
+def test_the_posterior_overrules_one_junk_vote(spark):
+    plain = [prose(i, 120) for i in range(120)]
+    twice = [f"{x}\n" + "Read\nNext\nBack\n" * 2 for x in plain[:12]]  # short lines repeat, nothing else is wrong
+    junk = [" ".join(f"{w}### |" for w in prose(900 + i, 120).split()) for i in range(30)]
+    r = [(i, t, "en", "a", *rows()[0][4:]) for i, t in enumerate([*plain[12:], *twice, *junk])]
+    found = {x.doc_id: x for x in judged(spark.createDataFrame(r, SCHEMA), ["doc_id"], "v").select("doc_id", "v.*").collect()}
+    assert all(found[i].kept for i in range(120)) and not any(found[i].kept for i in range(120, 150))
+    assert all(found[i].votes["lines"] == -1 for i in range(108, 120))
 
 
 def test_mixing_comes_near_its_targets(spark, docs):
@@ -69,6 +83,14 @@ def test_mixing_edge_cases(docs, no_docs):
     assert mix(no_docs, ["doc_id"]).count() == 0
 
 
+def test_long_documents_are_likelier_in_a_mix(spark):
+    r = [(i, "w " * (4 if i % 2 else 64), "en", "ab"[i % 4 // 2], *rows()[0][4:]) for i in range(2000)]
+    taken = mix(spark.createDataFrame(r, SCHEMA), ["source"], weights=(1, 3)).where("row.source = 'a'").groupBy("size").agg(F.avg("copies").alias("rate")).collect()
+    rate = {x["size"]: x["rate"] for x in taken}
+    # the square root of the size classes makes them four times as likely
+    assert rate[64] / rate[4] == pytest.approx(4, rel=0.3)
+
+
 def test_targets_stop_at_three_times_a_source(spark):
     r = [(i, "w " * n, "en", s, *rows()[0][4:]) for i, (s, n) in enumerate([("a", 1000), ("b", 10), ("c", 5), ("d", 400)])]
     found = {x.source: x.target for x in mix(spark.createDataFrame(r, SCHEMA), ["source"]).select("row.source", "target").collect()}
