@@ -16,8 +16,10 @@ NUMBER = "(?i)[0-9]+(?:[.,][0-9]+)*x[0-9]+(?:[.,][0-9]+)*|[0-9][0-9.,]*"
 STOP_WORDS_PT = "a ao aos as à às com como da das de del desde do dos e ele ela eles elas em entre era essa esse esta este eu foi foram há isso isto já lhe mais mas me mesmo meu minha muito na nas nem no nos nós não num numa o os ou para pela pelas pelo pelos por porque qual quando que quem se sem ser seu sua são só sobre também te tem têm ter teu tua um uma uns umas vai ver você após ante até contra diz disse pode vão deve ainda apos sao nao ja ha so apenas antes depois durante veja saiba entenda confira leia agora hoje ontem anos ano dia dias novo nova".split()
 STOP_WORDS_EN = "the an and or but if of on in to for with without from by at as is are was were be been being it its this that these those he she they them his her their we you your our not no yes has have had will would can could should may might must do does did more most new how why what when where who which about after before over under into out up down than then there here all some one two says said say just now get gets via amid set sets".split()
 STOP_WORDS = STOP_WORDS_PT + STOP_WORDS_EN
-#: Named character references.
-ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Character references by name and number, in their order; the ampersand comes after all numbers.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#039;": "'", "&#34;": '"', "&#034;": '"', "&#8217;": "\u2019", "&#8216;": "\u2018", "&#8220;": "\u201c", "&#8221;": "\u201d", "&#8211;": "\u2013", "&#8212;": "\u2014", "&#160;": " "}
+#: Further names that pages use.
+MORE_ENTITIES = {"&copy;": "©", "&middot;": "·"}
 
 
 def strip_accents(c: Column) -> Column:
@@ -70,10 +72,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(common, F.size(a) + F.size(b) - common), F.lit(0.0))
 
 
+def _code_point(digits: Column, base: int) -> Column:
+    """The character of a number, nothing outside Unicode; beyond the basic plane a pair of halves, as UTF-16 has it."""
+    n = F.conv(F.when(F.length(digits) <= 8, digits), base, 10).try_cast("long")
+    high, low = F.lit(0xD800) + F.shiftright(n - 0x10000, 10), F.lit(0xDC00) + (n - 0x10000) % 0x400
+    utf16 = lambda c: F.lpad(F.hex(c), 4, "0")
+    units = F.when(n < 0x10000, utf16(n)).otherwise(F.concat(utf16(high), utf16(low)))
+    return F.when((n > 0) & (n < 0x110000), F.decode(F.unhex(units), "UTF-16BE")).otherwise("")
+
+
+def _numbered(c: Column, mark: str, digits: str, base: int) -> Column:
+    """Splits at the mark and turns the number at the head of each piece into its character."""
+    cut = F.split(c, mark, -1)
+    piece = lambda p: F.when(p.rlike(f"^{digits};"), F.concat(_code_point(F.regexp_extract(p, f"^({digits});", 1), base), F.regexp_replace(p, f"^{digits};", ""))).otherwise(F.concat(F.lit("&#x" if base == 16 else "&#"), p))
+    return F.when(F.size(cut) > 1, F.concat(F.get(cut, 0), F.array_join(F.transform(F.slice(cut, 2, F.greatest(F.lit(1), F.size(cut) - 1)), piece), ""))).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
-    for name, letter in ENTITIES.items():  # the ampersand last: &amp;lt; stays a reference
-        c = F.replace(c, F.lit(name), F.lit(letter))
-    return c
+    """Named, decimal and hexadecimal references; the ampersand last: &amp;lt; stays a reference."""
+    whole = c
+    for name, letter in (ENTITIES | MORE_ENTITIES).items():
+        c = F.regexp_replace(c, f"(?i){name}", letter)
+    c = _numbered(_numbered(c, "&#(?![xX])", "[0-9]+", 10), "(?i)&#x", "[0-9a-fA-F]+", 16)
+    return F.when(whole.contains("&"), F.regexp_replace(c, "(?i)&amp;", "&")).otherwise(whole)
 
 
 def strip_tags(c: Column) -> Column:

@@ -78,24 +78,6 @@ def j19_calendar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.calendar(spark, "1995-01-01", "2001-12-31").join(n, "d", "left").select("d", "holiday", "business", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
-@query(f"with {POSTINGS} select id, case when regexp_matches(kind, 'URGENT') then 'aberto' when regexp_matches(kind, 'HIGH') then 'revogado' when regexp_matches(kind, 'MEDIUM') then 'andamento' else 'aberto' end as situation from postings")
-def g09_situation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("kind")
-    return postings(spark, sf_dir).select("id", F.when(k.rlike("URGENT"), "aberto").when(k.rlike("HIGH"), "revogado").when(k.rlike("MEDIUM"), "andamento").otherwise("aberto").alias("situation"))
-
-
-@query("select doc_id as id from documents where regexp_matches(lower(text), 'license|rights') and regexp_matches(text, '[0-9]') and not regexp_matches(text, '@')")
-def g02_regex_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.lower(t).rlike("license|rights") & t.rlike("[0-9]") & ~t.rlike("@")).select(F.col("doc_id").alias("id"))
-
-
-@query("select doc_id as id, len(regexp_extract_all(text, '[0-9]{3,}'))::int as n_numbers from documents where len(regexp_extract_all(text, '[0-9]{3,}')) >= 2")
-def g11_ambiguous_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.regexp_count("text", F.lit("[0-9]{3,}"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), n.alias("n_numbers")).where("n_numbers >= 2")
-
-
 @query("select source, count(*) as n from documents where lower(text) like '%worthless%' or lower(text) like '%pathetic%' or lower(text) like '%idiot%' group by source")
 def g17_leaked_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(*map(F.lit, ("worthless", "pathetic", "idiot")))

@@ -66,11 +66,6 @@ def g16_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(spark, sf_dir).where("published between date '1997-01-01' and date '1997-12-31'").select("id", "org", "published")
 
 
-@query(f"with {POSTINGS} select id, org from postings where org is not null and not regexp_matches(lower(kind), 'low') and uf = 'BRAZIL' or uf like 'NATION_1%'")
-def g03_market_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).where((F.col("org").isNotNull() & ~F.lower("kind").rlike("low") & (F.col("uf") == "BRAZIL")) | F.col("uf").startswith("NATION_1")).select("id", "org")
-
-
 @query(f"with {POSTINGS} select 'kind' as dim, kind as value, count(*) as n from postings group by kind union all select 'uf', uf, count(*) from postings group by uf union all select 'track', track, count(*) from postings group by track union all select 'degree', coalesce(degree, 'sem titulação'), count(*) from postings group by 2 union all select 'month', strftime(published, '%Y-%m'), count(*) from postings group by 2")
 def a02_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five one-dimensional counts in one pass."""

@@ -89,12 +89,20 @@ def f14_registered_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(c: str) -> str:
-    for name, letter in text.ENTITIES.items():
+    for name, letter in (text.ENTITIES | text.MORE_ENTITIES | {"&amp;": "&"}).items():
         quoted = letter.replace("'", "''")
         c = f"replace({c}, '{name}', '{quoted}')"
     return c
 
 
+@query("select o_orderkey as id, 'a' || chr((o_orderkey % 500 + 200)::int) || chr((o_orderkey % 300 + 128512)::int) || ' < \u201cx\u201d &lt; && ' || chr((o_orderkey % 90 + 33)::int) || '.&#;&#z1;' as plain from orders")
+def f15_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named, decimal and hexadecimal references, beyond the basic plane too; numbers outside Unicode vanish."""
+    k = F.col("o_orderkey")
+    said = F.concat(F.lit("a&#"), (k % 500 + 200).cast("string"), F.lit(";&#x"), F.hex(k % 300 + 128512), F.lit("; &LT; &#8220;x&#8221; &amp;lt; &amp;& &#"), (k % 90 + 33).cast("string"), F.lit(";&#0;&#1114112;&#x110000;.&#;&#z1;"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), text.decode_entities(said).alias("plain"))
+
+
 @query(f"""select page_id, trim(regexp_replace({_decoded("regexp_replace(html, '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) as plain from pages""")
 def f16_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
