@@ -39,7 +39,8 @@ LAST_DAY = "case win when 1 then date '2026-08-25' when 2 then date '2027-03-05'
 VACANCIES = "case vac when 1 then 2 when 2 then 12 when 4 then 30 end"
 UF = "case place when 1 then 'SP' when 2 then 'SP' when 3 then 'GO' end"
 #: Term, area and weight of the area, in the dictionary's order.
-TERMS = (("design", "Design", 30), ("comput*", "Computação/IA", 25))
+AREA_WEIGHTS = {"Design": 30, "Computação/IA": 25}
+TERMS = (("design", "Design", AREA_WEIGHTS["Design"]), ("comput*", "Computação/IA", AREA_WEIGHTS["Computação/IA"]))
 
 
 def part(name: str, key: Column) -> Column:

@@ -208,21 +208,6 @@ def w09_last_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("source_no", "x.id", "x.published")
 
 
-@query(f"with {POSTINGS}, old as (select * from postings where id % 3 != 0), new as (select id, org, uf, price + 1 as price from postings where id % 2 = 0) select id, coalesce(o.org, n.org) as org, coalesce(n.price, o.price) as price, o.id is null as inserted from old o full join new n using (id)")
-def u02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rows are inserted; known rows keep their facts and take the derived columns."""
-    p = postings(spark, sf_dir)
-    old, new = p.where("id % 3 != 0").alias("o"), p.where("id % 2 = 0").withColumn("price", F.col("price") + 1).alias("n")
-    j = old.join(new, "id", "full")
-    return j.select("id", F.coalesce("o.org", "n.org").alias("org"), F.coalesce("n.price", "o.price").alias("price"), F.col("o.org").isNull().alias("inserted"))
-
-
-@query(f"with {POSTINGS} select n.id, n.org from (select * from postings where id % 2 = 0) n where not exists (select 1 from postings o where o.id % 3 != 0 and o.id = n.id)")
-def u01_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir)
-    return p.where("id % 2 = 0").join(p.where("id % 3 != 0").select("id"), "id", "left_anti").select("id", "org")
-
-
 @query(f"with {POSTINGS}, patch as (select id, case when id % 4 = 0 then null else upper(uf) || '*' end as uf, id % 4 = 0 as set_null from postings where id % 2 = 0) select p.id, case when q.set_null then null else coalesce(q.uf, p.uf) end as uf from postings p left join patch q using (id)")
 def u03_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A patch tells a value to leave from one to set to null."""

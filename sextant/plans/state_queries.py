@@ -16,20 +16,6 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("url"), "turn", voice.alias("voice"), "text")
 
 
-@query(f"with {STATE} select url, bool_or(voice = 'humano') as human, bool_or(voice = 'robo') as robot, bool_or(text like '%?%') as asked from state group by url having bool_or(voice in ('humano', 'robo'))")
-def u06_harvest_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures of one url are merged by or; a url without any flag isn't inserted."""
-    g = state(spark, sf_dir).groupBy("url").agg(F.bool_or(F.col("voice") == "humano").alias("human"), F.bool_or(F.col("voice") == "robo").alias("robot"), F.bool_or(F.col("text").contains("?")).alias("asked"))
-    return g.where("human or robot")
-
-
-@query(f"with {STATE}, h as (select url, max(turn) as turn from state where voice = 'humano' group by url), r as (select url, max(turn) as turn from state where voice = 'robo' group by url) select coalesce(h.url, r.url) as url, case when h.url is not null then 'humano' else 'robo' end as owner, h.url is not null and r.url is not null and h.turn != r.turn as diverges from h full join r on h.url = r.url")
-def u08_robot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The person's decision wins; a robot that differs is reported."""
-    last = state(spark, sf_dir).where("voice in ('humano', 'robo')").groupBy("url").agg(F.max(F.when(F.col("voice") == "humano", F.col("turn"))).alias("h"), F.max(F.when(F.col("voice") == "robo", F.col("turn"))).alias("r"))
-    return last.select("url", F.when(F.col("h").isNotNull(), "humano").otherwise("robo").alias("owner"), F.coalesce(F.col("h") != F.col("r"), F.lit(False)).alias("diverges"))
-
-
 @query(f"with {STATE} select url, turn, voice from (select *, row_number() over (partition by url order by turn desc) as n from state where text != '') where n = 1")
 def u10_last_row_per_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = state(spark, sf_dir).where("text != ''").groupBy("url").agg(F.max_by("voice", "turn").alias("voice"), F.max("turn").alias("turn"))

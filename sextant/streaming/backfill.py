@@ -1,0 +1,34 @@
+"""A backfill by days that can be taken up where it stopped."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.storage import new_dir
+
+
+def run_days(spark: SparkSession, days: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, schema: str, batches: int, stop_after: int | None = None) -> None:
+    """Appends the days that ``path`` lacks, in ``batches`` commits of neighbouring days; ``stop_after`` commits it stops, as a lost driver does."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    done = spark.read.schema(schema).parquet(path).select("d")
+    left = days.join(done, "d", "left_anti")
+    lo, hi = left.agg(F.min("d"), F.max("d")).first()
+    if lo is None:
+        return
+    width = ((hi - lo).days + batches) // batches
+    for k in range(batches if stop_after is None else min(stop_after, batches)):
+        slot = (F.datediff("d", F.lit(lo)) >= k * width) & (F.datediff("d", F.lit(lo)) < (k + 1) * width)
+        work(left.where(slot)).write.mode("append").parquet(path)
+
+
+def backfill(spark: SparkSession, days: DataFrame, work: Callable[[DataFrame], DataFrame], batches: int, stop_after: int | None = None) -> DataFrame:
+    """Runs to ``stop_after`` commits, then again to the end: every day is there once."""
+    path = new_dir(spark, "backfill")
+    out = work(days.limit(0))
+    schema = ", ".join(f"{c} {t}" for c, t in out.dtypes)
+    run_days(spark, days, work, path, schema, batches, stop_after)
+    run_days(spark, days, work, path, schema, batches)
+    return spark.read.schema(schema).parquet(path)
