@@ -35,7 +35,8 @@ CONSTANT = 0.2
 SIMILAR = 0.6
 #: Share of a document's characters in lines that stand in other line sets too, from which it may be a near copy.
 COPIED = 0.5
-BITS = 1 << 18
+#: Bits of the bitmap of shared leaves: 16 a leaf within these bounds (32 KB and 2 MB); if more leaves than that are shared, more lines pass on to the join.
+BITS = (1 << 18, 1 << 24)
 VARIABLE = "<*>"
 
 
@@ -66,15 +67,16 @@ def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
 
 def in_bitmap(leaf: Column, bitmap: list[int]) -> Column:
-    at = F.pmod(leaf, F.lit(BITS)).cast("int")
+    at = F.pmod(leaf, F.lit(64 * len(bitmap))).cast("int")
     return F.getbit(F.get(F.lit(bitmap).cast("array<long>"), F.floor(at / 64).cast("int")), at % 64) == 1
 
 
 def bitmap_of(leaves: DataFrame) -> list[int]:
-    """Leaf hashes modulo BITS as BITS / 64 longs."""
-    at = leaves.select(F.pmod("leaf", F.lit(BITS)).cast("int").alias("at"))
+    """Leaf hashes modulo the number of bits, as longs."""
+    bits = min(BITS[1], max(BITS[0], 1 << (16 * leaves.count()).bit_length()))
+    at = leaves.select(F.pmod("leaf", F.lit(bits)).cast("int").alias("at"))
     rows = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, at % 64))").alias("bits")).collect()
-    found = [0] * (BITS // 64)
+    found = [0] * (bits // 64)
     for r in rows:
         found[r["word"]] = r["bits"]
     return found
@@ -119,8 +121,8 @@ def recurring_lines(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
     return found.where(by_template | recurs("sets")).select(F.xxhash64("line").alias("h"), "line", F.when(by_template, F.col("template")).otherwise(F.col("line")).alias("template"), F.when(by_template, F.col("t_docs")).otherwise(F.col("docs")).alias("n_docs"))
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with a struct column ``line_dedup`` (text, n_lines, n_dropped)."""
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, name: str = "line_dedup") -> DataFrame:
+    """``docs`` with a struct column ``name`` (text, n_lines, n_dropped)."""
     lines = lines_of(docs, depth, min_tokens)
     shared = materialise(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "shared-leaves")
     near = materialise(lines.where(in_bitmap(F.col("leaf"), bitmap_of(shared))).join(shared, "leaf"), "shared-lines")
@@ -130,7 +132,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["line_doc_id"]), "left")
     cut = let(F.split(docs["text"], "\n"), lambda x: let(F.filter(x, lambda v: ~F.array_contains(hashes, F.xxhash64(v))), lambda y: F.struct(F.array_join(y, "\n").alias("text"), F.size(x).alias("n_lines"), (F.size(x) - F.size(y)).alias("n_dropped"))))
     whole = F.struct(docs["text"].alias("text"), F.coalesce(F.size(F.split(docs["text"], "\n")), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_dropped"))
-    return joined.select(*(docs[c] for c in docs.columns), F.when(hashes.isNotNull() & docs["text"].isNotNull(), cut).otherwise(whole).alias("line_dedup"))
+    return joined.select(*(docs[c] for c in docs.columns), F.when(hashes.isNotNull() & docs["text"].isNotNull(), cut).otherwise(whole).alias(name))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

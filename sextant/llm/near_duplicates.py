@@ -12,8 +12,9 @@
 With 36 bands of 5 rows a pair of similarity 0.8 shares no band with probability 6e-7; one above that less.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; fewer words than a shingle are one
-shingle; equal texts, and rows that share a doc_id, are linked; a row with a null doc_id belongs to its copies'
-component, and is never kept unless it has no words or no row with an id shares its set; an empty table gives no rows; other columns are ignored.
+shingle; equal texts are linked; rows that share a doc_id are linked by their texts only, and a row is kept if its id is its
+component's; a row with a null doc_id belongs to its copies' component, and is never kept unless it has no words or no row with an id shares its
+set; an empty table gives no rows; other columns are ignored; very long texts go through in blocks of rows.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SIGNATURES = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
             sets = shingle_sets(block, k)
             keys = [band_keys(super_minhash(x, bands * rows), bands, rows) if len(x) else None for x in sets]
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(block)), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(block)) for c in ("doc_id", "text_key")), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "digest", "bands"])
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -213,12 +214,16 @@ def residual_pairs(placed: DataFrame, bodies: DataFrame, k: int, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs(doc_id, text)`` to (doc_id, n_shingles, component_id, kept), one row a document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """``docs(doc_id, text)`` to (doc_id, n_shingles, component_id, kept, class_no, text_key), one row a document.
+
+    ``class_no`` numbers the classes (null without words); ``text_key`` is a hash of the text, which tells rows apart that share an id.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     signed = materialise(texts.mapInArrow(lambda it: _sign(it, shingle, bands, rows), SIGNATURES), "signatures")
 
     with_id = signed.where("digest is not null and doc_id is not null")
-    nodes = materialise(with_id.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    sets = with_id.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     # all further steps read the members of shared buckets only
@@ -228,8 +233,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     leads = shared.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("lead"))
     members = materialise(shared.join(leads, "key"), "members")
 
-    chosen = members.select(F.col("node")).distinct().join(nodes.select("node", "digest"), "node")
-    joined = texts.join(chosen, texts["doc_id"] == chosen["node"]).select("node", "digest", "text")
+    chosen = members.select(F.col("node")).distinct().join(nodes.select("node", "digest", "first_id"), "node")
+    joined = texts.join(chosen, texts["doc_id"] == chosen["first_id"]).select("node", "digest", "text")
     bodies = materialise(joined.mapInArrow(lambda it: _texts_of(it, shingle), "node long, text string").dropDuplicates(["node"]), "candidate-texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -247,16 +252,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rest = residual_pairs(placed, bodies, shingle, percent)
     links = links.union(compared(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")).where("linked").select("a", "b"))
 
+    found = components(links).withColumnRenamed("id", "node")
+    classes = materialise(nodes.join(found, "node", "left").select("digest", "first_id", F.coalesce("component", "node").alias("class_no")), "classes")
+    names = classes.groupBy("class_no").agg(F.min("first_id").alias("component"))
     # a row hangs on the node of its set
-    hung = signed.where("digest is not null").join(nodes.select("digest", "node"), "digest", "left")
-    rows_ = materialise(hung.select("doc_id", "n_shingles", "node").unionByName(signed.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))), "rows")
-    same = rows_.where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.union(same))
-    placed = rows_.withColumn("at", F.coalesce("node", "doc_id")).join(found.withColumnRenamed("id", "at"), "at", "left")
-    component = F.coalesce("component", "at")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    placed = signed.where("digest is not null").join(classes.join(names, "class_no").select("digest", "class_no", "component"), "digest", "left")
+    own = F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull())
+    return placed.select("doc_id", "n_shingles", F.col("component").alias("component_id"), own.alias("kept"), "class_no", "text_key").unionByName(
+        signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("class_no"), "text_key")
+    )
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``documents`` on four-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")

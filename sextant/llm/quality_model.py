@@ -1,14 +1,14 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted positives are rows labelled 1; all other text is unlabelled, a mixture of both classes whose positive share (the class prior) is
-estimated from the labels.  A linear model on text measures minimises the non-negative unbiased risk
+Trusted positives are rows labelled 1; all text is unlabelled, a mixture of both classes whose positive share (the class prior) is
+estimated from positives and unlabelled text alone: a first model tells the two apart, and where its score is high only positives are left, so
+that the unlabelled share there over the positives' share is the prior.  A linear model on text measures minimises the non-negative unbiased risk
 prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)); where the second part goes below zero, its gradient is turned.
 
 Training takes at most ``max_rows`` positives and as many unlabelled rows, by order of a hash of the id; scoring covers every row.
 Labels of rows with crc32(doc_id as text) mod 5 = 0 are never read: they are held out.
 
-Edge cases: null and empty texts have all measures 0 and get that score; without positives or without text every score is the
-prior, one half if there are no labels; rows that repeat score alike; an empty table gives no rows; other columns are ignored; very
+Edge cases: null and empty texts have all measures 0 and get that score; without positives or without text every score is one half; rows that repeat score alike; an empty table gives no rows; other columns are ignored; very
 long texts are counted whole.
 """
 
@@ -67,27 +67,49 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in found.T)], ["doc_id", *MEASURES])
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the intercept) on standardised measures, folded back to raw ones; logistic loss, Adam."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the intercept) on standardised measures, folded back to raw ones; logistic loss, Adam.
+
+    Without a prior it learns to tell positives from unlabelled rows, both weighing one half.
+    """
     everything = np.concatenate([positive, unlabelled])
     mean, scale = everything.mean(0), everything.std(0) + 1e-6
     p, u = ((np.column_stack([(x - mean) / scale, np.ones(len(x))])) for x in (positive, unlabelled))
+    share = 0.5 if prior is None else prior
     w = np.zeros(p.shape[1])
-    w[-1] = np.log(prior / (1 - prior))
+    w[-1] = np.log(share / (1 - share))
     first, second = np.zeros_like(w), np.zeros_like(w)
     loss = lambda z: np.logaddexp(0, -z)
     slope = lambda z: -1 / (1 + np.exp(np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        negative = loss(-zu).mean() - prior * loss(-zp).mean()
-        own = prior * (p * slope(zp)[:, None]).mean(0)
-        other = (u * -slope(-zu)[:, None]).mean(0) - prior * (p * -slope(-zp)[:, None]).mean(0)
-        gradient = (own + other if negative >= 0 else -other) + decay * w
+        zp, zu = np.einsum("ij,j->i", p, w), np.einsum("ij,j->i", u, w)
+        own = share * (p * slope(zp)[:, None]).mean(0)
+        rest = (u * -slope(-zu)[:, None]).mean(0)
+        if prior is None:
+            gradient = own + (1 - share) * rest
+        else:
+            negative = loss(-zu).mean() - prior * loss(-zp).mean()
+            other = rest - prior * (p * -slope(-zp)[:, None]).mean(0)
+            gradient = own + other if negative >= 0 else -other
+        gradient = gradient + decay * w
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     raw = w[:-1] / scale
-    return np.append(raw, w[-1] - raw @ mean)
+    return np.append(raw, w[-1] - (raw * mean).sum())
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in unlabelled rows: the ratio of the two score tails bounds it from above wherever the tail begins.
+
+    The least such bound counts, each with a standard error, as the least of many noisy ratios would be too low.
+    """
+    w = train(positive, unlabelled, None)
+    scores = [(x * w[:-1]).sum(1) for x in (positive, unlabelled)]
+    cuts = np.quantile(scores[0], np.arange(0.05, 0.51, 0.05))
+    tp, tu = ((s[:, None] >= cuts).mean(0) for s in scores)
+    bound = tu / tp * (1 + np.sqrt((1 - tu) / np.maximum(1e-9, tu * len(unlabelled)) + (1 - tp) / (tp * len(positive))))
+    return float(min(0.99, max(0.01, bound.min())))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,8 +118,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     schema = "doc_id long, " + ", ".join(f"{x} double" for x in MEASURES)
     measured = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure, schema), "measures")
     open_labels = labels.where(~held_out & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    n, good = open_labels.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
-    prior = min(0.99, max(0.01, good / n)) if n else 0.5
 
     def by_hash(rows: DataFrame) -> np.ndarray:
         """The first ``max_rows`` by hash; what can't be among them stays out of the tasks' results."""
@@ -110,9 +130,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     positive = by_hash(measured.join(open_labels.where("quality = 1"), "doc_id", "left_semi"))
     unlabelled = by_hash(measured.where(~held_out))
     if len(positive) and len(unlabelled):
-        *weights, bias = train(positive, unlabelled, prior).tolist()
+        *weights, bias = train(positive, unlabelled, class_prior(positive, unlabelled)).tolist()
     else:
-        weights, bias = [0.0] * len(MEASURES), float(np.log(prior / (1 - prior)))
+        weights, bias = [0.0] * len(MEASURES), 0.0
     total = F.lit(bias)
     for name, weight in zip(MEASURES, weights, strict=True):
         total = total + F.col(name) * weight

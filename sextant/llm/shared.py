@@ -49,6 +49,14 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes a DataFrame to the shared folder and returns it as read from there."""
     spark = df.sparkSession
