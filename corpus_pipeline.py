@@ -5,7 +5,8 @@ of the packed sequences.  ORACLE_SQL is None: the estimation, the template tree,
 form; ``tests/llm`` holds the stages against plain Python.
 
 Edge cases: a document whose lines all recur across documents is dropped with them, one without a word stays; rows with a null doc_id pass near-duplicate
-removal; of rows that share a doc_id one stays there; an empty table passes all stages.
+removal; of rows that share a doc_id and a text one stays there, those with other texts count as documents of their own; columns may have
+any further names; an empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -18,27 +19,33 @@ from sextant.llm.mixing import mix
 from sextant.llm.near_duplicates import near_duplicates
 from sextant.llm.packing import pack
 from sextant.llm.quality_rules import SPACE, judged
-from sextant.llm.shared import new_dir
+from sextant.llm.shared import free_name, new_dir
 
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = judged(docs, docs.columns, "quality_verdict")
-    return rows.where(F.col("quality_verdict.kept")).select(docs.columns)
+    verdict = free_name(docs, "quality_verdict")
+    return judged(docs, docs.columns, verdict).where(F.col(verdict)["kept"]).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = drop_recurring_lines(docs)
-    cut = F.col("line_dedup")
+    name = free_name(docs, "line_dedup")
+    rows, cut = drop_recurring_lines(docs, name=name), F.col(name)
     emptied = (cut["n_dropped"] > 0) & (F.length(F.btrim(cut["text"], F.lit(SPACE))) == 0)
     own = {"text": cut["text"], "n_chars": F.coalesce(F.length(cut["text"]), F.lit(0)).cast("long")}
     return rows.where(~emptied).select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    id_, key, class_ = (free_name(docs, x) for x in ("near_doc_id", "near_text_key", "near_class"))
+    kept = near_duplicates(docs).where("kept and doc_id is not null")
+    one = kept.where("class_no is not null").groupBy("class_no", "doc_id").agg(F.min("text_key").alias("text_key"))
+    wordless = kept.where("class_no is null").select(F.lit(None).cast("long").alias("class_no"), "doc_id", "text_key").distinct()
+    chosen = one.unionByName(wordless).toDF(class_, id_, key)
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    stay = rows.join(chosen, (rows["doc_id"] == chosen[id_]) & (rows[key] == chosen[key]), "left_semi").dropDuplicates(["doc_id", key])
+    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
