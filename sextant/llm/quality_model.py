@@ -67,7 +67,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in found.T)], ["doc_id", *MEASURES])
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = STEPS, rate: float = 0.05, decay: float = 0.02) -> np.ndarray:
     """Weights (the last is the intercept) on standardised measures, folded back to raw ones; logistic loss, Adam.
 
     Without a prior it learns to tell positives from unlabelled rows, both weighing one half.
