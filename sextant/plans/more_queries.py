@@ -13,7 +13,7 @@ from .posting_queries import SCORED, TIER_SQL, judged, tiers
 from .proxies import NEWS, NEWS_NOW, NOW, POSTINGS, news, postings
 from .state_queries import STATE, state
 
-BANDS = f"bands as ({_band_sql()})"
+BANDS = f"bands as materialized ({_band_sql()})"
 
 
 @query(f"with {BANDS} select tab, band, count(*) as n from bands group by 1, 2")

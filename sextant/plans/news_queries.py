@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clusters
+from ..operators import bands, clusters
+from ..operators.bands import BAND_DAYS
 from ..operators.storage import written
 from ..registry import query
 from .proxies import NEWS, NEWS_NOW, news
@@ -89,40 +90,64 @@ def w02_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.mid_rank_percentile(n, ["day", "tab"], "signal").select("id", "tab", "day", "batch", F.round("percentile", 6).alias("percentile"))
 
 
-BAND_DAYS = (0, 7, 15, 30)
-_BAND_HEAD = f"""with {NEWS}, scored as (select id, tab, ts, domain || '/' || (id % 400) as link, (id * 7919 % 997)::int as score from news)"""
-
-
 def _band_sql() -> str:
-    out, picked = _BAND_HEAD, []
+    """The cascade in SQL, one block of steps a band."""
+    out = f"""{CLUSTERS}, scored as (select id, tab, theme, ts, domain || '/' || (id % 400) as link, cluster, (id * 7919 % 997)::int as score from news join assigned using (id)),
+volumes as (select tab, theme, count(*) as volume, sum(count(*)) over (partition by tab) as tab_volume from scored group by tab, theme)"""
+    picked = []
     for k, days in enumerate(BAND_DAYS):
-        when = f"(ts - interval 3 hour)::date = (timestamp '{NEWS_NOW}' - interval 27 hour)::date" if not days else f"ts >= timestamp '{NEWS_NOW}' - interval {days} day"
-        free = "".join(f" and id not in (select id from band{j}) and link not in (select link from band{j})" for j in range(k))
-        out += f""", first{k} as (select *, row_number() over (partition by tab, link order by score desc, ts desc, id) as n from scored where {when}{free}),
-placed{k} as (select id, tab, link, score, row_number() over (partition by tab order by score desc, ts desc, id) as place from first{k} where n = 1),
-band{k} as (select * from placed{k} where place <= 20)"""
-        picked.append(f"select id, tab, {days} as band, place::int as place from band{k}")
-    return out + " " + " union all ".join(picked)
+        when = f"(ts - interval 3 hour)::date = (timestamp '{NEWS_NOW}' - interval 27 hour)::date" if not days else f"ts >= timestamp '{NEWS_NOW}' - interval 24 hour - interval {days} day"
+        free = "".join(f" and (tab, cluster) not in (select (tab, cluster) from band{j}) and (tab, link) not in (select (tab, link) from band{j})" for j in range(k))
+        out += f""", clusters{k} as materialized (select * from scored where {when}{free} qualify row_number() over (partition by tab, cluster order by score desc, ts desc, id) = 1),
+links{k} as (select * from clusters{k} qualify row_number() over (partition by tab, link order by score desc, ts desc, id) = 1),
+cand{k} as materialized (select *, row_number() over (partition by tab order by score desc, ts desc, id) as place, row_number() over (partition by tab, theme order by score desc, ts desc, id) as tp from links{k}),
+themes{k} as (select tab, theme, count(*) as has, count_if(place <= 20) as taken, min(place) as first_place, any_value(volume) as volume, any_value(tab_volume) as tab_volume from cand{k} join volumes using (tab, theme) group by tab, theme),
+floors{k} as (select *, least(greatest(1, floor(20 * volume / tab_volume + 0.5)), has)::int as f from themes{k}),
+cuts{k} as (select tab, theme, count(*) as cut from (select tab, theme, row_number() over (partition by tab order by level desc, first_place) as n from (select *, unnest(range(2, f + 1)) as level from floors{k}))
+  join (select tab, sum(f) - 20 as over from floors{k} group by tab) using (tab) where n <= over group by tab, theme),
+needs{k} as (select *, greatest(0, f - taken) as needs, greatest(0, taken - f) as spare from (select * replace (f - coalesce(cut, 0) as f) from floors{k} left join cuts{k} using (tab, theme))),
+swaps{k} as (select *, least(sum(needs) over (partition by tab), sum(spare) over (partition by tab)) as swaps, sum(needs) over (partition by tab order by first_place, theme) - needs as before from needs{k}),
+going{k} as (select *, place <= 20 and row_number() over (partition by tab, theme, place <= 20 order by score, place) <= spare as can_go from cand{k} join swaps{k} using (tab, theme)),
+gone{k} as (select *, can_go and row_number() over (partition by tab, can_go order by score, place) <= swaps as goes from going{k}),
+band{k} as materialized (select id, tab, theme, link, cluster, row_number() over (partition by tab order by score desc, ts desc, id) as place from gone{k} where (place <= 20 and not goes) or (place > 20 and tp - taken <= needs and before + tp - taken <= swaps))"""
+        picked.append(f"select id, tab, theme, {days} as band, place::int as place from band{k}")
+    return f"with {out} " + " union all ".join(picked)
+
+
+def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with cluster, link and score."""
+    i = items(spark, sf_dir)
+    scored = i.select("id", "tab", "theme", F.concat_ws("/", "domain", (F.col("id") % 400).cast("string")).alias("link"), (F.col("id") * 7919 % 997).cast("int").alias("score"), "ts")
+    return written(scored.join(clusters.clustered(i), "id"), "ranked-items")
 
 
 @query(_band_sql())
 def t06_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Today, 7, 15 and 30 days: the best row of each link, 20 a tab, without what an earlier band shows."""
-    n = news(spark, sf_dir)
-    scored = n.select("id", "tab", "ts", F.concat_ws("/", "domain", (F.col("id") % 400).cast("string")).alias("link"), (F.col("id") * 7919 % 997).cast("int").alias("score"))
-    now = F.lit(NEWS_NOW).cast("timestamp")
-    order = [F.desc("score"), F.desc("ts"), "id"]
-    shown = None
-    for days in BAND_DAYS:
-        inside = F.to_date(F.col("ts") - F.expr("interval 3 hours")) == F.to_date(now - F.expr("interval 27 hours")) if not days else F.col("ts") >= now - F.expr(f"interval {days} days")
-        rows = scored.where(inside)
-        if shown is not None:
-            rows = rows.join(shown.select("id"), "id", "left_anti").join(shown.select("link"), "link", "left_anti")
-        best = rows.withColumn("n", F.row_number().over(Window.partitionBy("tab", "link").orderBy(*order))).where("n = 1")
-        band = best.withColumn("place", F.row_number().over(Window.partitionBy("tab").orderBy(*order))).where("place <= 20")
-        band = written(band.select("id", "tab", "link", F.lit(days).alias("band"), "place"), "band")  # at most 20 rows a tab
-        shown = band if shown is None else shown.union(band)
-    return shown.select("id", "tab", "band", "place")
+    """Today, 7, 15 and 30 days: one row a cluster and a link, 20 a tab with floors for themes, without what an earlier band shows."""
+    return bands.cascade(ranked_items(spark, sf_dir), F.lit(NEWS_NOW).cast("timestamp") - F.expr("interval 24 hours"))
+
+
+@query(f"with {CLUSTERS}, scored as (select id, tab, theme, ts, cluster, (id * 7919 % 997)::int as score from news join assigned using (id)) select id, tab, cluster from scored qualify row_number() over (partition by tab, cluster order by score desc, ts desc, id) = 1")
+def w03_best_per_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.best("cluster", ranked_items(spark, sf_dir)).select("id", "tab", "cluster")
+
+
+@query(
+    f"""with {NEWS}, scored as (select id, tab, theme, ts, (id * 7919 % 997)::int as score from news),
+volumes as (select tab, theme, count(*) as volume, sum(count(*)) over (partition by tab) as tab_volume from scored group by tab, theme),
+ranked as (select *, row_number() over (partition by tab order by score desc, ts desc, id) as place, row_number() over (partition by tab, theme order by score desc, ts desc, id) as tp from scored),
+themes as (select tab, theme, count(*) as has, count_if(place <= 20) as taken, min(place) as first_place from ranked group by tab, theme),
+floors as (select *, least(greatest(1, floor(20 * volume / tab_volume + 0.5)), has)::int as f from themes join volumes using (tab, theme)),
+cuts as (select tab, theme, count(*) as cut from (select tab, theme, row_number() over (partition by tab order by level desc, first_place) as n from (select *, unnest(range(2, f + 1)) as level from floors)) join (select tab, sum(f) - 20 as over from floors group by tab) using (tab) where n <= over group by tab, theme),
+needs as (select *, greatest(0, f - taken) as needs, greatest(0, taken - f) as spare from (select * replace (f - coalesce(cut, 0) as f) from floors left join cuts using (tab, theme))),
+swaps as (select *, least(sum(needs) over (partition by tab), sum(spare) over (partition by tab)) as swaps, sum(needs) over (partition by tab order by first_place, theme) - needs as before from needs),
+gone as (select *, can_go and row_number() over (partition by tab, can_go order by score, place) <= swaps as goes from (select *, place <= 20 and row_number() over (partition by tab, theme, place <= 20 order by score, place) <= spare as can_go from ranked join swaps using (tab, theme)))
+select id, tab, theme, (row_number() over (partition by tab order by score desc, ts desc, id))::int as place from gone where (place <= 20 and not goes) or (place > 20 and tp - taken <= needs and before + tp - taken <= swaps)"""
+)
+def t05_diversity_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of each tab, with a floor for each theme."""
+    n = news(spark, sf_dir).select("id", "tab", "theme", (F.col("id") * 7919 % 997).cast("int").alias("score"), "ts")
+    return bands.with_floors(n, n.groupBy("tab", "theme").agg(F.count("*").alias("volume"))).select("id", "tab", "theme", "place")
 
 
 TERMS = "terms as (select lower(term) as term, min(item_id) as first_item, (length(lower(term)) % 7 + 1)::int as weight, 'area' || (length(lower(term)) % 5) as area from (select item_id, unnest(string_split(text, ' ')) as term from benchmark) where length(term) >= 6 and not regexp_matches(term, '[^a-zA-Z]') group by lower(term))"
