@@ -19,7 +19,7 @@ def frequent_anchors(exploded: DataFrame) -> DataFrame:
     return n.join(sizes, ["tab", "lang"]).where((F.col("block") >= SMALL) & (F.col("n") > FREQUENT * F.col("block")))
 
 
-def similar_pairs(items: DataFrame) -> DataFrame:
+def similar_pairs(items: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
     """``items(id, tab, lang, domain, ts, anchors)`` to (a, b, common, jaccard) of pairs that tell the same fact.
 
     Items meet by an anchor and a time bucket of the window's width; each item stands in its own bucket and the next, which loses no pair.
@@ -27,21 +27,21 @@ def similar_pairs(items: DataFrame) -> DataFrame:
     exploded = written(items.select("id", "tab", "lang", "domain", "ts", F.explode("anchors").alias("anchor")), "anchors")
     kept = written(exploded.join(frequent_anchors(exploded).select("tab", "lang", "anchor"), ["tab", "lang", "anchor"], "left_anti"), "kept-anchors")
     sizes = kept.groupBy("id").agg(F.count("*").alias("n"))
-    bucket = F.floor(F.unix_timestamp("ts") / (HOURS * 3600))
+    bucket = F.floor(F.unix_timestamp("ts") / (hours * 3600))
     left = kept.withColumn("bucket", bucket)
     right = kept.select("id", "tab", "lang", "domain", "ts", "anchor", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
     a, b = left.alias("a"), right.alias("b")
-    near = F.abs(F.unix_timestamp("a.ts") - F.unix_timestamp("b.ts")) <= HOURS * 3600
+    near = F.abs(F.unix_timestamp("a.ts") - F.unix_timestamp("b.ts")) <= hours * 3600
     met = a.join(b, F.expr("a.tab = b.tab and a.lang = b.lang and a.anchor = b.anchor and a.bucket = b.bucket and a.id < b.id") & near)
     pairs = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.domain") == F.col("b.domain")).alias("inside")).agg(F.count("*").alias("common"))
     sized = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "n_b"}), "b")
     sized = sized.withColumn("jaccard", F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return sized.where((F.col("common") >= COMMON) & (F.col("jaccard") >= F.when(F.col("inside"), INSIDE).otherwise(ACROSS))).select("a", "b", "common", "jaccard", "inside")
+    return sized.where((F.col("common") >= COMMON) & (F.col("jaccard") >= F.when(F.col("inside"), inside).otherwise(across))).select("a", "b", "common", "jaccard", "inside")
 
 
-def clustered(items: DataFrame) -> DataFrame:
+def clustered(items: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
     """(id, cluster): items without a pair are clusters of their own."""
-    found = connected(similar_pairs(items), "cluster")
+    found = connected(similar_pairs(items, across, inside, hours), "cluster")
     return items.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 

@@ -32,19 +32,6 @@ def t07_band_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t06_bands(spark, sf_dir).where("band = 7 and place <= 5").select("id", "tab", "place")
 
 
-@query(f"with {BANDS}, v as (select tab, band, count(*) as n from bands group by 1, 2), f as (select (['geral', 'ia', 'trabalho', 'ciencia'])[(doc_id % 4 + 1)::int] as tab, count(*) as n from documents group by 1) select coalesce(v.tab, f.tab) as tab, v.band, v.n as shown, f.n as stored, v.n <= 20 and v.n <= f.n as holds from v full join f on v.tab = f.tab")
-def a29_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = t06_bands(spark, sf_dir).groupBy("tab", "band").agg(F.count("*").alias("shown"))
-    f = news(spark, sf_dir).groupBy("tab").agg(F.count("*").alias("stored"))
-    return v.join(f, "tab", "full").select("tab", "band", "shown", "stored", ((F.col("shown") <= 20) & (F.col("shown") <= F.col("stored"))).alias("holds"))
-
-
-@query(f"with {NEWS} select id, case when lower(title) like '%the%' and tab = 'ia' and theme != 'tema4' then 'claude' else theme end as theme from news")
-def v13_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = (F.col("tab") == "ia") & (F.col("theme") != "tema4") & F.lower("title").contains("the")
-    return news(spark, sf_dir).select("id", F.when(moved, "claude").otherwise(F.col("theme")).alias("theme"))
-
-
 @query(f"with {NEWS} select id, case when ts::date = date '2024-01-30' then 'hoje ' || strftime(ts, '%H:%M') when ts::date = date '2024-01-29' then 'ontem' else strftime(ts, '%d/%m') end as shown from news")
 def f43_shown_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).select("id", calendar.shown_date(F.col("ts"), F.lit("2024-01-30 12:00:00").cast("timestamp")).alias("shown"))
@@ -92,10 +79,10 @@ def g15_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("stored is null and final != 'fora'").select("id", "final")
 
 
-@query("select p_partkey, coalesce(nullif(split_part(p_type, ' ', 1), ''), 'none') as first_word, length(p_name)::int as n from part where p_size between 10 and 20")
+@query("select p_partkey, coalesce(nullif(split_part(p_type, ' ', 1), ''), 'none') as first_word, length(p_name)::int as n from part")
 def p01_conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of unlike columns in one closed schema."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size between 10 and 20")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     one = p.where("p_partkey % 2 = 0").select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("first_word"), F.length("p_name").alias("n"), F.lit(1).alias("extra"))
     two = p.where("p_partkey % 2 = 1").select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("first_word"), F.length("p_name").alias("n"))
     return one.unionByName(two, allowMissingColumns=True).select("p_partkey", F.coalesce(F.nullif("first_word", F.lit("")), F.lit("none")).alias("first_word"), "n")
@@ -114,18 +101,18 @@ def p11_filter_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(spark, sf_dir).select("id", F.concat_ws(" | ", "org", "area", F.nullif("degree", F.lit("graduacao"))).alias("blob"))
 
 
-@query("select s_suppkey, coalesce(case when s_nationkey < 10 then n_name end, replace(replace(s_name, 'Supplier', 'Sup'), '#', '')) as shown, s_nationkey < 10 as mapped from supplier join nation on n_nationkey = s_nationkey")
+@query("select s_suppkey, coalesce(case when s_nationkey < 10 then n_name end, replace(replace(s_name, 'Supplier', 'Sup'), '#', '')) as shown, s_nationkey < 10 as mapped, s_name from supplier join nation on n_nationkey = s_nationkey")
 def j12_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup, else ordered text substitutions."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 10").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(n, "s_nationkey", "left")
     fallback = F.replace(F.replace("s_name", F.lit("Supplier"), F.lit("Sup")), F.lit("#"), F.lit(""))
-    return s.select("s_suppkey", F.coalesce("n_name", fallback).alias("shown"), F.col("n_name").isNotNull().alias("mapped"))
+    return s.select("s_suppkey", F.coalesce("n_name", fallback).alias("shown"), F.col("n_name").isNotNull().alias("mapped"), "s_name")
 
 
 @query("with m as (select s_nationkey < 10 as mapped, s_name from supplier) select mapped, count(*) as n, count(distinct s_name) as names from m group by mapped")
 def a27_mapped_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return j12_display_names(spark, sf_dir).groupBy("mapped").agg(F.count("*").alias("n"), F.countDistinct("s_suppkey").alias("names"))
+    return j12_display_names(spark, sf_dir).groupBy("mapped").agg(F.count("*").alias("n"), F.countDistinct("s_name").alias("names"))
 
 
 @query(f"with {STATE}, t as (select url, turn, voice, case when turn % 3 = 2 then turn - 1 end as blocked_by from state), done as (select url, turn from t where voice = 'robo') select t.url, t.turn, t.blocked_by is not null and exists (select 1 from t b where b.url = t.url and b.turn = t.blocked_by) and not exists (select 1 from done d where d.url = t.url and d.turn = t.blocked_by) as blocked from t")
@@ -136,17 +123,19 @@ def j15_blocked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(b, ["url", "blocked_by"], "left").select("url", "turn", F.coalesce("still_open", F.lit(False)).alias("blocked"))
 
 
-@query("with s as (select distinct event_type from events union select 'never'), l as (select event_type, max(event_id) as last_id from events where event_id % 2 = 0 group by 1) select s.event_type, coalesce(last_id::varchar, 'nunca coletada') as status from s left join l using (event_type)")
+@query("with s as (select distinct event_type from events union select 'never'), l as (select event_type, max(event_id) as last_id from events group by 1) select s.event_type, coalesce(last_id::varchar, 'nunca coletada') as status from s left join l using (event_type)")
 def j20_source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     sources = e.select("event_type").distinct().union(spark.createDataFrame([("never",)], "event_type string"))
-    last = e.where("event_id % 2 = 0").groupBy("event_type").agg(F.max("event_id").alias("last_id"))
+    last = e.groupBy("event_type").agg(F.max("event_id").alias("last_id"))
     return sources.join(last, "event_type", "left").select("event_type", F.coalesce(F.col("last_id").cast("string"), F.lit("nunca coletada")).alias("status"))
 
 
-@query("select event_type, max(event_id) as event_id, arg_max(value, ts) as value from events group by event_type")
+@query("select event_type, event_id, ts, value from events qualify row_number() over (partition by event_type order by ts desc, event_id desc) = 1")
 def s03_latest_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "ts").alias("value"))
+    """The latest row of each source as a whole; of equal times the one appended last."""
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("x"))
+    return last.select("event_type", "x.event_id", "x.ts", "x.value")
 
 
 @query("select user_id, event_type, count(*) as n from events group by 1, 2")
@@ -194,9 +183,3 @@ def w06_rank_per_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, min(ts) as first_seen, count(*) as n from events group by user_id")
 def w12_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.count("*").alias("n"))
-
-
-@query(f"with {NEWS} select id, theme, lower(trim(domain)) in ('src1', 'src2') as watched, timestamp '{NEWS_NOW}' - ts > interval 10 day as stale from news")
-def v07_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = F.unix_timestamp(F.lit(NEWS_NOW).cast("timestamp")) - F.unix_timestamp("ts") > 10 * 86400
-    return news(spark, sf_dir).select("id", "theme", text.normalise_key(F.col("domain")).isin("src1", "src2").alias("watched"), old.alias("stale"))

@@ -230,14 +230,15 @@ def s07_explode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("id"), F.inline("positions").alias("place", "quantity"))
 
 
-@query("select p_partkey, p_name, n_name from part join nation on contains(lower(p_name), lower(n_name)) qualify row_number() over (partition by p_partkey order by length(n_name) desc, n_name) = 1 union all select s_suppkey + 1000000, s_name, n_name from supplier join nation on s_nationkey = n_nationkey")
+@query("with t as (select o_orderkey as id, 'da filial de ' || n_name || case when o_orderkey % 3 = 0 then '' else ' e ' || 'NATION_1' end || '.' as body from orders join customer on c_custkey = o_custkey join nation on c_nationkey = n_nationkey) select id, n_name from t join nation on contains(lower(body), lower(n_name)) qualify row_number() over (partition by id order by length(n_name) desc, n_name desc) = 1")
 def j02_longest_name_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest dictionary name that a text holds; the nation table is 25 rows at any scale."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
-    found = part.join(F.broadcast(n), F.lower("p_name").contains(F.lower("n_name"))).groupBy("p_partkey", "p_name").agg(F.max_by("n_name", F.struct(F.length("n_name"), "n_name")).alias("n_name"))
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(n), F.expr("s_nationkey = n_nationkey"))
-    return found.union(s.select(F.col("s_suppkey") + 1000000, "s_name", "n_name"))
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    o = read("orders").join(read("customer"), F.expr("c_custkey = o_custkey")).join(F.broadcast(read("nation")), F.expr("c_nationkey = n_nationkey"))
+    body = F.concat(F.lit("da filial de "), "n_name", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(" e NATION_1"), F.lit("."))
+    t = o.select(F.col("o_orderkey").alias("id"), body.alias("body"))
+    n = F.broadcast(read("nation").select("n_name"))
+    return t.join(n, F.lower("body").contains(F.lower("n_name"))).groupBy("id").agg(F.max_by("n_name", F.struct(F.length("n_name"), "n_name")).alias("n_name"))
 
 
 @query("select c_custkey, n_name, coalesce(r_name, 'fora') as region from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey and r_regionkey != 0")

@@ -51,11 +51,28 @@ def f37_repercussion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", part.alias("repercussion"), (part + F.least(F.lit(40), F.col("event_id") % 50).cast("int")).alias("score"))
 
 
-@query(f"with f as (select user_id, count(*) as n, max(ts) as last_ts from events group by 1) select user_id, n, case when n = 0 then 'vazio' when last_ts < {LAST} - interval 7 day then 'velho' else 'fresco' end as verdict from f")
+@query(f"""with feeds as (select unnest(range(0, 40)) as feed), f as (select feed, count(event_id) as n, count(case when feed % 8 != 3 then ts end) as dated, max(case when feed % 8 != 3 then ts end) as last_ts from feeds left join events on user_id % 50 = feed and feed % 10 != 9 group by feed)
+select feed, n, case when n = 0 then 'vazio' when dated = 0 then case when feed % 16 = 3 then 'sem data permitido' else 'sem data' end when last_ts < {LAST} - interval 7 day then 'velho' else 'fresco' end as verdict from f""")
 def a15_feed_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    """Each feed of the list has a verdict: those without items and without dates too; some may go undated."""
+    return feed_verdicts(spark, sf_dir).select("feed", "n", "verdict")
+
+
+def feed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feeds = spark.range(40).select(F.col("id").alias("feed"), (F.col("id") % 16 == 3).alias("undated_allowed"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 50).alias("feed"), "ts").where("feed % 10 != 9")
+    e = e.withColumn("ts", F.when(F.col("feed") % 8 != 3, F.col("ts")))
+    f = feeds.join(e.groupBy("feed").agg(F.count("*").alias("n"), F.count("ts").alias("dated"), F.max("ts").alias("last_ts")), "feed", "left")
     old = F.col("last_ts") < F.lit("2024-01-31").cast("timestamp") - F.expr("interval 7 days")
-    return f.select("user_id", "n", F.when(F.col("n") == 0, "vazio").when(old, "velho").otherwise("fresco").alias("verdict"))
+    undated = F.when(F.col("undated_allowed"), "sem data permitido").otherwise("sem data")
+    n = F.coalesce("n", F.lit(0))
+    return f.select("feed", n.alias("n"), F.when(n == 0, "vazio").when(F.col("dated") == 0, undated).when(old, "velho").otherwise("fresco").alias("verdict"))
+
+
+@query("select feed, true as rejected from (select unnest([9, 19, 29, 39]) as feed)")
+def a33_dead_canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds known to be dead are rejected in every run."""
+    return feed_verdicts(spark, sf_dir).where("feed % 10 = 9").select("feed", F.col("verdict").isin("vazio", "velho", "sem data").alias("rejected"))
 
 
 @query(f"select event_id, ts from events where ts is null or ts >= {LAST} - interval 10 day")
@@ -116,21 +133,22 @@ def st07_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(counts.select("event_type", F.to_date("w.start").alias("day"), "n"), "complete")
 
 
-@query("select user_id, event_type, min(event_id) as first_event from events where event_id % 10 < 9 group by 1, 2")
+@query("select user_id, event_type, min(event_id) as first_event from events group by 1, 2")
 def st01_unseen_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each micro-batch inserts the keys that the table doesn't hold yet."""
     from ..streaming.jobs import insert_unseen
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return insert_unseen(e.where("event_id % 10 < 9"), ["user_id", "event_type"], "event_id", "first_event")
+    return insert_unseen(e, ["user_id", "event_type"], "event_id", "first_event")
 
 
 @query("select distinct user_id, event_type, ts::date as day from events")
 def st03_once_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exactly once by key: duplicates are dropped in the stream's state."""
+    """Exactly once by key within the horizon; the watermark lets the state of older keys go."""
     from ..streaming.jobs import drained
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return drained(e.select("user_id", "event_type", F.to_date("ts").alias("day")).dropDuplicates(["user_id", "event_type", "day"]), "append")
+    once = e.select("user_id", "event_type", F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
+    return drained(once, "append").drop("at")

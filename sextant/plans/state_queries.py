@@ -58,13 +58,6 @@ def a24_project_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state(spark, sf_dir).groupBy("url").agg(F.max("turn").alias("last_move"), F.count_if(F.col("voice") == "robo").alias("done"), F.count("*").alias("total"), F.min_by("voice", "turn").alias("current"))
 
 
-@query(f"with {STATE}, p as (select url, max(turn) as last_move, sum((voice = 'robo')::int) as done, count(*) as total from state group by url) select url, case when done = total then 'entregue' when last_move >= 6 then 'atrasado' when done = 0 then 'sem sinal' when total - done >= 3 then 'parado' else 'em dia' end as health from p")
-def f40_project_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = a24_project_rollups(spark, sf_dir)
-    health = F.when(F.col("done") == F.col("total"), "entregue").when(F.col("last_move") >= 6, "atrasado").when(F.col("done") == 0, "sem sinal").when(F.col("total") - F.col("done") >= 3, "parado").otherwise("em dia")
-    return p.select("url", health.alias("health"))
-
-
 @query(f"with {STATE}, due as (select url, turn, 'tarefa' as kind from state where voice = 'humano' and turn <= 2), att as (select url, turn, 'aviso' as kind from state where voice = 'robo' and turn >= 5) select url, turn, kind from (select *, row_number() over (partition by kind order by turn, url) as n from (select * from due union all select * from att)) where n <= 8")
 def u02x_due_and_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of unlike rows in one form, the first of each block."""

@@ -161,9 +161,9 @@ def f21_posting_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", extract.degree(F.col("body")).alias("degree"), extract.kind(F.col("body")).alias("kind"), extract.seniority(F.col("body")).alias("level"))
 
 
-@query("""select event_id, (props::json->>'k')::int as k, (ts - interval 3 hour)::date as batch_day, event_type from events where (props::json->>'k')::int >= 50""")
+@query("""select event_id, (props::json->>'k')::int as k, (ts - interval 3 hour)::date as batch_day, event_type from events""")
 def f19_batch_day_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of a JSON payload, and the civil day at a fixed UTC-3."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
-    return e.select("event_id", k.alias("k"), F.to_date(F.col("ts") - F.expr("interval 3 hours")).alias("batch_day"), "event_type").where("k >= 50")
+    return e.select("event_id", k.alias("k"), F.to_date(F.col("ts") - F.expr("interval 3 hours")).alias("batch_day"), "event_type")
