@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import bands, clusters
+from ..operators import bands, clusters, replay
 from ..operators.bands import BAND_DAYS
 from ..operators.storage import written
 from ..registry import query
@@ -51,6 +51,12 @@ def v14_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(items(spark, sf_dir))
 
 
+@query()
+def v14x_guarded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by the ordered replay with the representative guard; no SQL states it, ``tests/test_replay.py`` does."""
+    return replay.guarded_clusters(items(spark, sf_dir))
+
+
 @query(f"with {CLUSTERS} select cluster, count(*) as n_items, count(distinct domain) as n_domains, min(ts) as first_ts, max(ts) as last_ts, substring(sha256(string_agg(id::varchar, '|' order by id)), 1, 20) as cluster_key from assigned join news using (id) group by cluster")
 def a11_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
