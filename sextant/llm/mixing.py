@@ -73,7 +73,10 @@ def class_plans(classes: DataFrame, targets: DataFrame) -> DataFrame:
     # the level of the largest class that is not sure holds for all below it
     level = F.max_by("level", F.when(~F.col("sure"), F.col("class"))).over(Window.partitionBy("key"))
     p = F.when(F.col("sure"), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("lean") * level))
-    return rows.withColumn("p", p).select("key", "class", "source_size", "target", "certain", "lacking", "p")
+    # the mean of p over a source's words that are neither sure nor out
+    open_ = F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("class_size"))
+    mean = F.sum(open_ * F.col("p")).over(Window.partitionBy("key")) / F.greatest(F.lit(1), F.sum(open_).over(Window.partitionBy("key")))
+    return rows.withColumn("p", p).withColumn("mean_p", F.least(F.lit(0.999), F.coalesce(mean, F.lit(0.5)))).select("key", "class", "source_size", "target", "certain", "lacking", "p", "mean_p")
 
 
 def mix(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -94,8 +97,11 @@ def mix(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = WEIGHTS, m
     n_ranges = 64 + (classes.agg(F.sum("n")).first()[0] or 0) // range_rows
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
     placed = rows.join(plans, ["key", "class"]).withColumn("odds", F.when(F.col("p") > 0, odds))
-    # of the odds' share of 1: evenly filled where p is one half, never decreasing with the odds
-    placed = placed.withColumn("range", F.coalesce(F.floor(F.col("odds") / (1 + F.col("odds")) * n_ranges).cast("int"), F.lit(n_ranges)))
+    # Ranges never decrease with the odds and are filled about evenly: the odds as a random number again, by the source's mean p.
+    # Sure documents come first and those that can't be taken last, both in ranges of the random number itself.
+    scaled = F.col("odds") * F.col("mean_p") / (1 - F.col("mean_p"))
+    at = F.when(F.col("odds").isNull(), n_ranges + F.floor(F.col("u") * n_ranges)).when(F.col("odds") == 0, F.floor(F.col("u") * n_ranges) - n_ranges).otherwise(F.floor(scaled / (1 + scaled) * n_ranges))
+    placed = placed.withColumn("range", at.cast("int"))
     sums = placed.groupBy("key", "range").agg(F.sum("size").alias("range_size"))
     below = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialise(sums.select("key", "range", F.coalesce(F.sum("range_size").over(below), F.lit(0)).alias("range_base")), "range-bases")
