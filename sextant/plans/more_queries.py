@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar, text
+from ..functions import calendar
 from ..operators.storage import new_dir, written
 from ..registry import query
 from .news_queries import _band_sql, t06_bands
 from .posting_queries import SCORED, TIER_SQL, judged, tiers
-from .proxies import NEWS, NEWS_NOW, NOW, POSTINGS, news, postings
+from .proxies import NEWS, NOW, POSTINGS, news, postings
 from .state_queries import STATE, state
 
+#: Names of the bands by their days.
+BAND_NAMES = {"hoje": 0, "semana": 7, "quinzena": 15, "mes": 30}
 BANDS = f"bands as materialized ({_band_sql()})"
 
 
@@ -29,7 +31,15 @@ def a28_duplicate_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BANDS} select id, tab, place from bands where band = 7 and place <= 5")
 def t07_band_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t06_bands(spark, sf_dir).where("band = 7 and place <= 5").select("id", "tab", "place")
+    return band_slice(t06_bands(spark, sf_dir), "semana", 5).select("id", "tab", "place")
+
+
+def band_slice(shown: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """The rows of a named band in their order, at most ``most`` a tab; an unknown name is an error."""
+    if name not in BAND_NAMES:
+        raise ValueError(f"unknown band {name!r}: one of {', '.join(BAND_NAMES)}")
+    rows = shown.where(F.col("band") == BAND_NAMES[name])
+    return rows if most is None else rows.where(F.col("place") <= most)
 
 
 @query(f"with {NEWS} select id, case when ts::date = date '2024-01-30' then 'hoje ' || strftime(ts, '%H:%M') when ts::date = date '2024-01-29' then 'ontem' else strftime(ts, '%d/%m') end as shown from news")

@@ -90,6 +90,17 @@ def u03x_dedup_across_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(best, "title").select("id", "tab", (F.col("order") == F.col("best")).alias("kept"))
 
 
+@query(f"with {NEWS}, r as (select *, first_value(tab) over w as kept_tab, first_value(id) over w as kept_id, row_number() over w as n from news window w as (partition by title order by case tab when 'ciencia' then 1 when 'ia' then 2 when 'trabalho' then 3 else 4 end, id)) select id, tab, kept_id, kept_tab, case when tab = kept_tab then 'mesma aba' else 'precedência' end as decision from r where n > 1")
+def u03x_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of what lost: the row, the one that stayed, and whether a tab's precedence or the order inside it decided."""
+    precedence = F.when(F.col("tab") == "ciencia", 1).when(F.col("tab") == "ia", 2).when(F.col("tab") == "trabalho", 3).otherwise(4)
+    n = news(spark, sf_dir).select("id", "tab", "title", precedence.alias("rank"))
+    best = n.groupBy("title").agg(F.min(F.struct("rank", "id", "tab")).alias("best"))
+    lost = n.join(best, "title").where(F.col("id") != F.col("best.id"))
+    decision = F.when(F.col("tab") == F.col("best.tab"), "mesma aba").otherwise("precedência")
+    return lost.select("id", "tab", F.col("best.id").alias("kept_id"), F.col("best.tab").alias("kept_tab"), decision.alias("decision"))
+
+
 @query(f"with {NEWS}, s as (select id, tab, ts, (id * 7919 % 101)::int as signal from news), b as (select *, (ts - interval 3 hour)::date as day from s) select id, tab, day, count(*) over (partition by day, tab) as batch, round(((rank() over (partition by day, tab order by signal) - 1) + 0.5 * count(*) over (partition by day, tab, signal)) / count(*) over (partition by day, tab) * 100, 6) as percentile from b")
 def w02_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = news(spark, sf_dir).withColumn("signal", (F.col("id") * 7919 % 101).cast("int")).withColumn("day", F.to_date(F.col("ts") - F.expr("interval 3 hours")))

@@ -4,9 +4,11 @@ import datetime
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from sextant.operators import bands
+from sextant.plans.more_queries import band_slice
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -82,3 +84,10 @@ def test_cascade_matches_a_replay(spark):
             assert got[tab, days] == want
             clusters |= {x["cluster"] for x in own if x["id"] in want} - {None}
             links |= {x["link"] for x in own if x["id"] in want} - {None}
+
+
+def test_an_unknown_band_is_an_error(spark):
+    shown = spark.createDataFrame([(1, 7, 1), (2, 7, 9), (3, 0, 1)], "id int, band int, place int")
+    assert [x.id for x in band_slice(shown, "semana", 5).collect()] == [1]
+    with pytest.raises(ValueError, match="unknown band"):
+        band_slice(shown, "ano")
