@@ -19,13 +19,22 @@ def frequent_anchors(exploded: DataFrame) -> DataFrame:
     return n.join(sizes, ["tab", "lang"]).where((F.col("block") >= SMALL) & (F.col("n") > FREQUENT * F.col("block")))
 
 
+def kept_anchors(items: DataFrame) -> DataFrame:
+    """One row an item and anchor, without the anchors that are too common in their block."""
+    exploded = written(items.select("id", "tab", "lang", "domain", "ts", F.explode("anchors").alias("anchor")), "anchors")
+    return written(exploded.join(frequent_anchors(exploded).select("tab", "lang", "anchor"), ["tab", "lang", "anchor"], "left_anti"), "kept-anchors")
+
+
 def similar_pairs(items: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
-    """``items(id, tab, lang, domain, ts, anchors)`` to (a, b, common, jaccard) of pairs that tell the same fact.
+    """``items(id, tab, lang, domain, ts, anchors)`` to (a, b, common, jaccard, inside) of pairs that tell the same fact."""
+    return pairs_of(kept_anchors(items), across, inside, hours)
+
 
-    Items meet by an anchor and a time bucket of the window's width; each item stands in its own bucket and the next, which loses no pair.
+def pairs_of(kept: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
+    """Pairs of :func:`kept_anchors` rows.
+
+    Items meet by an anchor and a time bucket of the window's width; each item stands in its own bucket and its neighbours, which loses no pair.
     """
-    exploded = written(items.select("id", "tab", "lang", "domain", "ts", F.explode("anchors").alias("anchor")), "anchors")
-    kept = written(exploded.join(frequent_anchors(exploded).select("tab", "lang", "anchor"), ["tab", "lang", "anchor"], "left_anti"), "kept-anchors")
     sizes = kept.groupBy("id").agg(F.count("*").alias("n"))
     bucket = F.floor(F.unix_timestamp("ts") / (hours * 3600))
     left = kept.withColumn("bucket", bucket)
@@ -40,20 +49,31 @@ def similar_pairs(items: DataFrame, across: float = ACROSS, inside: float = INSI
 
 
 def clustered(items: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
-    """(id, cluster): items without a pair are clusters of their own."""
-    found = connected(similar_pairs(items, across, inside, hours), "cluster")
-    return items.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    """(id, cluster): items without a pair are clusters of their own.
+
+    Items of one block, domain, time and anchor set are one item here, whatever their number: they have the same pairs, and pairs
+    among themselves if they keep anchors enough.
+    """
+    kept = kept_anchors(items)
+    sets = kept.groupBy("id", "tab", "lang", "domain", "ts").agg(F.sort_array(F.collect_set("anchor")).alias("kept")).where(F.size("kept") >= COMMON)
+    same = written(sets.groupBy("tab", "lang", "domain", "ts", "kept").agg(F.min("id").alias("leader")), "leaders")
+    alike = [sets[c].eqNullSafe(same[c]) for c in ("tab", "lang", "domain", "ts", "kept")]
+    led = written(sets.join(same, alike).select("id", "leader"), "led")
+    leaders = same.select(F.col("leader").alias("id"), "tab", "lang", "domain", "ts", F.explode("kept").alias("anchor"))
+    found = connected(pairs_of(leaders, across, inside, hours), "cluster").withColumnRenamed("id", "leader")
+    placed = led.join(found, "leader", "left").select("id", F.coalesce("cluster", "leader").alias("cluster"))
+    return items.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def summaries(items: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Members, domains, time span and an id from the sorted members."""
+    """Members, domains, time span and a key of the members that needs no list of them."""
     joined = items.join(clusters, "id")
     return joined.groupBy("cluster").agg(
         F.count("*").alias("n_items"),
         F.countDistinct("domain").alias("n_domains"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), "|"), 256), 1, 20).alias("cluster_key"),
+        F.substring(F.sha2(F.concat_ws("|", F.count("*"), F.min("id"), F.max("id"), F.sum("id"), F.bit_xor("id")), 256), 1, 20).alias("cluster_key"),
     )
 
 

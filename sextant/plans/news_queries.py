@@ -57,7 +57,7 @@ def v14x_guarded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.guarded_clusters(items(spark, sf_dir))
 
 
-@query(f"with {CLUSTERS} select cluster, count(*) as n_items, count(distinct domain) as n_domains, min(ts) as first_ts, max(ts) as last_ts, substring(sha256(string_agg(id::varchar, '|' order by id)), 1, 20) as cluster_key from assigned join news using (id) group by cluster")
+@query(f"with {CLUSTERS} select cluster, count(*) as n_items, count(distinct domain) as n_domains, min(ts) as first_ts, max(ts) as last_ts, substring(sha256(concat_ws('|', count(*), min(id), max(id), sum(id)::bigint, bit_xor(id))), 1, 20) as cluster_key from assigned join news using (id) group by cluster")
 def a11_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     return clusters.summaries(i, clusters.clustered(i))

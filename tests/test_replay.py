@@ -7,7 +7,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from sextant.operators import replay
-from sextant.operators.clusters import ACROSS, COMMON, INSIDE
+from sextant.operators.clusters import ACROSS, COMMON, INSIDE, clustered, similar_pairs
+from sextant.operators.components import connected
 from sextant.operators.storage import new_dir
 from sextant.streaming.backfill import run_days
 from sextant.streaming.jobs import insert_unseen
@@ -75,6 +76,20 @@ def test_guarded_clusters_match_a_plain_replay(spark):
     assert max(sizes.values()) > 2
 
 
+def test_equal_items_are_led_by_one(spark):
+    words = ["alfa", "beta", "gama", "delta"]
+    at = lambda h: START + datetime.timedelta(hours=h)
+    items = [(k, "a", "pt", None if k % 2 else "d", at(1), words) for k in range(40)]
+    items += [(100, "a", "pt", "e", at(20), words[:3]), (101, "a", "pt", "d", at(60), words), (102, "a", "pt", "d", None, words), (103, "a", "pt", "d", at(1), words[:1]), (104, "a", "pt", "d", at(1), words[:1])]
+    items += [(200 + k, "a", "pt", "z", at(1), [f"o{k}", f"p{k}"]) for k in range(400)]  # else the shared words are too common
+    frame = spark.createDataFrame(items, "id long, tab string, lang string, domain string, ts timestamp, anchors array<string>")
+    found = dict(clustered(frame).collect())
+    want = {k: 0 for k in range(40)} | {100: 0, 101: 101, 102: 102, 103: 103, 104: 104} | {200 + k: 200 + k for k in range(400)}
+    loose = dict(connected(similar_pairs(frame).select("a", "b")).collect())
+    assert all(want[i] == c for i, c in loose.items())
+    assert found == want
+
+
 def test_unseen_items_over_several_batches_and_runs(spark):
     rows = [[(1, 10), (2, 20), (1, 5)], [(2, 1), (3, 30)], [(3, 2), (4, 40), (4, 39)]]
     landing, folder = new_dir(spark, "landing"), new_dir(spark, "unseen-test")
