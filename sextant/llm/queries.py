@@ -12,6 +12,7 @@ from .media import op7_wav_fingerprints
 from .mixing import OP6_SQL, op6_mixing
 from .near_duplicates import op9_near_duplicates
 from .packing import op3_packing
+from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .quality_model import op10_quality_model
 from .quality_rules import op4_quality_rules
 from .token_files import op1_token_files
@@ -19,9 +20,9 @@ from .warc import op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op2_html_text, op3_packing, op4_quality_rules, op5_line_dedup, op6_mixing, op7_wav_fingerprints, op8_warc, op9_near_duplicates, op10_quality_model)
+    found = (op1_token_files, op2_html_text, op3_packing, op4_quality_rules, op5_line_dedup, op6_mixing, op7_wav_fingerprints, op8_warc, op9_near_duplicates, op10_quality_model, op12_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op6_mixing": OP6_SQL, "op12_periodic_runs": OP12_SQL}
