@@ -1,10 +1,13 @@
 """Line dedup by a log-template tree.
 
 A line goes down a tree of fixed depth: its token count, then its first tokens, where a token with a digit is a variable.  In a leaf
-that many documents reach, tokens that hold a fair share of the leaf at their place are constant and the rest generalise to a
-variable; lines of the same constants are one template.  The leaf's own leading tokens don't make a template alone: it has a constant
-beyond them, or a digit in every variable's token.  A template of mostly constant tokens that recurs across documents is dropped
-from all of them, and so is a line that recurs as it stands.
+a token is constant at its place if lines with it there stand in ``min_docs`` line sets; digits and rarer tokens are variable, and lines of the
+same constants at the same places are one template.  A template of mostly constant tokens that recurs across documents is dropped
+from all of them, and so is a line that recurs as it stands.  The leaf's own leading tokens don't make a template alone: it has a
+constant beyond them, or a digit in every variable's token.
+
+Templates of one leaf are told apart in rounds: what is a field of one may be common only because of another, so the lines of the templates found are taken out and the
+leaf is looked at again, until it gives no more.  No share of the leaf plays a part, so other lines and their number don't hide a template.
 
 Copies of a document are one document here: a line's support is the number of different line sets it stands in, each known by
 a digest of the whole set; how many copies there are doesn't matter.  A near copy has a line set of its own, so the
@@ -14,12 +17,14 @@ few near copies would lose all they share.  Groups of copies are left to near-du
 Only lines in shared leaves move with their text.  A bitmap of fixed size over leaf hashes finds them in the scan, an exact join follows.
 
 Edge cases: a null text stays null; lines without a word and lines of fewer than ``min_tokens`` tokens are never dropped and don't count;
-a line that repeats inside a document counts once; rows that share a doc_id lose the same lines; an empty table gives no rows; ties in
-share are constant; other columns stay as they are; very long texts are one row's array of lines.
+a line that repeats inside a document counts once, as do its lines of one template; rows that share a doc_id lose the same lines; an empty table gives no rows; what stands in
+``min_docs`` line sets exactly recurs; other columns stay as they are; very long texts are one row's array of lines.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +35,7 @@ from .shared import materialise
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 5
-#: Least share of a leaf's documents for a constant token, of constant tokens in a template.
-CONSTANT = 0.2
+#: Least share of constant tokens in a template.
 SIMILAR = 0.6
 #: Share of a document's characters in lines that stand in other line sets too, from which it may be a near copy.
 COPIED = 0.5
@@ -96,29 +100,47 @@ def copies_as_one(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame
     return lines.join(groups, "document", "left").withColumn("document", F.coalesce("component_id", "document")).drop("component_id")
 
 
+def templates(tokens: DataFrame, pairs: DataFrame, depth: int, min_docs: int) -> DataFrame:
+    """(leaf, h, places, n_docs) of the lines whose template recurs, with the places of its constants.
+
+    ``tokens(leaf, h, sets, n, words, place, t)`` has the tokens without a digit of lines in ``sets`` line sets, of ``n`` tokens, ``words`` of them without a digit;
+    ``pairs(leaf, h, document)`` the line sets.
+    """
+    line = ["leaf", "h"]
+    found = []
+    while True:
+        common = tokens.groupBy("leaf", "place", "t").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= min_docs).select("leaf", "place", "t")
+        fixed = tokens.join(common, ["leaf", "place", "t"]).groupBy(*line).agg(F.count("*").alias("fixed"), F.max("n").alias("n"), F.max("words").alias("words"), F.max("place").alias("last"), F.bit_xor(F.xxhash64("place", "t")).alias("pattern"), F.array_sort(F.collect_list("place")).alias("places"))
+        steady = (F.col("fixed") >= F.greatest(F.lit(MIN_TOKENS), SIMILAR * F.col("n"))) & ((F.col("last") >= depth) | (F.col("fixed") == F.col("words")))
+        named = materialise(fixed.where(steady).select(*line, "pattern", "places"), "patterns")
+        held = named.join(pairs, line).select("leaf", "pattern", "document").distinct().groupBy("leaf", "pattern").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+        here = materialise(named.join(held, ["leaf", "pattern"]).select(*line, "places", "n_docs"), "templates")
+        found.append(here)
+        if here.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        left = tokens.join(here.select("leaf").distinct(), "leaf", "left_semi").join(here.select(*line), line, "left_anti")
+        tokens = materialise(left, "tokens-left")
+
+
+def recurring(lines: DataFrame, depth: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """((leaf, h, places, n_docs) of the lines that recur, (leaf, h, line, sets) of all lines); ``places`` is null for a line that recurs only as it stands."""
+    named = lines.select("leaf", F.xxhash64("line").alias("h"), "line", "document")
+    pairs = materialise(named.select("leaf", "h", "document").distinct(), "line-documents")
+    sets = pairs.groupBy("leaf", "h").agg(F.count("*").alias("sets"))
+    texts = named.groupBy("leaf", "h").agg(F.first("line").alias("line"))
+    distinct = materialise(texts.join(sets, ["leaf", "h"]), "distinct-lines")
+    spelt = distinct.withColumn("tokens", words(F.col("line"))).select("leaf", "h", "sets", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]"))).alias("words"), F.posexplode("tokens").alias("place", "t"))
+    tokens = materialise(spelt.where("not t rlike '[0-9]'").withColumn("t", F.xxhash64("t")), "line-tokens")
+    by_template = templates(tokens, pairs, depth, min_docs)
+    whole = sets.where(F.col("sets") >= min_docs).join(by_template, ["leaf", "h"], "left_anti").select("leaf", "h", F.lit(None).cast("array<int>").alias("places"), F.col("sets").alias("n_docs"))
+    return by_template.unionByName(whole), distinct
+
+
 def recurring_lines(lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
     """(h, line, template, n_docs): lines of shared leaves that recur, as they stand or by their template."""
-    per_set = lines.groupBy("leaf", "line", "document").agg(F.count("*").alias("n"))
-    distinct = materialise(per_set.groupBy("leaf", "line").agg(F.sum("n").alias("docs"), F.count("*").alias("sets")), "distinct-lines")
-    tokens = distinct.withColumn("tokens", words(F.col("line")))
-
-    recurs = lambda sets: F.col(sets) >= min_docs
-    leaf_docs = distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"))
-    at_place = tokens.select("leaf", "docs", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("token_docs"))
-    # at most 1 / CONSTANT tokens a place
-    constant = at_place.join(leaf_docs, "leaf").where((F.col("token_docs") >= CONSTANT * F.col("leaf_docs")) & (F.col("token_docs") >= min_docs))
-    constants = constant.groupBy("leaf").agg(F.collect_list(F.concat_ws("\x00", "place", "token")).alias("constants"))
-    generalised = F.transform("tokens", lambda t, k: F.when(F.array_contains("constants", F.concat_ws("\x00", k, t)), t).otherwise(F.lit(VARIABLE)))
-    named = tokens.join(constants, "leaf", "left").withColumn("constants", F.coalesce("constants", F.array().cast("array<string>"))).withColumn("template", generalised)
-    fixed = F.size(F.filter("template", lambda t: t != VARIABLE))
-    beyond = F.size(F.filter("template", lambda t, k: (k >= depth) & (t != VARIABLE))) > 0
-    fields = F.size(F.filter("template", lambda t, k: (t == VARIABLE) & ~F.get("tokens", k).rlike("[0-9]"))) == 0
-    steady = (fixed >= F.greatest(F.lit(MIN_TOKENS), SIMILAR * F.size("template"))) & (beyond | fields)
-    named = materialise(named.select("leaf", "line", "docs", "sets", F.array_join("template", " ").alias("template"), steady.alias("steady")), "templates")
-    templates = named.where("steady").groupBy("leaf", "template").agg(F.sum("docs").alias("t_docs"), F.sum("sets").alias("t_sets")).where(recurs("t_sets"))
-    found = named.join(templates, ["leaf", "template"], "left")
-    by_template = F.col("t_docs").isNotNull() & F.col("steady")
-    return found.where(by_template | recurs("sets")).select(F.xxhash64("line").alias("h"), "line", F.when(by_template, F.col("template")).otherwise(F.col("line")).alias("template"), F.when(by_template, F.col("t_docs")).otherwise(F.col("docs")).alias("n_docs"))
+    found, distinct = recurring(lines, depth, min_docs)
+    template = F.array_join(F.transform(words(F.col("line")), lambda t, k: F.when(F.array_contains("places", k), t).otherwise(F.lit(VARIABLE))), " ")
+    return found.join(distinct, ["leaf", "h"]).select("h", "line", F.when(F.col("places").isNull(), F.col("line")).otherwise(template).alias("template"), "n_docs")
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, name: str = "line_dedup") -> DataFrame:
@@ -126,7 +148,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     lines = lines_of(docs, depth, min_tokens)
     shared = materialise(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "shared-leaves")
     near = materialise(lines.where(in_bitmap(F.col("leaf"), bitmap_of(shared))).join(shared, "leaf"), "shared-lines")
-    dropped = materialise(recurring_lines(materialise(copies_as_one(docs, near, min_docs), "line-sets"), depth, min_docs).select("h").distinct(), "recurring-lines")
+    dropped = materialise(recurring(materialise(copies_as_one(docs, near, min_docs), "line-sets"), depth, min_docs)[0].select("h").distinct(), "recurring-lines")
     per_doc = near.select("doc_id", F.xxhash64("line").alias("h")).join(dropped, "h").groupBy("doc_id").agg(F.collect_set("h").alias("line_hashes")).withColumnRenamed("doc_id", "line_doc_id")
     hashes = per_doc["line_hashes"]
     joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["line_doc_id"]), "left")

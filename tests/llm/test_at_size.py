@@ -20,7 +20,8 @@ TABLES = "/root/testdata/sf0.01"
 
 
 def frame_of(spark, data):
-    return spark.createDataFrame([(i, t, "en", "a", *rows()[0][4:]) for i, t in data], SCHEMA)
+    rest = rows()[0][4:]
+    return spark.createDataFrame([(i, t, "en", "a", *rest) for i, t in data], SCHEMA)
 
 
 def test_a_hot_group_of_near_copies_matches_brute_force(spark, monkeypatch):

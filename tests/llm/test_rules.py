@@ -14,6 +14,8 @@ from .conftest import SCHEMA, prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
+REST = rows()[0][4:]
+
 
 def counts(text):
     text = text or ""
@@ -54,14 +56,14 @@ def test_the_posterior_overrules_one_junk_vote(spark):
     plain = [prose(i, 120) for i in range(120)]
     twice = [f"{x}\n" + "Read\nNext\nBack\n" * 2 for x in plain[:12]]  # short lines repeat, nothing else is wrong
     junk = [" ".join(f"{w}### |" for w in prose(900 + i, 120).split()) for i in range(30)]
-    r = [(i, t, "en", "a", *rows()[0][4:]) for i, t in enumerate([*plain[12:], *twice, *junk])]
+    r = [(i, t, "en", "a", *REST) for i, t in enumerate([*plain[12:], *twice, *junk])]
     found = {x.doc_id: x for x in judged(spark.createDataFrame(r, SCHEMA), ["doc_id"], "v").select("doc_id", "v.*").collect()}
     assert all(found[i].kept for i in range(120)) and not any(found[i].kept for i in range(120, 150))
     assert all(found[i].votes["lines"] == -1 for i in range(108, 120))
 
 
 def test_mixing_comes_near_its_targets(spark, docs):
-    r = [(i, prose(i, 20 + i % 50), "en", f"s{i % 3}" if i % 4 else None, *rows()[0][4:]) for i in range(400)]
+    r = [(i, prose(i, 20 + i % 50), "en", f"s{i % 3}" if i % 4 else None, *REST) for i in range(400)]
     d = spark.createDataFrame(r, SCHEMA)
     found = mix(d, ["doc_id", "source"]).select("row.*", "size", "source_size", "target", "copies", "taken").collect()
     assert len(found) == 400
@@ -84,7 +86,7 @@ def test_mixing_edge_cases(docs, no_docs):
 
 
 def test_long_documents_are_likelier_in_a_mix(spark):
-    r = [(i, "w " * (4 if i % 2 else 64), "en", "ab"[i % 4 // 2], *rows()[0][4:]) for i in range(2000)]
+    r = [(i, "w " * (4 if i % 2 else 64), "en", "ab"[i % 4 // 2], *REST) for i in range(2000)]
     taken = mix(spark.createDataFrame(r, SCHEMA), ["source"], weights=(1, 3)).where("row.source = 'a'").groupBy("size").agg(F.avg("copies").alias("rate")).collect()
     rate = {x["size"]: x["rate"] for x in taken}
     # the square root of the size classes makes them four times as likely
@@ -92,7 +94,7 @@ def test_long_documents_are_likelier_in_a_mix(spark):
 
 
 def test_targets_stop_at_three_times_a_source(spark):
-    r = [(i, "w " * n, "en", s, *rows()[0][4:]) for i, (s, n) in enumerate([("a", 1000), ("b", 10), ("c", 5), ("d", 400)])]
+    r = [(i, "w " * n, "en", s, *REST) for i, (s, n) in enumerate([("a", 1000), ("b", 10), ("c", 5), ("d", 400)])]
     found = {x.source: x.target for x in mix(spark.createDataFrame(r, SCHEMA), ["source"]).select("row.source", "target").collect()}
     # b and c stop at 30 and 15; the rest is shared 1 : 1 between a and d, whose weights are both 1
     assert found == pytest.approx({"a": 685, "b": 30, "c": 15, "d": 685})
@@ -102,7 +104,7 @@ def test_recurring_lines_go_and_copies_stay(spark, docs, no_docs):
     boiler = "All rights are reserved by somebody."
     texts = [f"{prose(100 + i, 60)}\n{boiler}\nPage {i} of the big report\n{prose(200 + i, 60)}" for i in range(12)]
     copy = "\n".join(prose(900 + k, 40) for k in range(5))
-    r = [(i, t, "en", "a", *rows()[0][4:]) for i, t in enumerate([*texts, *[copy] * 20, None, "", boiler])]
+    r = [(i, t, "en", "a", *REST) for i, t in enumerate([*texts, *[copy] * 20, None, "", boiler])]
     found = {x.doc_id: x for x in drop_recurring_lines(spark.createDataFrame(r, SCHEMA)).select("doc_id", "text", F.col("line_dedup.text").alias("cut"), "line_dedup.n_dropped").collect()}
     for i in range(12):
         assert found[i].cut == "\n".join(x for x in texts[i].split("\n") if x != boiler and not x.startswith("Page "))
@@ -116,7 +118,7 @@ def test_recurring_lines_go_and_copies_stay(spark, docs, no_docs):
 def test_quality_model_on_held_out_rows(spark, docs, no_docs):
     good = [(i, prose(i, 80)) for i in range(300)]
     bad = [(1000 + i, " ".join(f"{w}$$$" for w in prose(i, 80).split())) for i in range(60)]
-    r = [(i, t, "en", "a", *rows()[0][4:]) for i, t in good + bad + [(5000, None), (5001, "")]]
+    r = [(i, t, "en", "a", *REST) for i, t in good + bad + [(5000, None), (5001, "")]]
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[::2]] + [(i, 0, 0) for i, _ in bad[::2]], "doc_id long, quality int, toxic int")
     found = {x.doc_id: x for x in score_quality(spark.createDataFrame(r, SCHEMA), labels).collect()}
     assert len(found) == 362 and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in found.values())
@@ -160,6 +162,19 @@ def test_articles_of_other_templates(template):
     assert main_text(template.format(LONG)) == f"Head {LONG} {LONG}"
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="login-page">{}</div>', '<div id="comments-enabled">{}</div>', '<div class="ads-free">{}</div>', '<form id="aspnetForm">{}</form>', '<form><div class="ads-free layout">{}</div></form>'])
+def test_suspect_words_of_a_wrapper_lose_no_article(wrapper):
+    body = f'<nav><a href="/">Home</a></nav><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><div class="ad-slot"><p>Buy this now.</p></div><form><label>Mail</label><input></form>'
+    assert main_text(wrapper.format(body)) == f"Head {LONG} {LONG}"
+    assert main_text(wrapper.format(f"<article>{body}</article>")) == f"Head {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("tag", ['<div class="comments">', '<div class="ad-slot">', '<form class="search">', '<section class="comments-area">'])
+def test_suspect_containers_beside_the_article_go(tag):
+    end = tag.split()[0].strip("<>")
+    assert main_text(f"<div><h2>Head</h2><p>{LONG}</p></div>{tag}<p>{LONG}</p></{end}>") == f"Head {LONG}"
+
+
 def test_the_threshold_decides():
     page = TEMPLATES[3].format(LONG)
     assert main_text(page, cut=0.0) == f"One Two Head {LONG} {LONG}" != main_text(page)
@@ -180,7 +195,7 @@ def test_pages_of_a_table(spark):
 
 def cut_lines(spark, texts):
     """What line dedup leaves of each text, by its place."""
-    r = [(i, t, "en", "a", *rows()[0][4:]) for i, t in enumerate(texts)]
+    r = [(i, t, "en", "a", *REST) for i, t in enumerate(texts)]
     return {x.doc_id: x.cut for x in drop_recurring_lines(spark.createDataFrame(r, SCHEMA)).select("doc_id", F.col("line_dedup.text").alias("cut")).collect()}
 
 
