@@ -36,10 +36,14 @@ BANDS = 36
 ROWS = 5
 SHINGLE = 5
 PERCENT = 80
-#: 64-bit words of the bitmap that stands for a set in a mixed bucket.
+#: Least 64-bit words of the bitmap that stands for a set in a mixed bucket, and its least bits for each shingle: what is in one set only seldom meets a bit of the other.
 WORDS = 32
-#: Members of a block; two blocks are compared at once.
+SPREAD = 8
+#: Members of a block, and bytes of their bitmaps; two blocks are compared at once.
 SPLIT = 1000
+SPLIT_BYTES = 1 << 23
+#: 64-bit words that are compared at once.
+AT_ONCE = 1 << 21
 #: Steps that are worked out from their history; beyond these a text's permutations are kept as a table.
 CHAINED = 8
 
@@ -118,8 +122,8 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, bitmaps = [], []
         for hashes, alone in zip(batch.column("hashes"), batch.column("alone"), strict=True):
             own = np.setdiff1d(hashes.values.to_numpy(), alone.values.to_numpy() if alone.is_valid else [], assume_unique=True)
-            bits = np.zeros(64 * WORDS, np.uint8)
-            bits[own.view(np.uint64) >> np.uint64(64 - (64 * WORDS - 1).bit_length())] = 1
+            bits = np.zeros(max(64 * WORDS, 1 << (SPREAD * len(own)).bit_length()), np.uint8)
+            bits[own.view(np.uint64) & np.uint64(len(bits) - 1)] = 1
             sizes.append(len(own))
             bitmaps.append(np.packbits(bits).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.list_(pa.int64()))], ["node", "s", "bitmap"])
@@ -149,13 +153,30 @@ def may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int) -
     inside, outside = np.minimum(least, np.minimum(*common)), np.minimum(least, np.minimum(n[0] - common[0], n[1] - common[1]))
     open_ = np.not_equal(*at("component")) & (100 * least >= percent * np.maximum(*n)) & ((100 + percent) * np.minimum(least, inside + outside) >= percent * total)
     i, j = np.nonzero(open_)
-    bx, by = x["bitmap"][i], y["bitmap"][j]
-    both = np.bitwise_count(bx & by).sum(1, dtype=np.int64)
-    most = np.minimum(x["s"][i] - np.bitwise_count(bx).sum(1, dtype=np.int64), y["s"][j] - np.bitwise_count(by).sum(1, dtype=np.int64)) + both
+    several = [z["s"] - np.bitwise_count(z["bitmap"]).sum(1, dtype=np.int64) for z in (x, y)]
+    step = max(1, AT_ONCE // x["bitmap"].shape[1])
+    both = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(x["bitmap"][i[k : k + step]] & y["bitmap"][j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step))])
+    most = np.minimum(several[0][i], several[1][j]) + both
     fits = (100 + percent) * most >= percent * (x["n"][i] + y["n"][j])
     return i[fits], j[fits]
 
 
+def folded(bitmap: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap of hashes modulo its bits as one of ``n`` words."""
+    while len(bitmap) > n:
+        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def alike(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]]:
+    """Two blocks as parts with bitmaps of one size."""
+    sizes = [np.array([len(b) for b in z["bitmap"]]) for z in (x, y)]
+    for a in np.unique(sizes[0]):
+        for b in np.unique(sizes[1]):
+            parts = [{c: v[own] for c, v in z.items()} for z, own in ((x, sizes[0] == a), (y, sizes[1] == b))]
+            yield tuple(part | {"bitmap": np.stack([folded(m, min(a, b)) for m in part["bitmap"]])} for part in parts)
+
+
 BLOCK = ("lead", "lo", "hi", "part", "node", "component", "n", "common", "s")
 
 
@@ -164,18 +185,21 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in BLOCK}
-        return own | {"bitmap": batch.column("bitmap").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)}
+        bitmaps = np.empty(batch.num_rows, object)
+        for k, x in enumerate(batch.column("bitmap")):
+            bitmaps[k] = x.values.to_numpy().view(np.uint64)
+        return own | {"bitmap": bitmaps}
 
     def pairs(block: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         one = block["part"] == block["lo"][0]
         other = one if block["lo"][0] == block["hi"][0] else ~one
         y = {c: v[other] for c, v in block.items()}
         for first in range(0, int(one.sum()), 64):
-            x = {c: v[one][first : first + 64] for c, v in block.items()}
-            i, j = may_link(x, y, percent)
-            a, b = np.minimum(x["node"][i], y["node"][j]), np.maximum(x["node"][i], y["node"][j])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for u, v in alike({c: v[one][first : first + 64] for c, v in block.items()}, y):
+                i, j = may_link(u, v, percent)
+                a, b = np.minimum(u["node"][i], v["node"][j]), np.maximum(u["node"][i], v["node"][j])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
@@ -198,16 +222,18 @@ def residual_pairs(placed: DataFrame, bodies: DataFrame, k: int, percent: int) -
     The buckets of one lead are compared as one, so that a pair meets once for each lead it shares.  All bounds are exact.  A shingle that stands in one node
     of these alone is common to no pair; a node with too many of them has no link.  Of the others, what the two bitmaps show to be in one
     set only is not common; nor can two nodes have more in common than the smaller of their parts inside the lead plus the smaller of
-    their parts outside.  Members of a lead are split into blocks of about ``SPLIT``; each pair of blocks is compared in one task.
+    their parts outside.  Bitmaps grow with the sets, so the bound is as near for long texts as for short ones.  Members of a lead are split into blocks of about
+    ``SPLIT`` rows and ``SPLIT_BYTES``; each pair of blocks is compared in one task.
     """
-    several = lambda rows, by: rows.groupBy(by).agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("held")).where("first < last").select(by, "held")
+    several = lambda rows, by, *more: rows.groupBy(by).agg(F.min("component").alias("first"), F.max("component").alias("last"), *more).where("first < last").drop("first", "last")
     mixed = materialise(placed.join(several(placed, "key"), "key").select("lead", "node", "n", "common", "component").distinct(), "mixed-buckets")
     sets = materialise(bodies.join(mixed.select("node").distinct(), "node", "left_semi").mapInArrow(lambda it: _sets_of(it, k), "node long, hashes array<long>"), "mixed-sets")
     once = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
     alone = once.groupBy("node").agg(F.collect_list("h").alias("alone"))
     outlines = sets.join(alone, "node", "left").select("node", "hashes", "alone").mapInArrow(_outline, "node long, s long, bitmap array<long>")
     open_ = materialise(mixed.join(outlines, "node").where(f"100 * s >= {percent} * n"), "open-buckets")
-    left = open_.join(several(open_, "lead"), "lead").withColumn("parts", F.expr(f"1 + held div {SPLIT}")).withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
+    parts = F.greatest(F.expr(f"1 + count(*) div {SPLIT}"), F.expr(f"1 + sum(8L * size(bitmap)) div {SPLIT_BYTES}"))
+    left = open_.join(several(open_, "lead", parts.alias("parts")), "lead").withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
     dealt = left.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
     blocks_ = dealt.select(*BLOCK, "bitmap").repartition("lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi")
     return blocks_.mapInArrow(lambda it: _block_pairs(it, percent), "a long, b long").where("a < b").distinct()
