@@ -6,8 +6,8 @@ sparse lines.  The containers of dense lines are the content regions; what stand
 list of an article stays, but for blocks without a dense line that are mainly links.
 
 Elements that are never the article (menus, footers, forms, scripts) don't count as lines.  A class, id or role that speaks of adverts, comments
-or the like makes a container suspect; it goes unless it turns out to wrap the article: it holds the one that the page names, or,
-where its words are weak, nearly all dense text.
+or the like, or a form, makes a container suspect; it goes unless it turns out to wrap the article: it holds the one that the page names, or,
+where its words are weak, nearly all dense text, or, where they stand among others, all but a little of what would be left without it.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; a page without mark-up is one
 line; unclosed elements end with their parent; repeated pages give equal rows; an empty table gives no rows; other columns are ignored; very long
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Elements without content, elements that start a line, and elements that are never the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-OUTSIDE = frozenset("aside audio button canvas dialog embed footer form head header iframe input label menu nav noscript object option script select style svg template textarea title video".split())
+OUTSIDE = frozenset("aside audio button canvas dialog embed footer head header iframe input label menu nav noscript object option script select style svg template textarea title video".split())
 #: Words in a class, id or role that mark what isn't the article.
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion promoted related reply replies responses search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget widgets alert warning overlay paywall login".split()
@@ -49,13 +49,13 @@ SIGMA = 1.5
 LINKS = 0.5
 WRAPS = 0.8
 #: How an element stands to the article.
-INSIDE, WEAK, STRONG, NEVER = range(4)
+INSIDE, WEAK, HINT, STRONG, NEVER = range(5)
 
 
 def standing(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
     if tag in OUTSIDE and not (tag == "header" and in_article):
         return NEVER
-    found = INSIDE
+    found = HINT if tag == "form" else INSIDE
     for name, value in attrs:
         if name in ("class", "id", "role") and value and tag not in ("html", "body"):
             marks = OUTSIDE_ARTICLE_WORDS if tag in ARTICLE else OUTSIDE_WORDS
@@ -65,7 +65,8 @@ def standing(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
                 if "header" in own and (in_article or not PARTS.isdisjoint(words)):
                     own = own - {"header"}
                 if own and words[0] not in NEGATED:
-                    found = max(found, WEAK if own <= WEAK_WORDS else STRONG)
+                    # a word among others may as well tell what the page has or lacks
+                    found = max(found, WEAK if own <= WEAK_WORDS else STRONG if own.issuperset(words) else HINT)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return NEVER
     return found
@@ -207,7 +208,18 @@ def without_suspects(lines: list[Line], cut: float | None) -> list[Line]:
             if how == WEAK:
                 held[n] = held.get(n, 0) + len(x.text)
     wrappers |= {n for n, size in held.items() if size >= WRAPS * total}
-    return [x for x in lines if all(n in wrappers for n, _ in x.suspects)]
+    while True:
+        kept = [x for x in lines if all(n in wrappers for n, _ in x.suspects)]
+        # where hardly any text would be left, the container of most dense text is the page's body, if its words are no more than a hint
+        inside: dict[int, int] = {}
+        for x in dense:
+            outer = next(((n, how) for n, how in x.suspects if n not in wrappers), None)
+            if outer and outer[1] <= HINT:
+                inside[outer[0]] = inside.get(outer[0], 0) + len(x.text)
+        body = max(inside, key=inside.__getitem__, default=0)
+        if not body or inside[body] < WRAPS * (inside[body] + sum(len(x.text) for x in kept)):
+            return kept
+        wrappers.add(body)
 
 
 def without_links(lines: list[Line], cut: float) -> list[Line]:
