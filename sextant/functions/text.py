@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +19,6 @@ STOP_WORDS_EN = "the an and or but if of on in to for with without from by at as
 STOP_WORDS = STOP_WORDS_PT + STOP_WORDS_EN
 #: Character references by name and number, in their order; the ampersand comes after all numbers.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#039;": "'", "&#34;": '"', "&#034;": '"', "&#8217;": "\u2019", "&#8216;": "\u2018", "&#8220;": "\u201c", "&#8221;": "\u201d", "&#8211;": "\u2013", "&#8212;": "\u2014", "&#160;": " "}
-#: Further names that pages use.
-MORE_ENTITIES = {"&copy;": "©", "&middot;": "·"}
 
 
 def strip_accents(c: Column) -> Column:
@@ -81,20 +80,26 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.when((n > 0) & (n < 0x110000), F.decode(F.unhex(units), "UTF-16BE")).otherwise("")
 
 
-def _numbered(c: Column, mark: str, digits: str, base: int) -> Column:
-    """Splits at the mark and turns the number at the head of each piece into its character."""
-    cut = F.split(c, mark, -1)
-    piece = lambda p: F.when(p.rlike(f"^{digits};"), F.concat(_code_point(F.regexp_extract(p, f"^({digits});", 1), base), F.regexp_replace(p, f"^{digits};", ""))).otherwise(F.concat(F.lit("&#x" if base == 16 else "&#"), p))
-    return F.when(F.size(cut) > 1, F.concat(F.get(cut, 0), F.array_join(F.transform(F.slice(cut, 2, F.greatest(F.lit(1), F.size(cut) - 1)), piece), ""))).otherwise(c)
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _replaced(c: Column, pattern: str, letter: Callable[[Column], Column]) -> Column:
+    """Splits at the ampersands; a piece whose head fits the pattern gives way to its ``letter``, if that isn't null."""
+
+    def piece(p: Column) -> Column:
+        return let(F.regexp_extract(p, f"^({pattern});", 1), lambda head: F.coalesce(F.when(head != "", F.concat(letter(head), F.substring(p, F.length(head) + 2, F.length(p)))), F.concat(F.lit("&"), p)))
+
+    return let(F.split(c, "&", -1), lambda cut: F.concat(F.get(cut, 0), F.array_join(F.transform(F.slice(cut, F.lit(2), F.size(cut)), piece), "")))
 
 
 def decode_entities(c: Column) -> Column:
-    """Named, decimal and hexadecimal references; the ampersand last: &amp;lt; stays a reference."""
-    whole = c
-    for name, letter in (ENTITIES | MORE_ENTITIES).items():
-        c = F.regexp_replace(c, f"(?i){name}", letter)
-    c = _numbered(_numbered(c, "&#(?![xX])", "[0-9]+", 10), "(?i)&#x", "[0-9a-fA-F]+", 16)
-    return F.when(whole.contains("&"), F.regexp_replace(c, "(?i)&amp;", "&")).otherwise(whole)
+    """Named and decimal references, then hexadecimal ones; the ampersand last: &amp;lt; stays a reference."""
+    names = F.create_map(*(F.lit(x) for name, letter in ENTITIES.items() if "#" not in name for x in (name[1:-1], letter)))
+    first = lambda head: F.when(F.startswith(head, F.lit("#")), _code_point(F.substring(head, 2, 20), 10)).otherwise(F.element_at(names, F.lower(head)))
+    decoded = lambda x: F.regexp_replace(_replaced(_replaced(x, "[a-zA-Z]{2,4}|#[0-9]+", first), "#[xX][0-9a-fA-F]+", lambda head: _code_point(F.substring(head, 3, 20), 16)), "(?i)&amp;", "&")
+    return let(c, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
 def strip_tags(c: Column) -> Column:

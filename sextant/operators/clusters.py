@@ -10,6 +10,10 @@ from .storage import written
 
 #: Least Jaccard across and inside a domain, least common anchors, window, share that makes an anchor too common, least block for that cut.
 ACROSS, INSIDE, COMMON, HOURS, FREQUENT, SMALL = 0.34, 0.60, 2, 36, 0.15, 20
+#: Items of one anchor in one task.
+SPLIT = 2000
+#: Span of ids whose members of one cluster are digested together.
+KEYED = 10_000
 
 
 def frequent_anchors(exploded: DataFrame) -> DataFrame:
@@ -31,21 +35,32 @@ def similar_pairs(items: DataFrame, across: float = ACROSS, inside: float = INSI
 
 
 def pairs_of(kept: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
-    """Pairs of :func:`kept_anchors` rows.
+    """Pairs of :func:`kept_anchors` rows, by an exact set-similarity join.
 
-    Items meet by an anchor and a time bucket of the window's width; each item stands in its own bucket and its neighbours, which loses no pair.
+    An item's anchors are put in order from the rarest.  Two sets as alike as asked have their rarest common anchor near both heads: only so many anchors of an item are
+    looked up that those left out couldn't make up the least similarity alone, so an anchor that many items hold is seldom looked up.  Items meet by such an
+    anchor and a time bucket of the window's width; each item stands in its own bucket and its neighbours, which loses no pair.  A pair counts
+    where it meets by its rarest common anchor, so once.  Items of an anchor with more than ``SPLIT`` are dealt over several tasks.
     """
-    sizes = kept.groupBy("id").agg(F.count("*").alias("n"))
+    least = min(across, inside)
+    counts = kept.groupBy("tab", "lang", "anchor").agg(F.count("*").alias("n"))
+    sets = kept.join(counts, ["tab", "lang", "anchor"]).groupBy("id", "tab", "lang", "domain", "ts").agg(F.sort_array(F.collect_set(F.struct("n", "anchor"))).alias("own"))
+    size = F.size("own")
+    heads = size - F.greatest(F.ceil(least * size - 1e-9), F.lit(COMMON)).cast("int") + 1
     bucket = F.floor(F.unix_timestamp("ts") / (hours * 3600))
-    left = kept.withColumn("bucket", bucket)
-    right = kept.select("id", "tab", "lang", "domain", "ts", "anchor", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    looked_up = written(sets.where(size >= COMMON).withColumn("bucket", bucket).withColumn("x", F.explode(F.slice("own", F.lit(1), heads))), "looked-up-anchors")
+    parts = F.expr(f"1 + x.n div {SPLIT}")
+    left = looked_up.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    right = looked_up.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     a, b = left.alias("a"), right.alias("b")
+    meet = F.expr("a.tab = b.tab and a.lang = b.lang and a.x = b.x and a.bucket = b.bucket and a.part = b.part and a.id < b.id")
     near = F.abs(F.unix_timestamp("a.ts") - F.unix_timestamp("b.ts")) <= hours * 3600
-    met = a.join(b, F.expr("a.tab = b.tab and a.lang = b.lang and a.anchor = b.anchor and a.bucket = b.bucket and a.id < b.id") & near)
-    pairs = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.domain") == F.col("b.domain")).alias("inside")).agg(F.count("*").alias("common"))
-    sized = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "n_b"}), "b")
-    sized = sized.withColumn("jaccard", F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return sized.where((F.col("common") >= COMMON) & (F.col("jaccard") >= F.when(F.col("inside"), inside).otherwise(across))).select("a", "b", "common", "jaccard", "inside")
+    n_a, n_b = F.size("a.own"), F.size("b.own")
+    sizes = (n_a >= least * n_b - 1e-9) & (n_b >= least * n_a - 1e-9)
+    met = a.join(b, meet & near & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.domain") == F.col("b.domain")).alias("inside"), F.array_intersect("a.own", "b.own").alias("both"), F.col("a.x").alias("x"), (n_a + n_b).alias("total"))
+    pairs = met.where(F.get("both", 0) == F.col("x")).select("a", "b", F.size("both").cast("long").alias("common"), "total", "inside")
+    jaccard = F.col("common") / (F.col("total") - F.col("common"))
+    return pairs.withColumn("jaccard", jaccard).where((F.col("common") >= COMMON) & (F.col("jaccard") >= F.when(F.col("inside"), inside).otherwise(across))).select("a", "b", "common", "jaccard", "inside")
 
 
 def clustered(items: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
@@ -66,15 +81,15 @@ def clustered(items: DataFrame, across: float = ACROSS, inside: float = INSIDE,
 
 
 def summaries(items: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Members, domains, time span and a key of the members that needs no list of them."""
+    """Members, domains, time span and a key of the members: a digest of the digests of their sorted ids, part by part of ``KEYED`` ids, so that no task holds the whole list."""
     joined = items.join(clusters, "id")
-    return joined.groupBy("cluster").agg(
-        F.count("*").alias("n_items"),
-        F.countDistinct("domain").alias("n_domains"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.substring(F.sha2(F.concat_ws("|", F.count("*"), F.min("id"), F.max("id"), F.sum("id"), F.bit_xor("id")), 256), 1, 20).alias("cluster_key"),
+    parts = joined.groupBy("cluster", F.expr(f"id div {KEYED}").alias("part")).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_set(F.col("id").cast("long"))).cast("array<string>"), ","), 256).alias("digest"), F.count("*").alias("n"), F.collect_set("domain").alias("domains"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
+    whole = parts.groupBy("cluster").agg(F.sum("n").alias("n_items"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), ",").alias("digests"))
+    domains = parts.select("cluster", F.explode("domains").alias("domain")).groupBy("cluster").agg(F.countDistinct("domain").alias("n_domains"))
+    # a null domain counts for none
+    return whole.join(domains, "cluster", "left").select("cluster", "n_items", F.coalesce("n_domains", F.lit(0).cast("long")).alias("n_domains"), "first_ts", "last_ts", F.substring(F.sha2("digests", 256), 1, 20).alias("cluster_key"))
 
 
 def mid_rank_percentile(items: DataFrame, by: list[str], value: str) -> DataFrame:

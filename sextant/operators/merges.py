@@ -47,17 +47,29 @@ def canonical_acronyms(rows: DataFrame, names: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.coalesce(F.min_by("known", F.when(F.col("known").isNotNull(), F.col("place"))), longest).alias("acronym"))
 
 
+#: Columns of the decision state.
+STATE = ("url", "track", "enrolled", "discarded", "stage", "stage_at", "enrolled_at", "discarded_at", "owner", "note")
+
+
 def harvest_flags(stored: DataFrame, captures: DataFrame, now: str) -> DataFrame:
-    """``captures(url, enrolled, discarded)`` over ``stored``; stored rows without a capture are left out, as they don't change."""
-    at = F.lit(now).cast("timestamp")
-    c = captures.groupBy("url").agg(F.bool_or("enrolled").alias("enrolled"), F.bool_or("discarded").alias("discarded")).alias("c")
-    s = stored.withColumn("known", F.lit(True)).alias("s")
-    j = c.join(s, "url", "left").where("known or c.enrolled or c.discarded")
-    new = F.col("known").isNull()
-    moved = F.col("c.enrolled") != F.col("s.enrolled")
-    owner = F.when(new | moved | (F.col("c.discarded") != F.col("s.discarded")), "humano").otherwise(F.col("owner"))
-    enrolled_at = F.when(new, F.when(F.col("c.enrolled"), at)).when(moved, at).otherwise(F.col("enrolled_at"))
-    return j.select("url", "track", F.col("c.enrolled").alias("enrolled"), F.col("c.discarded").alias("discarded"), F.coalesce("stage", F.lit("")).alias("stage"), "stage_at", enrolled_at.alias("enrolled_at"), owner.alias("owner"))
+    """The whole state after ``captures(url, track, enrolled, discarded, place)``: a full outer merge, with a column ``changed``.
+
+    Captures of one address merge by or, under the first track that they name.  An address without a capture stays as it is; a new one is stored if a flag is set.
+    A change makes the row a person's, and a time moves only with its own flag.
+    """
+    at, none = F.lit(now).cast("timestamp"), F.lit(None).cast("timestamp")
+    named = F.when(F.col("track") != "", F.struct("place", "track"))
+    c = captures.groupBy("url").agg(F.bool_or("enrolled").alias("c_enrolled"), F.bool_or("discarded").alias("c_discarded"), F.coalesce(F.min(named)["track"], F.lit("")).alias("c_track"))
+    j = stored.withColumn("known", F.lit(True)).join(c, "url", "full_outer").where("known or c_enrolled or c_discarded")
+    new, seen = F.col("known").isNull(), F.col("c_enrolled").isNotNull()
+    differs = lambda flag: seen & (new | (F.col(flag) != F.col(f"c_{flag}")))
+    changed = differs("enrolled") | differs("discarded")
+    moved = lambda flag: F.when(new, F.when(F.col(f"c_{flag}"), at).otherwise(none)).when(differs(flag), at).otherwise(F.col(f"{flag}_at")).alias(f"{flag}_at")
+    now_is = lambda flag: F.when(seen, F.col(f"c_{flag}")).otherwise(F.col(flag)).alias(flag)
+    blank = lambda name: F.coalesce(name, F.lit("")).alias(name)
+    track = F.when(changed & (F.col("c_track") != ""), F.col("c_track")).otherwise(F.coalesce("track", F.lit(""))).alias("track")
+    owner = F.when(changed, "humano").otherwise(F.col("owner")).alias("owner")
+    return j.select("url", track, now_is("enrolled"), now_is("discarded"), blank("stage"), "stage_at", moved("enrolled"), moved("discarded"), owner, blank("note"), changed.alias("changed"))
 
 
 def harvest_stage(stored: DataFrame, fields: DataFrame, now: str) -> DataFrame:
@@ -67,13 +79,54 @@ def harvest_stage(stored: DataFrame, fields: DataFrame, now: str) -> DataFrame:
     return j.withColumn("stage", F.when(F.col("moved"), F.col("new_stage")).otherwise(F.col("stage"))).withColumn("stage_at", F.when(F.col("moved"), F.lit(now).cast("timestamp")).otherwise(F.col("stage_at"))).drop("new_stage")
 
 
-def robot_write(stored: DataFrame, robot: DataFrame, remark: str = "robô diverge") -> DataFrame:
-    """``robot(url, says)`` over stored rows: a person's decision stays and the difference is noted once."""
-    j = stored.join(robot, "url")
+def robot_write(stored: DataFrame, writes: DataFrame, now: str) -> DataFrame:
+    """The whole state after a robot's ``writes(url, track, says, place)``, with columns ``changed`` and ``diverges``.
+
+    A person's decision stays: a robot that says otherwise is noted once and reported.  Other rows take what was said last; a new address is stored if the robot enrols it.
+    """
+    at, none = F.lit(now).cast("timestamp"), F.lit(None).cast("timestamp")
+    w = writes.groupBy("url").agg(F.max_by("says", "place").alias("says"), F.bool_or("says").alias("ever"), F.bool_and("says").alias("always"), F.coalesce(F.max(F.when(F.col("track") != "", F.struct("place", "track")))["track"], F.lit("")).alias("w_track"))
+    j = stored.withColumn("known", F.lit(True)).join(w, "url", "full_outer").where("known or ever")
+    new, written_to = F.col("known").isNull(), F.col("says").isNotNull()
+    otherwise = written_to & F.when(F.col("enrolled"), ~F.col("always")).otherwise(F.col("ever"))
     human = F.col("owner") == "humano"
-    diverges = human & (F.col("says") != F.col("enrolled"))
-    note = F.when(diverges & ~F.col("note").contains(remark), F.concat_ws("; ", F.nullif("note", F.lit("")), F.lit(remark))).otherwise(F.col("note"))
-    return j.withColumns({"diverges": diverges, "note": note, "enrolled": F.when(human, F.col("enrolled")).otherwise(F.col("says"))})
+    diverges = F.coalesce(human & otherwise, F.lit(False))
+    takes = F.coalesce(new | (~human & otherwise), F.lit(False))
+    word = lambda c: F.when(c, "inscrito").otherwise("não inscrito")
+    remark = F.concat(F.lit("robô diz "), word(~F.col("enrolled")), F.lit(f" em {now}; fica "), word(F.col("enrolled")))
+    held = F.coalesce("note", F.lit(""))
+    noted = diverges & ~F.contains(held, remark)
+    note = F.when(noted, F.when(held == "", remark).otherwise(F.concat(held, F.lit(" | "), remark))).otherwise(held)
+    return j.select(
+        "url",
+        F.when(takes & (F.col("w_track") != ""), F.col("w_track")).otherwise(F.coalesce("track", F.lit(""))).alias("track"),
+        F.when(takes, F.col("says")).otherwise(F.col("enrolled")).alias("enrolled"),
+        F.coalesce("discarded", F.lit(False)).alias("discarded"),
+        F.coalesce("stage", F.lit("")).alias("stage"),
+        "stage_at",
+        F.when(takes, at).otherwise(F.col("enrolled_at")).alias("enrolled_at"),
+        F.when(new, none).otherwise(F.col("discarded_at")).alias("discarded_at"),
+        F.when(takes, "robo").otherwise(F.col("owner")).alias("owner"),
+        note.alias("note"),
+        (takes | noted).alias("changed"),
+        diverges.alias("diverges"),
+    )
+
+
+def rename_stages(stored: DataFrame, names: dict[str, str]) -> DataFrame:
+    stage = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("stage")), F.col("stage"))
+    return stored.withColumn("stage", stage)
+
+
+def state_refresh(stored: DataFrame, captures: DataFrame, fields: DataFrame, now: str, names: dict[str, str], first_stage: str) -> DataFrame:
+    """Stages renamed, flags and stages harvested, then the first stage for enrolled rows without one, dated if undated; ``changed`` tells which rows differ from those stored."""
+    flags = harvest_flags(rename_stages(stored, names), captures, now)
+    staged = harvest_stage(flags, fields, now)
+    first = F.col("enrolled") & (F.col("stage") == "")
+    dated = F.when(first, F.coalesce("stage_at", F.lit(now).cast("timestamp"))).otherwise(F.col("stage_at"))
+    renamed = stored.select("url", F.col("stage").isin(list(names)).alias("renamed"))
+    j = staged.join(renamed, "url", "left").withColumn("changed", F.col("changed") | F.col("moved") | first | F.coalesce("renamed", F.lit(False)))
+    return j.withColumn("stage_at", dated).withColumn("stage", F.when(first, first_stage).otherwise(F.col("stage"))).select(*STATE, "changed")
 
 
 def may_run(last: Column, now: Column, gap_seconds: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, scoring, text
 from ..operators import merges
-from ..operators.storage import written
+from ..operators.snapshots import Snapshots
+from ..operators.storage import new_dir, written
 from ..registry import query
 from .notice_queries import AREA_WEIGHTS, EVALUATED, UF, evaluated, notices
 from .posting_queries import SCORED, judged
@@ -141,72 +142,110 @@ def j03_canonical_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.canonical_acronyms(o, names)
 
 
-# ---- decision state
+# ---- decision state: customers have a stored row, conversations capture flags, and either may lack the other
 
-BASE = f"""{STATE}, base as (select url, case when url % 2 = 0 then 'docente' else 'mercado' end as track, url % 3 = 0 as enrolled, url % 5 = 0 as discarded, case when url % 4 = 0 then 'antigo' when url % 4 = 1 then 'enviada' else '' end as stage,
-  case when url % 4 = 1 then timestamp '2024-01-05 00:00:00' end as stage_at, case when url % 3 = 0 then timestamp '2024-01-02 00:00:00' end as enrolled_at, 'robo' as owner from (select distinct url from state) where url % 7 != 0),
-flags as (select url, bool_or(voice = 'humano' and turn % 3 = 0) as enrolled, bool_or(text like '%?%' and turn > 2) as discarded from state group by url)"""
+BASE = f"""{STATE}, base as (select url, case when url % 2 = 0 then 'docente' else 'mercado' end as track, url % 3 = 0 or url % 7 = 1 as enrolled, url % 5 = 0 as discarded, case when url % 4 = 0 then 'antigo' when url % 4 = 1 then 'enviada' else '' end as stage,
+  case when url % 4 = 1 then timestamp '2024-01-05 00:00:00' end as stage_at, case when url % 3 = 0 or url % 7 = 1 then timestamp '2024-01-02 00:00:00' end as enrolled_at, case when url % 5 = 0 then timestamp '2024-01-03 00:00:00' end as discarded_at,
+  case when url % 9 = 1 then 'humano' else 'robo' end as owner, case when url % 4 = 3 then 'visto' else '' end as note from (select distinct o_custkey as url from orders)),
+flags as (select url, bool_or(voice = 'humano' and turn % 3 = 0) as enrolled, bool_or(text like '%?%' and turn > 2) as discarded,
+  coalesce(arg_min(case voice when 'humano' then 'docente' else 'mercado' end, (turn, case voice when 'humano' then 'docente' else 'mercado' end)) filter (voice in ('humano', 'robo')), '') as track from state group by url)"""
 
 
 def base_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    s = state(spark, sf_dir).select("url").distinct().where("url % 7 != 0")
-    at = lambda c, d: F.when(c, F.lit(d).cast("timestamp"))
-    return s.select("url", F.when(u % 2 == 0, "docente").otherwise("mercado").alias("track"), (u % 3 == 0).alias("enrolled"), (u % 5 == 0).alias("discarded"), F.when(u % 4 == 0, "antigo").when(u % 4 == 1, "enviada").otherwise("").alias("stage"), at(u % 4 == 1, "2024-01-05").alias("stage_at"), at(u % 3 == 0, "2024-01-02").alias("enrolled_at"), F.lit("robo").alias("owner"))
+    s = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("url")).distinct()
+    at = lambda c, d, name: F.when(c, F.lit(d).cast("timestamp")).alias(name)
+    enrolled = (u % 3 == 0) | (u % 7 == 1)
+    return s.select(
+        "url",
+        F.when(u % 2 == 0, "docente").otherwise("mercado").alias("track"),
+        enrolled.alias("enrolled"),
+        (u % 5 == 0).alias("discarded"),
+        F.when(u % 4 == 0, "antigo").when(u % 4 == 1, "enviada").otherwise("").alias("stage"),
+        at(u % 4 == 1, "2024-01-05", "stage_at"),
+        at(enrolled, "2024-01-02", "enrolled_at"),
+        at(u % 5 == 0, "2024-01-03", "discarded_at"),
+        F.when(u % 9 == 1, "humano").otherwise("robo").alias("owner"),
+        F.when(u % 4 == 3, "visto").otherwise("").alias("note"),
+    )
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = state(spark, sf_dir)
-    return s.select("url", ((F.col("voice") == "humano") & (F.col("turn") % 3 == 0)).alias("enrolled"), (F.col("text").contains("?") & (F.col("turn") > 2)).alias("discarded"))
+    track = F.when(F.col("voice") == "humano", "docente").when(F.col("voice") == "robo", "mercado").otherwise("")
+    return state(spark, sf_dir).select("url", track.alias("track"), ((F.col("voice") == "humano") & (F.col("turn") % 3 == 0)).alias("enrolled"), (F.col("text").contains("?") & (F.col("turn") > 2)).alias("discarded"), F.col("turn").alias("place"))
 
 
-HARVESTED = f"""{BASE}, harvested as (select f.url, b.url is not null as known, f.enrolled, f.discarded, b.stage, b.stage_at,
-  case when b.url is null or b.enrolled != f.enrolled or b.discarded != f.discarded then 'humano' else b.owner end as owner,
-  case when b.url is null then case when f.enrolled then timestamp '{STATE_NOW}' end when b.enrolled != f.enrolled then timestamp '{STATE_NOW}' else b.enrolled_at end as enrolled_at
-  from flags f left join base b using (url) where b.url is not null or f.enrolled or f.discarded)"""
+HARVESTED = f"""{BASE}, met as (select coalesce(b.url, f.url) as url, b.url is null as fresh, f.url is not null as seen, b.* exclude (url), f.enrolled as f_enrolled, f.discarded as f_discarded, f.track as f_track,
+    f.url is not null and (b.url is null or b.enrolled != f.enrolled or b.discarded != f.discarded) as changed
+  from base b full join flags f on b.url = f.url where b.url is not null or f.enrolled or f.discarded),
+harvested as (select url, case when changed and f_track != '' then f_track else coalesce(track, '') end as track, coalesce(f_enrolled, enrolled) as enrolled, coalesce(f_discarded, discarded) as discarded, coalesce(stage, '') as stage, stage_at,
+    case when fresh and not f_enrolled then null when fresh or (seen and enrolled != f_enrolled) then timestamp '{STATE_NOW}' else enrolled_at end as enrolled_at,
+    case when fresh and not f_discarded then null when fresh or (seen and discarded != f_discarded) then timestamp '{STATE_NOW}' else discarded_at end as discarded_at,
+    case when changed then 'humano' else owner end as owner, coalesce(note, '') as note, changed
+  from met)"""
 
 
-@query(f"with {HARVESTED} select url, enrolled, discarded, owner, enrolled_at from harvested")
+@query(f"with {HARVESTED} select * from harvested")
 def u06_harvest_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures merge by or; a new address is inserted if a flag is set; a time moves only with its own flag, and a change makes the row a person's."""
-    return merges.harvest_flags(base_state(spark, sf_dir), captures(spark, sf_dir), STATE_NOW).select("url", "enrolled", "discarded", "owner", "enrolled_at")
+    """Captures merge by or into the whole state; a new address is inserted if a flag is set; a time moves only with its own flag, and a change makes the row a person's."""
+    return merges.harvest_flags(base_state(spark, sf_dir), captures(spark, sf_dir), STATE_NOW)
 
 
 FIELDS = "fields as (select url, case when max(turn) % 2 = 0 then 'entrevista' else 'enviada' end as new_stage from state group by url)"
 
 
+def new_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state(spark, sf_dir).groupBy("url").agg(F.when(F.max("turn") % 2 == 0, "entrevista").otherwise("enviada").alias("new_stage"))
+
+
 @query(f"with {BASE}, {FIELDS} select b.url, new_stage as stage, case when new_stage != b.stage then timestamp '{STATE_NOW}' else b.stage_at end as stage_at from base b join fields using (url) where b.enrolled and new_stage != b.stage")
 def u07_harvest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of enrolled addresses only; the stage's day moves with the stage."""
-    fields = state(spark, sf_dir).groupBy("url").agg(F.when(F.max("turn") % 2 == 0, "entrevista").otherwise("enviada").alias("new_stage"))
-    return merges.harvest_stage(base_state(spark, sf_dir), fields, STATE_NOW).where("moved").select("url", "stage", "stage_at")
+    return merges.harvest_stage(base_state(spark, sf_dir), new_stages(spark, sf_dir), STATE_NOW).where("moved").select("url", "stage", "stage_at")
 
 
-@query(
-    f"""with {HARVESTED}, {FIELDS}, renamed as (select *, case stage when 'antigo' then 'aguardando' else coalesce(stage, '') end as s1 from harvested),
-staged as (select r.*, case when enrolled and f.new_stage is not null then f.new_stage else s1 end as s2 from renamed r left join (select * from fields where url % 2 = 0) f using (url))
-select url, case when enrolled and s2 = '' then 'enviada' else s2 end as stage,
-  case when s2 != s1 then timestamp '{STATE_NOW}' when enrolled and s2 = '' then coalesce(stage_at, timestamp '{STATE_NOW}') else stage_at end as stage_at, enrolled, owner from staged"""
-)
+REFRESHED = f"""{HARVESTED}, {FIELDS}, renamed as (select h.*, case h.stage when 'antigo' then 'aguardando' else h.stage end as s1 from harvested h),
+staged as (select r.*, case when enrolled and f.new_stage is not null then f.new_stage else s1 end as s2 from renamed r left join fields f using (url)),
+refreshed as (select url, track, enrolled, discarded, case when enrolled and s2 = '' then 'enviada' else s2 end as stage,
+    case when s2 != s1 then timestamp '{STATE_NOW}' when enrolled and s2 = '' then coalesce(stage_at, timestamp '{STATE_NOW}') else stage_at end as stage_at, enrolled_at, discarded_at, owner, note,
+    changed or stage = 'antigo' or s2 != s1 or (enrolled and s2 = '') as changed from staged)"""
+
+
+@query(f"with {REFRESHED} select * from refreshed")
 def u12_state_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stages renamed, flags harvested, fields harvested, then the first stage for enrolled rows without one, dated if undated."""
-    base = base_state(spark, sf_dir).withColumn("stage", F.when(F.col("stage") == "antigo", "aguardando").otherwise(F.col("stage")))
-    fields = state(spark, sf_dir).where("url % 2 = 0").groupBy("url").agg(F.when(F.max("turn") % 2 == 0, "entrevista").otherwise("enviada").alias("new_stage"))
-    s = merges.harvest_stage(merges.harvest_flags(base, captures(spark, sf_dir), STATE_NOW), fields, STATE_NOW)
-    first = F.col("enrolled") & (F.col("stage") == "")
-    return s.select("url", F.when(first, "enviada").otherwise(F.col("stage")).alias("stage"), F.when(first, F.coalesce("stage_at", F.lit(STATE_NOW).cast("timestamp"))).otherwise(F.col("stage_at")).alias("stage_at"), "enrolled", "owner")
+    return merges.state_refresh(base_state(spark, sf_dir), captures(spark, sf_dir), new_stages(spark, sf_dir), STATE_NOW, {"antigo": "aguardando"}, "enviada")
+
+
+@query(f"with {REFRESHED} select url, track, enrolled, discarded, stage, stage_at, enrolled_at, discarded_at, owner, note, 1::bigint as version from refreshed")
+def u12x_published_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored state is a published snapshot, the refresh that changed it the next; a refresh that changes nothing publishes none."""
+    kept = Snapshots(spark, new_dir(spark, "state"))
+    stored = kept.commit(base_state(spark, sf_dir), None)
+    took, stages = captures(spark, sf_dir), new_stages(spark, sf_dir)
+    for _ in range(2):
+        rows = merges.state_refresh(kept.read(stored).select(*merges.STATE), took, stages, STATE_NOW, {"antigo": "aguardando"}, "enviada")
+        stored = kept.refresh(rows, "changed", stored)
+    return kept.read().select(*merges.STATE, F.lit(stored).cast("long").alias("version"))
 
 
 @query(
-    f"""with {BASE}, w as (select url, url % 2 = 0 as says from base), j as (select b.url, b.enrolled, says, case when url % 9 = 0 then 'humano' else 'robo' end as owner, case when url % 27 = 0 then 'robô diverge' else '' end as note from base b join w using (url))
-select url, case when owner = 'humano' then enrolled else says end as enrolled, owner = 'humano' and says != enrolled as diverges,
-  case when owner = 'humano' and says != enrolled and note = '' then 'robô diverge' else note end as note from j"""
+    f"""with {BASE}, w as (select o_orderkey as place, o_custkey * 2 as url, case o_orderstatus when 'O' then 'docente' when 'F' then 'mercado' else '' end as track, o_orderpriority < '3' as says from orders),
+said as (select url, arg_max(says, place) as says, bool_or(says) as ever, bool_and(says) as always, coalesce(arg_max(track, place) filter (track != ''), '') as w_track from w group by url),
+met as (select coalesce(b.url, s.url) as url, b.url is null as fresh, b.* exclude (url), s.* exclude (url), b.owner = 'humano' as human,
+    s.url is not null and b.url is not null and case when b.enrolled then not s.always else s.ever end as other from base b full join said s on b.url = s.url where b.url is not null or s.ever),
+judged as (select *, coalesce(human and other, false) as diverges, fresh or coalesce(not human and other, false) as takes,
+    'robô diz ' || case when enrolled then 'não inscrito' else 'inscrito' end || ' em {STATE_NOW}; fica ' || case when enrolled then 'inscrito' else 'não inscrito' end as remark from met)
+select url, case when takes and w_track != '' then w_track else coalesce(track, '') end as track, case when takes then says else enrolled end as enrolled, coalesce(discarded, false) as discarded, coalesce(stage, '') as stage, stage_at,
+  case when takes then timestamp '{STATE_NOW}' else enrolled_at end as enrolled_at, discarded_at, case when takes then 'robo' else owner end as owner,
+  case when diverges then case when note = '' then remark else note || ' | ' || remark end else coalesce(note, '') end as note, takes or diverges as changed, diverges from judged"""
 )
 def u08_robot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A person's decision wins; a robot that differs is noted once and reported."""
-    u = F.col("url")
-    b = base_state(spark, sf_dir).withColumn("owner", F.when(u % 9 == 0, "humano").otherwise("robo")).withColumn("note", F.when(u % 27 == 0, "robô diverge").otherwise(""))
-    return merges.robot_write(b, b.select("url", (u % 2 == 0).alias("says"))).select("url", "enrolled", "diverges", "note")
+    """A person's decision wins and a robot that differs is noted once and reported; a robot may add an address that it enrols; all other rows stay."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    track = F.when(F.col("o_orderstatus") == "O", "docente").when(F.col("o_orderstatus") == "F", "mercado").otherwise("")
+    writes = o.select((F.col("o_custkey") * 2).alias("url"), track.alias("track"), (F.col("o_orderpriority") < "3").alias("says"), F.col("o_orderkey").alias("place"))
+    return merges.robot_write(base_state(spark, sf_dir), writes, STATE_NOW)
 
 
 @query(f"with {BASE}, shown as (select url * 2 as place, case when url % 6 = 0 then '' else url::varchar end as address from (select distinct url from state)) select place, case when address = '' then null else coalesce(b.enrolled, false) end as enrolled, case when address = '' then null when b.enrolled then b.owner else '' end as owner from shown left join base b on b.url::varchar = address")
@@ -219,11 +258,15 @@ def j13_restored_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("place", F.when(there, F.coalesce("enrolled", F.lit(False))).alias("enrolled"), F.when(there, F.when(F.col("enrolled"), F.col("owner")).otherwise("")).alias("owner"))
 
 
-@query(f"with {BASE} select s.url * 2 as place, coalesce(b.stage, '') as stage, coalesce(b.track, '') as track, coalesce(b.owner, '') as owner from (select distinct url from state) s left join base b using (url)")
+@query(f"with {BASE} select s.url * 2 as place, case when b.enrolled then coalesce(b.stage, '') else '' end as stage, case when b.enrolled then coalesce(b.stage_at::date::varchar, '') else '' end as stage_day, case when b.enrolled then coalesce(b.enrolled_at::date::varchar, '') else '' end as enrolled_day, coalesce(b.track, '') as track, case when b.enrolled then b.owner else '' end as owner, coalesce(b.note, '') as note from (select distinct url from state) s left join base b using (url)")
 def j14_restored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six fields of an application in the order shown; what an address lacks is blank."""
     shown = state(spark, sf_dir).select("url").distinct()
     j = shown.join(base_state(spark, sf_dir), "url", "left")
-    return j.select((F.col("url") * 2).alias("place"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("stage", "track", "owner")))
+    blank = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    if_enrolled = lambda c, name: blank(F.when(F.col("enrolled"), c), name)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return j.select((F.col("url") * 2).alias("place"), if_enrolled(F.col("stage"), "stage"), if_enrolled(day("stage_at"), "stage_day"), if_enrolled(day("enrolled_at"), "enrolled_day"), blank(F.col("track"), "track"), if_enrolled(F.col("owner"), "owner"), blank(F.col("note"), "note"))
 
 
 @query(f"with {HARVESTED}, p as (select o_custkey as url, arg_min(o_orderpriority, o_orderkey) as label from orders group by 1) select h.url, p.label, enrolled_at from harvested h left join p using (url) where h.enrolled")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import bands, clusters, replay
+from ..operators import terms as index
 from ..operators.bands import BAND_DAYS
 from ..operators.storage import written
 from ..registry import query
@@ -57,7 +58,11 @@ def v14x_guarded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.guarded_clusters(items(spark, sf_dir))
 
 
-@query(f"with {CLUSTERS} select cluster, count(*) as n_items, count(distinct domain) as n_domains, min(ts) as first_ts, max(ts) as last_ts, substring(sha256(concat_ws('|', count(*), min(id), max(id), sum(id)::bigint, bit_xor(id))), 1, 20) as cluster_key from assigned join news using (id) group by cluster")
+@query(
+    f"""with {CLUSTERS}, parts as (select cluster, id // 10000 as part, sha256(string_agg(id::varchar, ',' order by id)) as digest from assigned group by 1, 2),
+keys as (select cluster, substring(sha256(string_agg(digest, ',' order by part)), 1, 20) as cluster_key from parts group by cluster)
+select cluster, count(*) as n_items, count(distinct domain) as n_domains, min(ts) as first_ts, max(ts) as last_ts, any_value(cluster_key) as cluster_key from assigned join news using (id) join keys using (cluster) group by cluster"""
+)
 def a11_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     return clusters.summaries(i, clusters.clustered(i))
@@ -167,22 +172,30 @@ def t05_diversity_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.with_floors(n, n.groupBy("tab", "theme").agg(F.count("*").alias("volume"))).select("id", "tab", "theme", "place")
 
 
-TERMS = "terms as (select lower(term) as term, min(item_id) as first_item, (length(lower(term)) % 7 + 1)::int as weight, 'area' || (length(lower(term)) % 5) as area from (select item_id, unnest(string_split(text, ' ')) as term from benchmark) where length(term) >= 6 and not regexp_matches(term, '[^a-zA-Z]') group by lower(term))"
-WORDS = "words as (select distinct doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents)"
+TERMS = """spelt as (select item_id, regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+') as w from benchmark),
+named as (select item_id, unnest(w) as term from spelt
+  union all select item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from spelt
+  union all select item_id, unnest(list_transform(list_filter(w, lambda x: length(x) >= 9), lambda x: x[:7] || '*')) from spelt),
+terms as (select term, min(item_id) as first_item, (length(term) % 7 + 1)::int as weight, 'area' || (length(term) % 5) as area from named where length(term) >= 6 group by term)"""
+WORDS = """pieces as (select doc_id as id, regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+|[^a-z0-9_]+') as p from documents),
+words as (select distinct id, unnest(list_transform(range(1, len(p) + 1), lambda i: p[i])) as term from pieces
+  union select id, unnest(list_transform(range(1, len(p) - 1), lambda i: p[i] || p[i + 1] || p[i + 2])) from pieces
+  union select id, unnest(list_transform(list_filter(p, lambda x: length(x) >= 7), lambda x: x[:7] || '*')) from pieces)"""
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A weighted dictionary from the benchmark's words."""
-    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(F.split("text", " ")).alias("term")).where("length(term) >= 6 and not term rlike '[^a-zA-Z]'")
+    """A weighted dictionary from the benchmark: its words, its pairs of words and beginnings of its long words."""
+    spelt = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.regexp_extract_all(index.normalised(F.col("text")), F.lit("([a-z0-9_]+)"), F.lit(1)).alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda x, k: F.concat(F.get("w", k), F.lit(" "), x))
+    heads = F.transform(F.filter("w", lambda x: F.length(x) >= 9), lambda x: F.concat(F.substring(x, 1, 7), F.lit("*")))
     n = F.length("term")
-    return words.groupBy(F.lower("term").alias("term")).agg(F.min("item_id").alias("first_item")).select("term", "first_item", (n % 7 + 1).cast("int").alias("weight"), F.concat(F.lit("area"), (n % 5).cast("string")).alias("area"))
+    named = spelt.select("item_id", F.explode(F.concat("w", pairs, heads)).alias("term")).where("length(term) >= 6")
+    return named.groupBy("term").agg(F.min("item_id").alias("first_item")).select("term", "first_item", (n % 7 + 1).cast("int").alias("weight"), F.concat(F.lit("area"), (n % 5).cast("string")).alias("area"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain terms meet a text's distinct words by an equi-join; Spark broadcasts the dictionary while it is small."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = d.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("term"))
-    return words.join(terms(spark, sf_dir), "term")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return index.term_hits(d, terms(spark, sf_dir))
 
 
 @query(f"with {TERMS}, {WORDS} select id, term, weight from words join terms using (term)")

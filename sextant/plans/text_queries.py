@@ -89,7 +89,7 @@ def f14_registered_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(c: str) -> str:
-    for name, letter in (text.ENTITIES | text.MORE_ENTITIES | {"&amp;": "&"}).items():
+    for name, letter in (text.ENTITIES | {"&amp;": "&"}).items():
         quoted = letter.replace("'", "''")
         c = f"replace({c}, '{name}', '{quoted}')"
     return c
