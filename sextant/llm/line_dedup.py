@@ -129,8 +129,11 @@ def recurring(lines: DataFrame, depth: int, min_docs: int) -> tuple[DataFrame, D
     sets = pairs.groupBy("leaf", "h").agg(F.count("*").alias("sets"))
     texts = named.groupBy("leaf", "h").agg(F.first("line").alias("line"))
     distinct = materialise(texts.join(sets, ["leaf", "h"]), "distinct-lines")
-    spelt = distinct.withColumn("tokens", words(F.col("line"))).select("leaf", "h", "sets", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]"))).alias("words"), F.posexplode("tokens").alias("place", "t"))
-    tokens = materialise(spelt.where("not t rlike '[0-9]'").withColumn("t", F.xxhash64("t")), "line-tokens")
+    # each token is looked at once, before the rows are made
+    placed = lambda w: F.filter(F.transform(w, lambda t, k: F.struct(k.alias("place"), F.when(~t.rlike("[0-9]"), F.xxhash64(t)).alias("t"))), lambda x: x["t"].isNotNull())
+    spelt = distinct.select("leaf", "h", "sets", let(words(F.col("line")), lambda w: F.struct(F.size(w).alias("n"), placed(w).alias("placed"))).alias("x"))
+    each = spelt.select("leaf", "h", "sets", F.col("x.n").alias("n"), F.size("x.placed").alias("words"), F.explode("x.placed").alias("y"))
+    tokens = materialise(each.select("leaf", "h", "sets", "n", "words", "y.place", "y.t"), "line-tokens")
     by_template = templates(tokens, pairs, depth, min_docs)
     whole = sets.where(F.col("sets") >= min_docs).join(by_template, ["leaf", "h"], "left_anti").select("leaf", "h", F.lit(None).cast("array<int>").alias("places"), F.col("sets").alias("n_docs"))
     return by_template.unionByName(whole), distinct
