@@ -34,8 +34,8 @@ def similar_pairs(items: DataFrame, across: float = ACROSS, inside: float = INSI
     return pairs_of(kept_anchors(items), across, inside, hours)
 
 
-def pairs_of(kept: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
-    """Pairs of :func:`kept_anchors` rows, by an exact set-similarity join.
+def pairs_of(kept: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS, fresh: DataFrame | None = None) -> DataFrame:
+    """Pairs of :func:`kept_anchors` rows, by an exact set-similarity join; with ``fresh(id)`` only those that hold one of these at least.
 
     An item's anchors are put in order from the rarest.  Two sets as alike as asked have their rarest common anchor near both heads: only so many anchors of an item are
     looked up that those left out couldn't make up the least similarity alone, so an anchor that many items hold is seldom looked up.  Items meet by such an
@@ -50,14 +50,16 @@ def pairs_of(kept: DataFrame, across: float = ACROSS, inside: float = INSIDE, ho
     bucket = F.floor(F.unix_timestamp("ts") / (hours * 3600))
     looked_up = written(sets.where(size >= COMMON).withColumn("bucket", bucket).withColumn("x", F.explode(F.slice("own", F.lit(1), heads))), "looked-up-anchors")
     parts = F.expr(f"1 + x.n div {SPLIT}")
-    left = looked_up.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    if fresh is not None:
+        looked_up = written(looked_up.join(fresh.select("id", F.lit(True).alias("fresh")), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))), "marked-anchors")
+    left = (looked_up.where("fresh") if fresh is not None else looked_up).withColumn("part", F.pmod(F.xxhash64("id"), parts))
     right = looked_up.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     a, b = left.alias("a"), right.alias("b")
-    meet = F.expr("a.tab = b.tab and a.lang = b.lang and a.x = b.x and a.bucket = b.bucket and a.part = b.part and a.id < b.id")
+    meet = F.expr("a.tab = b.tab and a.lang = b.lang and a.x = b.x and a.bucket = b.bucket and a.part = b.part and " + ("a.id < b.id" if fresh is None else "a.id != b.id and (not b.fresh or a.id < b.id)"))
     near = F.abs(F.unix_timestamp("a.ts") - F.unix_timestamp("b.ts")) <= hours * 3600
     n_a, n_b = F.size("a.own"), F.size("b.own")
     sizes = (n_a >= least * n_b - 1e-9) & (n_b >= least * n_a - 1e-9)
-    met = a.join(b, meet & near & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.domain") == F.col("b.domain")).alias("inside"), F.array_intersect("a.own", "b.own").alias("both"), F.col("a.x").alias("x"), (n_a + n_b).alias("total"))
+    met = a.join(b, meet & near & sizes).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), (F.col("a.domain") == F.col("b.domain")).alias("inside"), F.array_intersect("a.own", "b.own").alias("both"), F.col("a.x").alias("x"), (n_a + n_b).alias("total"))
     pairs = met.where(F.get("both", 0) == F.col("x")).select("a", "b", F.size("both").cast("long").alias("common"), "total", "inside")
     jaccard = F.col("common") / (F.col("total") - F.col("common"))
     return pairs.withColumn("jaccard", jaccard).where((F.col("common") >= COMMON) & (F.col("jaccard") >= F.when(F.col("inside"), inside).otherwise(across))).select("a", "b", "common", "jaccard", "inside")
@@ -80,6 +82,24 @@ def clustered(items: DataFrame, across: float = ACROSS, inside: float = INSIDE,
     return items.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def with_fresh(stored: DataFrame, fresh: DataFrame, across: float = ACROSS, inside: float = INSIDE, hours: int = HOURS) -> DataFrame:
+    """(id, cluster) of all items, from ``stored(id, tab, lang, domain, ts, anchors, cluster)`` and new ``fresh`` ones, as :func:`clustered` has it over both.
+
+    Only pairs with a new item are looked for; their links and the stored clusters make the components.  What is too common in a block can change with the new items; in
+    blocks where it does, stored clusters no longer hold, and their items count as new.
+    """
+    items = stored.drop("cluster").unionByName(fresh.select(stored.drop("cluster").columns))
+    exploded = lambda rows: rows.select("id", "tab", "lang", F.explode("anchors").alias("anchor"))
+    before = frequent_anchors(exploded(stored)).select("tab", "lang", "anchor", F.lit(1).alias("was"))
+    now = frequent_anchors(exploded(items)).select("tab", "lang", "anchor", F.lit(1).alias("is"))
+    turned = written(before.join(now, ["tab", "lang", "anchor"], "full").where("was is null or is is null").select("tab", "lang").distinct(), "turned-blocks")
+    again = stored.join(turned, ["tab", "lang"], "left_semi").select("id")
+    held = stored.join(turned, ["tab", "lang"], "left_anti").where("id != cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
+    pairs = pairs_of(kept_anchors(items), across, inside, hours, fresh=written(fresh.select("id").union(again), "fresh-items"))
+    found = connected(pairs.select("a", "b").union(held), "cluster")
+    return items.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
 def summaries(items: DataFrame, clusters: DataFrame) -> DataFrame:
     """Members, domains, time span and a key of the members: a digest of the digests of their sorted ids, part by part of ``KEYED`` ids, so that no task holds the whole list."""
     joined = items.join(clusters, "id")

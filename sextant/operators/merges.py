@@ -25,6 +25,17 @@ def insert_if_absent(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return rows.where("key is null or source = first_source").select("id", "source", "key")
 
 
+def upsert(stored: DataFrame, fresh: DataFrame, key: str, derived: list[str], now: Column) -> DataFrame:
+    """``stored`` with ``fresh`` rows of the same columns: a new key's row comes whole, a known one takes the ``derived`` columns only; both get the time ``updated_at``.  A column ``inserted`` tells them apart."""
+    facts = [c for c in stored.columns if c not in (key, "updated_at", *derived)]
+    f = fresh.select(key, *(F.col(c).alias(f"new_{c}") for c in (*facts, *derived)), F.lit(True).alias("is_fresh"))
+    j = stored.withColumn("is_known", F.lit(True)).join(f, key, "full_outer")
+    known, seen = F.col("is_known").isNotNull(), F.col("is_fresh").isNotNull()
+    one = lambda c: F.when(known & ~seen if c in derived else known, F.col(c)).otherwise(F.col(f"new_{c}")).alias(c)
+    at = F.when(seen, now).otherwise(F.col("updated_at")).alias("updated_at")
+    return j.select(*(at if c == "updated_at" else F.col(c) if c == key else one(c) for c in stored.columns), (~known).alias("inserted"))
+
+
 def changed(pairs: dict[str, str]) -> Column:
     """True if any new column differs from its old one, null being a value."""
     return reduce(lambda a, b: a | b, (~F.col(old).eqNullSafe(F.col(new)) for old, new in pairs.items()))

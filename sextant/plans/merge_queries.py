@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import merges
 from ..operators.snapshots import Snapshots
 from ..operators.storage import new_dir, written
 from ..registry import query
+from ..streaming.ledger import backfill, ledger, read_table
 from .notice_queries import AREA_WEIGHTS, EVALUATED, UF, evaluated, notices
 from .posting_queries import SCORED, judged
 from .proxies import POSTINGS, postings
@@ -339,19 +342,22 @@ def st05_minimum_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("track", merges.may_run(F.col("last"), F.lit("1998-07-30 04:00:00").cast("timestamp"), gap).alias("runs"))
 
 
-DAYS = "days as (select unnest(generate_series(date '1996-01-01', date '1996-12-31', interval 1 day))::date as d)"
+DAYS = "days as (select unnest(generate_series(date '1996-01-01', date '1996-12-31', interval 1 day))::date as day)"
 
 
-@query(f"with {DAYS}, v as (select o_orderdate::date as d, count(*) as volume from orders group by 1) select d, coalesce(volume, 0)::bigint as volume, case when day(d) = 13 then 'erro' end as error from days left join v using (d)")
+@query(f"with {DAYS}, v as (select o_orderdate::date as day, count(*) as volume from orders group by 1) select day, coalesce(volume, 0)::bigint as volume, case when day(day) = 13 then 'error' else 'ok' end as outcome, 1::bigint as generation from days left join v using (day)")
 def st06_resumable_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day by day: a run that stopped half-way is taken up at the days that are not done; days in error are recorded and don't stop it."""
-    from ..streaming.backfill import backfill
-
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("d"))
-    days = spark.sql("select explode(sequence(date '1996-01-01', date '1996-12-31')) as d")
-
-    def work(d: DataFrame) -> DataFrame:
-        n = o.groupBy("d").agg(F.count("*").alias("volume"))
-        return d.join(n, "d", "left").select("d", F.coalesce("volume", F.lit(0)).alias("volume"), F.when(F.dayofmonth("d") == 13, "erro").alias("error"))
-
-    return backfill(spark, days, work, stop_after=2, batches=5)
+    """Day by day with a ledger: a run of another interval starts anew, one that stopped half-way is taken up at the days that are not done; days in error are recorded and don't stop it."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("day"))
+
+    def work(days: DataFrame) -> DataFrame:
+        n = o.join(days, "day", "left_semi").groupBy("day").agg(F.count("*").alias("volume"))
+        return days.join(n, "day", "left").select("day", F.coalesce("volume", F.lit(0)).alias("volume"), F.when(F.dayofmonth("day") == 13, "sem resposta").alias("error"))
+
+    path = new_dir(spark, "backfill")
+    lo, hi = datetime.date(1996, 1, 1), datetime.date(1996, 12, 31)
+    backfill(spark, path, lo, datetime.date(1996, 3, 1), work, step=61, stop_after=1)
+    backfill(spark, path, lo, hi, work, step=122, stop_after=1)
+    generation = backfill(spark, path, lo, hi, work, step=122)
+    marks = ledger(spark, path, generation).select("day", "outcome")
+    return read_table(spark, path, generation).join(marks, "day").select("day", "volume", "outcome", F.lit(generation).cast("long").alias("generation"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar, extract, gates
-from ..operators import clusters
+from ..functions import calendar, extract, gates, text
+from ..operators import clusters, merges
+from ..operators import terms as index
+from ..operators.health import health_level
+from ..operators.snapshots import Snapshots
 from ..operators.storage import new_dir, written
 from ..registry import query
 from ..sources import feeds
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .news_queries import CLUSTERS, TERMS, _band_sql, items, t06_bands, terms
 from .notice_queries import main_area, term_hits
 from .posting_queries import SCORED, judged
@@ -84,25 +87,90 @@ def v13_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEED_ITEMS = f"""raw as (select doc_id, doc_id // 100 as feed, trim(split_part(text, chr(10), 1)) as title, timestamp '2024-01-01' + to_hours(doc_id::int) as ts from documents where trim(split_part(text, chr(10), 1)) != ''),
 fresh as (select *, max(ts) over (partition by feed) as newest, min(ts) over () as epoch_start from raw),
-kept as (select * from fresh where feed % 10 != 9 and newest >= epoch_start + interval 20 hour and ts >= newest - interval 90 hour),
-firsts as (select * from kept qualify row_number() over (partition by lower(title) order by feed % 4, feed, doc_id) = 1),
+alive as (select * from fresh where feed % 10 != 9 and newest >= epoch_start + interval 20 hour and ts >= newest - interval 90 hour),
+firsts as (select * from alive qualify row_number() over (partition by lower(title) order by feed % 4, feed, doc_id) = 1),
 routed as (select *, (['ciencia', 'ia', 'trabalho', 'geral'])[(feed % 4 + 1)::int] as tab, case when feed % 4 = 1 and {term_sql(TITLED, 'the')} then 'claude' else 'tema' || feed % 3 end as theme, doc_id * 7919 % 101 as signal from firsts)"""
 
 
-@query(f"with {FEED_ITEMS} select doc_id as id, tab, theme, round(((rank() over (partition by tab, theme order by signal) - 1) + 0.5 * count(*) over (partition by tab, theme, signal)) / count(*) over (partition by tab, theme) * 100, 6) as percentile from routed")
-def v12_news_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parse, freshness of feeds, age of items, one row a title by tab precedence, routing, rank: feeds in, ranked items out."""
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of fresh feeds, one row a title, with their tab and theme."""
     parsed = feeds.parse_feed(feed_payloads(spark, sf_dir, atom=False)).withColumn("id", F.regexp_extract("link", "([0-9]+)$", 1).cast("long"))
     parsed = written(parsed.withColumn("newest", F.max("ts").over(Window.partitionBy("feed"))), "parsed")
     start = parsed.agg(F.min("ts").alias("epoch_start"))
     kept = parsed.where("feed % 10 != 9").join(F.broadcast(start)).where("newest >= epoch_start + interval 20 hours and ts >= newest - interval 90 hours")  # one row
-    one = feeds.first_per_key(kept.select("feed", "id", "title", F.lower("title").alias("title_key"), F.struct(F.col("feed") % 4, "feed", "id").alias("arrival")), ["title_key"], "arrival")
+    one = feeds.first_per_key(kept.select("feed", "id", "title", "ts", F.lower("title").alias("title_key"), F.struct(F.col("feed") % 4, "feed", "id").alias("arrival")), ["title_key"], "arrival")
     tab = F.element_at(F.array(*map(F.lit, ("ciencia", "ia", "trabalho", "geral"))), (F.col("feed") % 4 + 1).cast("int"))
     theme = F.when((F.col("feed") % 4 == 1) & gates.has_term(F.col("title"), "the"), "claude").otherwise(F.concat(F.lit("tema"), (F.col("feed") % 3).cast("string")))
-    routed = one.select("id", tab.alias("tab"), theme.alias("theme"), (F.col("id") * 7919 % 101).alias("signal"))
+    lang = F.when(F.col("feed") % 3 == 0, "pt").otherwise("en")
+    domain = F.concat(F.lit("pub"), (F.col("feed") % 7).cast("string"))
+    return one.select("id", "title", lang.alias("lang"), domain.alias("domain"), tab.alias("tab"), theme.alias("theme"), "ts", (F.col("id") * 7919 % 101).alias("signal"))
+
+
+@query(f"with {FEED_ITEMS} select doc_id as id, tab, theme, round(((rank() over (partition by tab, theme order by signal) - 1) + 0.5 * count(*) over (partition by tab, theme, signal)) / count(*) over (partition by tab, theme) * 100, 6) as percentile from routed")
+def v12_news_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse, freshness of feeds, age of items, one row a title by tab precedence, routing, rank: feeds in, ranked items out."""
+    routed = feed_items(spark, sf_dir)
     return clusters.mid_rank_percentile(routed, ["tab", "theme"], "signal").select("id", "tab", "theme", F.round("percentile", 6).alias("percentile"))
 
 
+#: Themes of the feeds that keep titles with one of these terms only.
+FEED_TERMS = {"tema1": ("the", "en*", "la"), "tema2": ("der", "tion*", "and")}
+#: Polls of the feeds: items of the first hours, then the rest.
+FIRST_HOURS = 480
+FEED_NEWS = f"""{FEED_ITEMS}, news as (select doc_id as id, title, case when feed % 3 = 0 then 'pt' else 'en' end as lang, 'pub' || feed % 7 as domain, tab, theme, ts, signal from routed
+  where {' and '.join(f"(theme != '{k}' or {' or '.join(term_sql(TITLED, t) for t in v)})" for k, v in FEED_TERMS.items())})"""
+
+
+def filtered_by_terms(rows: DataFrame) -> DataFrame:
+    """Items of a theme with terms stay if their title has one of them."""
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame([(k, t) for k, v in FEED_TERMS.items() for t in v], "theme string, term string")
+    met = index.term_hits(rows.where(F.col("theme").isin(list(FEED_TERMS))).select("id", F.col("title").alias("text")), wanted.select("term").distinct())
+    kept = met.join(rows.select("id", "theme"), "id").join(wanted, ["theme", "term"]).select("id").distinct()
+    return rows.where(~F.col("theme").isin(list(FEED_TERMS))).unionByName(rows.join(kept, "id", "left_semi"))
+
+
+DERIVED = ["cluster", "n_items", "percentile"]
+
+
+def stored_news(store: Snapshots, batch: DataFrame, number: int) -> int:
+    """One poll: items that are new join the stored clusters, all are scored anew, and the store takes new rows whole and of known rows the derived columns."""
+    columns = ["id", "title", "lang", "domain", "tab", "theme", "ts", "signal", "anchors", "first_poll"]
+    rows = batch.withColumn("anchors", text.anchors(F.col("title"))).withColumn("first_poll", F.lit(number)).select(columns)
+    latest = store.latest()
+    if latest is None:
+        everything, placed = rows, clusters.clustered(rows)
+        stored = rows.limit(0).select("*", F.lit(0).cast("long").alias("cluster"), F.lit(0).cast("long").alias("n_items"), F.lit(0.0).alias("percentile"), F.lit(0).alias("updated_at"))
+    else:
+        stored = store.read(latest)
+        fresh = rows.join(stored.select("id"), "id", "left_anti")
+        everything = stored.select(columns).unionByName(fresh)
+        placed = clusters.with_fresh(stored.select(*columns, "cluster"), fresh)
+    placed = written(placed, "news-clusters")
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n_items"))
+    scored = clusters.mid_rank_percentile(everything, ["tab", "theme"], "signal").drop("batch").join(placed.join(sizes, "cluster"), "id")
+    merged = merges.upsert(stored, scored.withColumn("updated_at", F.lit(number)), "id", DERIVED, F.lit(number))
+    return store.commit(merged.drop("inserted"), latest)
+
+
+@query(
+    "with recursive " + CLUSTERS.removeprefix("recursive ").replace(NEWS, FEED_NEWS) + f""", grown as (select cluster, count(*) as n_items from assigned group by 1)
+select id, tab, theme, cluster, n_items, round(((rank() over (partition by tab, theme order by signal) - 1) + 0.5 * count(*) over (partition by tab, theme, signal)) / count(*) over (partition by tab, theme) * 100, 6) as percentile,
+  case when ts < (select min(epoch_start) from fresh) + interval {FIRST_HOURS} hour then 1 else 2 end as first_poll from news join assigned using (id) join grown using (cluster)"""
+)
+def v12x_news_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds to a store in two polls: parse, freshness, age, one row a title, routing, theme filter, clusters that grow, ranks, merge; two polls give what one would."""
+    rows = written(filtered_by_terms(feed_items(spark, sf_dir)), "feed-items")
+    start = feeds.parse_feed(feed_payloads(spark, sf_dir, atom=False)).agg(F.min("ts")).first()[0]
+    if start is None:
+        return rows.limit(0).select("id", "tab", "theme", F.lit(0).cast("long").alias("cluster"), F.lit(0).cast("long").alias("n_items"), F.lit(0.0).alias("percentile"), F.lit(0).alias("first_poll"))
+    early = F.col("ts") < F.lit(start) + F.make_dt_interval(hours=F.lit(FIRST_HOURS))
+    store = Snapshots(spark, new_dir(spark, "news-store"))
+    for number, batch in enumerate((rows.where(early), rows.where(~early)), 1):
+        stored_news(store, batch, number)
+    return store.read().select("id", "tab", "theme", "cluster", "n_items", F.round("percentile", 6).alias("percentile"), "first_poll")
+
+
 @query("with " + CLUSTERS.replace("else 0.34", "else 0.5").replace("36 * 3600", "72 * 3600") + " select id, cluster from assigned")
 def v15_reclustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored items clustered anew with other parameters, their anchors extracted again."""
@@ -316,16 +384,52 @@ def st02_late_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, event_type, min(ts) as first_seen from events group by 1, 2")
 def st04_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first time of each item as state of the stream."""
-    return jobs.drained(event_stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen")), "complete")
+    """The first time of each item as value state of the stream."""
+    key = F.concat_ws("|", F.col("user_id").cast("string"), "event_type")
+    found = stateful.first_seen(event_stream(spark, sf_dir).select(key.alias("key"), F.col("ts").cast("timestamp").alias("at")))
+    return found.select(F.split_part("key", F.lit("|"), F.lit(1)).cast("long").alias("user_id"), F.split_part("key", F.lit("|"), F.lit(2)).alias("event_type"), "first_seen")
+
+
+LIMITS = "limits as (select distinct user_id, 1 + user_id % 3 as least from events)"
+
+
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a source: the least volume of a working day."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", (1 + F.col("user_id") % 3).alias("least")).distinct()
 
 
-@query("with n as (select ts::date as day, event_type, count(*) as n from events group by 1, 2) select day, event_type, n, 'atencao' as level from n where n < 60")
+@query(
+    f"""with {LIMITS}, n as (select ts::date as day, user_id, count(*) as n from events group by 1, 2), span as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from n),
+v as (select d.day, l.user_id, l.least, coalesce(n.n, 0)::bigint as n from span d cross join limits l left join n on n.day = d.day and n.user_id = l.user_id)
+select user_id, day, n, case when n = 0 then 'critico' else 'atencao' end as level from v where case when n = 0 then dayofweek(day) not in (0, 6) and not (month(day) = 1 and day(day) = 1) else n < least end"""
+)
 def st07_volume_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes of a day and source that call for attention, as rows of their own."""
-    counts = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
-    _, alerts = jobs.with_alerts(counts, lambda b: b.where("n < 60").withColumn("level", F.lit("atencao")))
-    return alerts
+    """Days of a source that call for attention, silent ones too, judged by the source's own limits as rows of their own."""
+    own = limits(spark, sf_dir)
+
+    def judge(volumes: DataFrame) -> DataFrame:
+        return volumes.join(own, "user_id").withColumn("level", health_level(F.col("n"), F.col("day"), F.col("least"))).drop("least")
+
+    return stateful.volume_monitor(event_stream(spark, sf_dir), "user_id", "ts", judge)[1]
+
+
+def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of JSON, some of them cut off and some with a text where a number belongs."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id").cast("string")
+    whole = F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("points")))
+    wrong = F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), F.lit("many").alias("points")))
+    line = F.when(F.col("user_id") % 13 == 0, F.concat(F.lit('{"event_id": '), k, F.lit(', "kind"'))).when(F.col("event_type") == "error", wrong).otherwise(whole)
+    path = new_dir(spark, "lines")
+    e.select(line.alias("value")).write.text(path)
+    return spark.readStream.schema("value string").text(path)
+
+
+@query("""select event_id, case when user_id % 13 = 0 then 'json' else 'field' end as error from events where user_id % 13 = 0 or event_type = 'error'""")
+def st08x_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that don't parse go to a table of errors with their text, inside the stream; the rest goes on."""
+    _, errors = stateful.split_corrupt(line_stream(spark, sf_dir), "event_id long, kind string, points long")
+    return errors.select(F.regexp_extract("value", '"event_id": ?([0-9]+)', 1).cast("long").alias("event_id"), "error")
 
 
 @query("select o_custkey as source, case when o_custkey % 7 = 0 then 0 else count(*) end as n_items, case when o_custkey % 7 = 0 then 'payload' end as error from orders group by o_custkey")

@@ -10,8 +10,8 @@ from sextant.operators import replay
 from sextant.operators.clusters import ACROSS, COMMON, INSIDE, clustered, similar_pairs
 from sextant.operators.components import connected
 from sextant.operators.storage import new_dir
-from sextant.streaming.backfill import run_days
 from sextant.streaming.jobs import insert_unseen
+from sextant.streaming.ledger import backfill, ledger, read_table
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -106,17 +106,20 @@ def test_unseen_items_over_several_batches_and_runs(spark):
 
 
 def test_a_backfill_goes_on_where_it_stopped(spark):
-    days = spark.sql("select explode(sequence(date '2024-01-01', date '2024-01-31')) as d")
     path, runs = new_dir(spark, "backfill-test"), []
-
-    def work(d):
-        runs.append(d.count())
-        return d.withColumn("n", F.dayofmonth("d"))
-
-    run_days(spark, days, work, path, "d date, n int", batches=5, stop_after=2)
-    done = spark.read.parquet(path).count()
-    run_days(spark, days, work, path, "d date, n int", batches=5)
-    found = spark.read.parquet(path)
-    assert 0 < done < 31 and sum(runs) == 31 and found.count() == found.select("d").distinct().count() == 31
-    run_days(spark, days, work, path, "d date, n int", batches=5)
-    assert sum(runs) == 31
+    lo, hi = datetime.date(2024, 1, 1), datetime.date(2024, 1, 31)
+
+    def work(days):
+        runs.append(days.count())
+        return days.select("day", F.dayofmonth("day").alias("n"), F.when(F.dayofmonth("day") == 9, "no answer").alias("error"))
+
+    first = backfill(spark, path, lo, hi, work, step=7, stop_after=2)
+    assert backfill(spark, path, lo, hi, work, step=7) == first and sum(runs) == 31
+    found = read_table(spark, path, first)
+    assert found.count() == found.select("day").distinct().count() == 31
+    assert [(r["day"].day, r["outcome"], r["error"]) for r in ledger(spark, path, first).where("outcome != 'ok'").collect()] == [(9, "error", "no answer")]
+    assert backfill(spark, path, lo, hi, work, step=7) == first and sum(runs) == 31
+    assert backfill(spark, path, lo, datetime.date(2024, 2, 2), work, step=40) == first + 1 and sum(runs) == 31 + 33
+    # a row that doesn't parse starts anew
+    spark.createDataFrame([('{"lo": "2024-01-01", "hi',)], "value string").write.mode("append").text(f"{path}/ledger/generation-{first + 1}")
+    assert backfill(spark, path, lo, datetime.date(2024, 2, 2), work, step=40) == first + 2 and sum(runs) == 31 + 66
