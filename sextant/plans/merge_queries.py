@@ -15,7 +15,7 @@ from ..registry import query
 from ..streaming.ledger import backfill, ledger, read_table
 from .notice_queries import AREA_WEIGHTS, EVALUATED, UF, evaluated, notices
 from .posting_queries import SCORED, judged
-from .proxies import POSTINGS, postings
+from .proxies import NEWS, POSTINGS, news, postings
 from .state_queries import STATE, state
 
 STATE_NOW = "2024-02-01 10:00:00"
@@ -24,8 +24,8 @@ STATE_NOW = "2024-02-01 10:00:00"
 
 
 @query(
-    f"""with {POSTINGS}, k as (select id, source_no % 4 as source, case when area is not null then concat_ws('|', uf, area, date_trunc('week', published)::date::varchar) end as key from postings),
-old as (select * from k where id % 5 = 0), fresh as (select * from k where id % 5 < 3 and id not in (select id from old)),
+    f"""with {POSTINGS}, k as (select id, published, source_no % 4 as source, case when area is not null then concat_ws('|', uf, area, date_trunc('week', published)::date::varchar) end as key from postings),
+old as (select * from k where published < date '1994-01-01'), fresh as (select * from k where id not in (select id from old)),
 open as (select * from fresh f where key is null or not exists (select 1 from old o where o.key = f.key and o.source != f.source)),
 firsts as (select *, arg_min(source, id) over (partition by key) as first_source from open)
 select id, source, key from firsts where key is null or source = first_source"""
@@ -34,18 +34,27 @@ def u01_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New by id, and by canonical key against other sources, in the store and among the new rows themselves."""
     p = postings(spark, sf_dir)
     key = F.when(F.col("area").isNotNull(), F.concat_ws("|", "uf", "area", F.to_date(F.date_trunc("week", "published")).cast("string")))
-    rows = p.select("id", (F.col("source_no") % 4).alias("source"), key.alias("key"))
-    return merges.insert_if_absent(rows.where("id % 5 = 0"), rows.where("id % 5 < 3"))
+    rows = p.select("id", (F.col("source_no") % 4).alias("source"), key.alias("key"), "published")
+    return merges.insert_if_absent(rows.where("published < date '1994-01-01'"), rows)
 
 
-@query(f"with {POSTINGS}, old as (select * from postings where id % 3 != 0), fresh as (select id, org, uf, price + 1 as price from postings where id % 2 = 0) select id, coalesce(o.org, n.org) as org, coalesce(n.price, o.price) as price, o.id is null as inserted from old o full join fresh n using (id)")
+#: Columns that each run works out anew.
+DERIVED = ("cluster_id", "n_publishers", "n_items", "raw_signal", "batch", "batch_size", "percentile", "repercussion", "profile_bump", "profile_matches", "score", "anchors", "regime")
+MIDDLE = "2024-01-16"
+
+
+@query(
+    f"""with {NEWS} select id, title, domain, {', '.join(f"((id * 7 + {k} * 11) % 100)::int as {c}" for k, c in enumerate(DERIVED))}, case when ts < timestamp '{MIDDLE}' then '2024-01-01' else '{STATE_NOW}' end as first_seen,
+  '{STATE_NOW}' as updated_at, ts >= timestamp '{MIDDLE}' as inserted from news"""
+)
 def u02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rows are inserted; known rows keep their facts and take the derived columns."""
-    p = postings(spark, sf_dir)
-    old = p.where("id % 3 != 0").withColumn("known", F.lit(True)).alias("o")
-    new = p.where("id % 2 = 0").withColumn("price", F.col("price") + 1).alias("n")
-    j = old.join(new, "id", "full")
-    return j.select("id", F.coalesce("o.org", "n.org").alias("org"), F.coalesce("n.price", "o.price").alias("price"), F.col("known").isNull().alias("inserted"))
+    """New items are inserted; stored ones keep their facts and when they were first seen, and take the thirteen derived columns."""
+    n = news(spark, sf_dir)
+    k = F.col("id")
+    stored = n.where(F.col("ts") < F.lit(MIDDLE).cast("timestamp")).select("id", "title", "domain", *(((k * 3 + i) % 100).cast("int").alias(c) for i, c in enumerate(DERIVED)), F.lit("2024-01-01").alias("first_seen"), F.lit("2024-01-01").alias("updated_at"))
+    known = F.col("ts") < F.lit(MIDDLE).cast("timestamp")
+    fresh = n.select("id", F.when(known, F.upper("title")).otherwise(F.col("title")).alias("title"), F.when(known, "other").otherwise(F.col("domain")).alias("domain"), *(((k * 7 + i * 11) % 100).cast("int").alias(c) for i, c in enumerate(DERIVED)), F.lit(STATE_NOW).alias("first_seen"), F.lit(STATE_NOW).alias("updated_at"))
+    return merges.upsert(stored, fresh, "id", list(DERIVED), F.lit(STATE_NOW))
 
 
 STORED = f"""{EVALUATED}, stored as (select *, case when id % 4 = 0 then null else 'Design' end as old_area, case when id % 6 = 0 then null else 'RJ' end as old_uf,
@@ -91,13 +100,13 @@ def u05_fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("id", "area", F.col("vagas").alias("vacancies"), F.array_join("campos_llm", ",").alias("by_model"))
 
 
-QUEUE = f"""{SCORED}, q as (select *, row_number() over (order by score desc, id) as place from judged where final != 'fora' and source_no % 3 = 0 and (final = 'indeterminada' or score >= 80))"""
+QUEUE = f"""{SCORED}, q as (select *, row_number() over (order by score desc, id) as place from judged where final != 'fora' and (final = 'indeterminada' or score >= 80))"""
 
 
 @query(f"with {QUEUE} select id, place <= 20 as notified, case when place <= 20 then timestamp '{STATE_NOW}' end as notified_at from q")
 def u11_mark_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 are sent and marked, the others stay pending."""
-    q = judged(spark, sf_dir).where("final != 'fora' and source_no % 3 = 0 and (final = 'indeterminada' or score >= 80)").select("id", "score")
+    q = judged(spark, sf_dir).where("final != 'fora' and (final = 'indeterminada' or score >= 80)").select("id", "score")
     sent = q.orderBy(F.desc("score"), "id").limit(20).select("id", F.lit(STATE_NOW).cast("timestamp").alias("notified_at"))
     return q.join(F.broadcast(sent), "id", "left").select("id", F.col("notified_at").isNotNull().alias("notified"), "notified_at")
 
@@ -109,10 +118,10 @@ def u05x_not_yet_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("id").join(q.where("notified").select("id"), "id", "left_anti")
 
 
-@query(f"with {SCORED}, p as (select source_no, count(*) as total from judged where final != 'fora' and id % 3 != 0 group by source_no) select source_no, case when source_no < 4 then 7 else total end as total, source_no >= 4 as closed_now from p")
+@query(f"with {SCORED}, p as (select source_no, count(*) as total from judged where final != 'fora' group by source_no) select source_no, case when source_no < 4 then 7 else total end as total, source_no >= 4 as closed_now from p")
 def u11_backlog_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A backlog is closed once a source: sources with a mark keep it, the others get one with their pending rows."""
-    pending = judged(spark, sf_dir).where("final != 'fora' and id % 3 != 0").groupBy("source_no").agg(F.count("*").alias("total"))
+    pending = judged(spark, sf_dir).where("final != 'fora'").groupBy("source_no").agg(F.count("*").alias("total"))
     marks = spark.range(4).select(F.col("id").cast("int").alias("source_no"), F.lit(7).cast("long").alias("marked"))
     return pending.join(marks, "source_no", "left").select("source_no", F.coalesce("marked", "total").alias("total"), F.col("marked").isNull().alias("closed_now"))
 
@@ -125,13 +134,13 @@ def u06x_distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lookups
 
 
-@query(f"with {POSTINGS}, d as (select org, arg_min(id, (published, id)) as id, arg_min(coalesce(area, kind), (published, id)) as label from postings where id % 2 = 0 group by org) select c_custkey as row_no, d.id, coalesce(d.label, 'fora do radar') as label from customer left join d on d.org = c_name")
+@query(f"with {POSTINGS}, d as (select org, arg_min(id, (published, id)) as id, arg_min(coalesce(area, kind), (published, id)) as label, arg_min(track, (published, id)) as track from postings group by org) select c_custkey as row_no, d.id, coalesce(d.label, 'fora do radar') as label, coalesce(d.track, '') as track from customer left join d on d.org = c_name")
 def j10_queue_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first posting at an address gives a queue row its id and label; what isn't found is named so."""
-    p = postings(spark, sf_dir).where("id % 2 = 0")
-    dim = p.groupBy("org").agg(F.min_by(F.struct("id", F.coalesce("area", "kind").alias("label")), F.struct("published", "id")).alias("x"))
+    """The first posting at an address gives a queue row its id, label and track; what isn't found is named so."""
+    p = postings(spark, sf_dir)
+    dim = p.groupBy("org").agg(F.min_by(F.struct("id", F.coalesce("area", "kind").alias("label"), "track"), F.struct("published", "id")).alias("x"))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("row_no"), F.col("c_name").alias("org"))
-    return c.join(dim, "org", "left").select("row_no", "x.id", F.coalesce("x.label", F.lit("fora do radar")).alias("label"))
+    return c.join(dim, "org", "left").select("row_no", "x.id", F.coalesce("x.label", F.lit("fora do radar")).alias("label"), F.coalesce("x.track", F.lit("")).alias("track"))
 
 
 CANON = ("Universidade Federal do Pará", "UFPA - Universidade Federal do Pará", "Fundação Universidade do Acre – UFAC", "Instituto Novo - Campus Um", "", "ufpa")

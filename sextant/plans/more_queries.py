@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
+from ..operators import bands
 from ..operators.storage import new_dir, written
 from ..registry import query
-from .news_queries import _band_sql, t06_bands
+from .news_queries import CLUSTERS, _band_sql, band_now, ranked_items, t06_bands
 from .posting_queries import SCORED, TIER_SQL, judged, tiers
 from .proxies import NEWS, NOW, POSTINGS, news, postings
 from .state_queries import STATE, state
@@ -23,10 +24,17 @@ def a26_shown_per_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t06_bands(spark, sf_dir).groupBy("tab", "band").agg(F.count("*").alias("n"))
 
 
-@query(f"with {BANDS} select id, count(*) as n from bands group by id having count(*) > 1")
+@query(
+    f"""with {BANDS}, told as (select b.id, b.tab, n.link, c.cluster from bands b join (with {NEWS} select id, domain || '/' || (id % 400) as link from news) n using (id) join (with {CLUSTERS} select id, cluster from assigned) c using (id)),
+promises as (select tab, 'id' as kind, id::varchar as key from told union all select tab, 'link', link from told union all select tab, 'cluster', cluster::varchar from told)
+select tab, kind, count(*) as promised, (count(*) - count(distinct key))::bigint as repeated from promises group by 1, 2"""
+)
 def a28_duplicate_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items in more than one band row: none by construction."""
-    return t06_bands(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    """Of each tab's rows over all bands, how many repeat an item, a link or a cluster that another row has promised."""
+    ranked = ranked_items(spark, sf_dir)
+    shown = bands.cascade(ranked, band_now()).select("id", "tab").join(ranked.select("id", "link", "cluster"), "id")
+    keys = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("key")) for kind in ("id", "link", "cluster")))
+    return shown.select("tab", F.inline(keys)).groupBy("tab", "kind").agg(F.count("*").alias("promised"), (F.count("*") - F.countDistinct("key")).alias("repeated"))
 
 
 @query(f"with {BANDS} select id, tab, place from bands where band = 7 and place <= 5")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -143,10 +143,14 @@ def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(scored.join(clusters.clustered(i), "id"), "ranked-items")
 
 
+def band_now() -> Column:
+    return F.lit(NEWS_NOW).cast("timestamp") - F.expr("interval 24 hours")
+
+
 @query(_band_sql())
 def t06_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Today, 7, 15 and 30 days: one row a cluster and a link, 20 a tab with floors for themes, without what an earlier band shows."""
-    return bands.cascade(ranked_items(spark, sf_dir), F.lit(NEWS_NOW).cast("timestamp") - F.expr("interval 24 hours"))
+    return bands.cascade(ranked_items(spark, sf_dir), band_now())
 
 
 @query(f"with {CLUSTERS}, scored as (select id, tab, theme, ts, cluster, (id * 7919 % 997)::int as score from news join assigned using (id)) select id, tab, cluster from scored qualify row_number() over (partition by tab, cluster order by score desc, ts desc, id) = 1")

@@ -152,10 +152,10 @@ def u10_parsed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("address").cast("long").alias("url"), F.coalesce(F.upper(F.trim("x.said")) == "TRUE", F.lit(False)).alias("flag"), "x.turn")
 
 
-@query(f"with {SCORED}, q as (select *, row_number() over (order by score desc, id) as place from judged where final != 'fora' and source_no % 2 = 0) select 'item' as kind, id, place::int as place from q where place <= 15 union all select 'overflow', null, (count(*) - 15)::int from q having count(*) > 15")
+@query(f"with {SCORED}, q as (select *, row_number() over (order by score desc, id) as place from judged where final != 'fora') select 'item' as kind, id, place::int as place from q where place <= 15 union all select 'overflow', null, (count(*) - 15)::int from q having count(*) > 15")
 def t04_queue_with_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 15 of the queue and, where more are pending, one notice of how many stay."""
-    q = written(judged(spark, sf_dir).where("final != 'fora' and source_no % 2 = 0").select("id", "score"), "pending")
+    q = written(judged(spark, sf_dir).where("final != 'fora'").select("id", "score"), "pending")
     top = q.orderBy(F.desc("score"), "id").limit(15)
     sent = top.select(F.lit("item").alias("kind"), "id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("place"))  # 15 rows
     more = q.agg((F.count("*") - 15).cast("int").alias("place")).where("place > 0")

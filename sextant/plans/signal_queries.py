@@ -51,17 +51,23 @@ def f37_repercussion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", part.alias("repercussion"), (part + F.least(F.lit(40), F.col("event_id") % 50).cast("int")).alias("score"))
 
 
-@query(f"""with feeds as (select unnest(range(0, 40)) as feed), f as (select feed, count(event_id) as n, count(case when feed % 8 != 3 then ts end) as dated, max(case when feed % 8 != 3 then ts end) as last_ts from feeds left join events on user_id % 50 = feed and feed % 10 != 9 group by feed)
-select feed, n, case when n = 0 then 'vazio' when dated = 0 then case when feed % 16 = 3 then 'sem data permitido' else 'sem data' end when last_ts < {LAST} - interval 7 day then 'velho' else 'fresco' end as verdict from f""")
+#: The list has feeds that bring nothing, some that may go undated, and dead ones (their numbers end with 9), whose items are two months older.
+VERDICTS = f"""feeds as (select unnest(range(0, 60)) as feed), dated as (select *, user_id % 50 as feed, case when user_id % 10 = 9 then ts - interval 60 day when user_id % 50 % 8 != 3 then ts end as said from events),
+f as (select feed, count(event_id) as n, count(said) as dated, max(said) as last_ts from feeds left join dated using (feed) group by feed),
+verdicts as (select feed, n, case when n = 0 then 'vazio' when dated = 0 then case when feed % 16 = 3 then 'sem data permitido' else 'sem data' end when last_ts < {LAST} - interval 7 day then 'velho' else 'fresco' end as verdict from f)"""
+
+
+@query(f"with {VERDICTS} select feed, n, verdict from verdicts")
 def a15_feed_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each feed of the list has a verdict: those without items and without dates too; some may go undated."""
     return feed_verdicts(spark, sf_dir).select("feed", "n", "verdict")
 
 
 def feed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feeds = spark.range(40).select(F.col("id").alias("feed"), (F.col("id") % 16 == 3).alias("undated_allowed"))
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 50).alias("feed"), "ts").where("feed % 10 != 9")
-    e = e.withColumn("ts", F.when(F.col("feed") % 8 != 3, F.col("ts")))
+    feeds = spark.range(60).select(F.col("id").alias("feed"), (F.col("id") % 16 == 3).alias("undated_allowed"))
+    u = F.col("user_id")
+    said = F.when(u % 10 == 9, F.col("ts") - F.expr("interval 60 days")).when(u % 50 % 8 != 3, F.col("ts"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((u % 50).alias("feed"), said.alias("ts"))
     f = feeds.join(e.groupBy("feed").agg(F.count("*").alias("n"), F.count("ts").alias("dated"), F.max("ts").alias("last_ts")), "feed", "left")
     old = F.col("last_ts") < F.lit("2024-01-31").cast("timestamp") - F.expr("interval 7 days")
     undated = F.when(F.col("undated_allowed"), "sem data permitido").otherwise("sem data")
@@ -69,10 +75,10 @@ def feed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("feed", n.alias("n"), F.when(n == 0, "vazio").when(F.col("dated") == 0, undated).when(old, "velho").otherwise("fresco").alias("verdict"))
 
 
-@query("select feed, true as rejected from (select unnest([9, 19, 29, 39]) as feed)")
+@query(f"with {VERDICTS} select feed, verdict, verdict in ('vazio', 'velho', 'sem data') as rejected from verdicts where feed % 10 = 9")
 def a33_dead_canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds known to be dead are rejected in every run."""
-    return feed_verdicts(spark, sf_dir).where("feed % 10 = 9").select("feed", F.col("verdict").isin("vazio", "velho", "sem data").alias("rejected"))
+    """Feeds known to be dead: what brings items of long ago is rejected by the verdict that all feeds get, or the run is unsound."""
+    return feed_verdicts(spark, sf_dir).where("feed % 10 = 9").select("feed", "verdict", F.col("verdict").isin("vazio", "velho", "sem data").alias("rejected"))
 
 
 @query(f"select event_id, ts from events where ts is null or ts >= {LAST} - interval 10 day")
