@@ -89,15 +89,19 @@ def u04_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {STORED}, x as (select *, case when id % 2 = 0 then 'UX/IHC' end as found_area, case when id % 3 = 0 then 4 end as found_vacancies from stored)
 select id, coalesce(old_area, found_area) as area, coalesce(old_vacancies, found_vacancies) as vacancies,
+  case when (old_area is null and found_area is not null) or (old_vacancies is null and found_vacancies is not null) then (case coalesce(old_area, found_area) when 'Design' then 30 when 'UX/IHC' then 35 else 0 end + 10)::int else old_score end as score,
   concat_ws(',', by_model, case when old_area is null and found_area is not null and coalesce(by_model, '') != 'area' then 'area' end,
     case when old_vacancies is null and found_vacancies is not null and coalesce(by_model, '') != 'vagas' then 'vagas' end) as by_model from x"""
 )
 def u05_fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted fields only where there is none; their names are recorded."""
+    """Extracted fields only where there is none; their names are recorded, and a row that took one is scored anew."""
     k = F.col("id")
     x = stored(spark, sf_dir).withColumn("found_area", F.when(k % 2 == 0, "UX/IHC")).withColumn("found_vacancies", F.when(k % 3 == 0, 4))
     filled = merges.fill_missing(x, {"area": ("old_area", "found_area"), "vagas": ("old_vacancies", "found_vacancies")}, "campos_llm")
-    return filled.select("id", "area", F.col("vagas").alias("vacancies"), F.array_join("campos_llm", ",").alias("by_model"))
+    weight = F.when(F.col("area") == "Design", 30).when(F.col("area") == "UX/IHC", 35).otherwise(0)
+    took = (F.col("old_area").isNull() & F.col("found_area").isNotNull()) | (F.col("old_vacancies").isNull() & F.col("found_vacancies").isNotNull())
+    score = F.when(took, weight + 10).otherwise(F.col("old_score"))
+    return filled.select("id", "area", F.col("vagas").alias("vacancies"), score.alias("score"), F.array_join("campos_llm", ",").alias("by_model"))
 
 
 QUEUE = f"""{SCORED}, q as (select *, row_number() over (order by score desc, id) as place from judged where final != 'fora' and (final = 'indeterminada' or score >= 80))"""

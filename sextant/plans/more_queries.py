@@ -114,9 +114,19 @@ def p09_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("shipped").isNull(), "fallback").otherwise("detalhe").alias("extraction"), F.to_date(F.coalesce("shipped", "o_orderdate")).alias("d"))
 
 
-@query(f"with {POSTINGS} select id, concat_ws(' | ', org, area, nullif(degree, 'graduacao')) as blob from postings")
+#: Parts of the text that the gates see, by the kind of source.
+BLOB_PARTS = {0: ("org", "area", "degree"), 1: ("org", "kind"), 2: ("area", "degree", "uf"), 3: ("org", "uf", "track")}
+
+
+def _blob_sql(parts: tuple[str, ...]) -> str:
+    return "concat_ws(chr(10), " + ", ".join(f"nullif(trim({c}), '')" for c in parts) + ")"
+
+
+@query(f"with {POSTINGS} select id, case source_no % 4 " + " ".join(f"when {k} then {_blob_sql(v)}" for k, v in BLOB_PARTS.items()) + " end as blob from postings")
 def p11_filter_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).select("id", F.concat_ws(" | ", "org", "area", F.nullif("degree", F.lit("graduacao"))).alias("blob"))
+    """The text that the gates see: the parts that a source of this kind has, empty ones left out."""
+    blob = F.coalesce(*(F.when(F.col("source_no") % 4 == k, F.concat_ws("\n", *(F.nullif(F.trim(c), F.lit("")) for c in v))) for k, v in BLOB_PARTS.items()))
+    return postings(spark, sf_dir).select("id", blob.alias("blob"))
 
 
 @query("select s_suppkey, coalesce(case when s_nationkey < 10 then n_name end, replace(replace(s_name, 'Supplier', 'Sup'), '#', '')) as shown, s_nationkey < 10 as mapped, s_name from supplier join nation on n_nationkey = s_nationkey")

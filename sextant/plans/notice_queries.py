@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, gates
+from ..functions import extract, gates, text
 from ..operators.storage import written
 from ..registry import query
+from ..sources import boards
 
 #: Part of a notice: divisor of the order's number, wordings.
 PARTS: dict[str, tuple[int, tuple[str, ...]]] = {
@@ -223,6 +224,44 @@ def v11_posting_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(firsts, "key", "left").where("key is null or source = first_source").select("id", "org", "area", "uf", "vacancies", "first_day", "key")
 
 
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, full): the article behind every other notice, its text followed by a table of codes, and a second table that doesn't count."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    code = F.concat(F.col("l_partkey").cast("string"), F.lit("/24."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"))
+    tables = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(code, F.lit(" Depto")))), "</p><p>").alias("codes"))
+    n = notices(spark, sf_dir).where("id % 2 = 0").join(tables, "id", "left")
+    body = F.concat(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("</p><p>Quadro I</p><p>"), F.coalesce("codes", F.lit("")), F.lit("</p><p>QUADRO II</p><p>999/24.99 Depto"))
+    return n.select("id", boards.article_text(F.concat(F.lit('<div class="texto-dou">\n<html>\n<head></head>\n<body><p>'), body, F.lit("</p>\n</body></html></div>"))).alias("full"))
+
+
+def posting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the notices that pass the gates: enriched by their article, one a code where the article is an umbrella, with fields and ids."""
+    passed = written(pipeline_rows(spark, sf_dir).where("relevant").select("id", "source", "org", "area", "text", "ambiguous", "first_day", "key"), "passed-notices")
+    rows = passed.join(articles(spark, sf_dir), "id", "left").withColumn("body", F.coalesce("full", "text"))
+    first_table = F.split("body", "(?i)quadro\\s+ii(?![a-z0-9_])", 2)[0]
+    codes = F.regexp_extract_all(first_table, F.lit("([0-9]+/[0-9]{2}\\.[0-9]{2})"), F.lit(1))
+    split = rows.withColumn("codes", codes).withColumn("code", F.explode_outer(F.when(F.size("codes") >= 2, F.col("codes"))))
+    link = F.concat(F.lit("https://www.in.gov.br/web/dou/-/edital-"), F.col("id").cast("string"))
+    parts = [text.normalise_key(F.col("org")), text.normalise_key(F.col("area")), F.coalesce(F.col("first_day").cast("string"), F.lit("")), link, F.coalesce("code", F.lit(""))]
+    posting_id = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 20)
+    fields = {"vacancies": F.when(~F.col("ambiguous"), extract.vacancies(F.col("body"))), "uf": extract.state_in_text(F.col("body"))}
+    return split.withColumns(fields).select(posting_id.alias("posting_id"), "id", "source", "code", "org", "area", "uf", "vacancies", "first_day", "key", F.when(F.col("full").isNull(), "preview").otherwise("artigo").alias("origin"))
+
+
+@query(
+    f"""with {STAGED}, codes as (select l_orderkey as id, l_partkey || '/24.' || lpad(l_linenumber::varchar, 2, '0') as code, count(*) over (partition by l_orderkey) as n_codes from lineitem),
+split as (select k.*, c.code from k left join codes c on c.id = k.id and k.id % 2 = 0 and c.n_codes >= 2),
+named as (select *, substring(sha256(concat_ws('|', lower(trim(org)), lower(trim(coalesce(area, ''))), coalesce(first_day::varchar, ''), 'https://www.in.gov.br/web/dou/-/edital-' || id, coalesce(code, ''))), 1, 20) as posting_id,
+  arg_min(source, id) over (partition by key) as first_source from split)
+select distinct posting_id, id, code, org, area, uf, vacancies, first_day, case when id % 2 = 0 then 'artigo' else 'preview' end as origin from named where key is null or source = first_source"""
+)
+def v11x_posting_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline: gates, articles, umbrella split or single, fields, ids, and both de-duplications: by id, and by canonical key across sources."""
+    rows = written(posting_rows(spark, sf_dir), "postings").dropDuplicates(["posting_id"])
+    firsts = rows.where("key is not null").groupBy("key").agg(F.min_by("source", "id").alias("first_source"))
+    return rows.join(firsts, "key", "left").where("key is null or source = first_source").select("posting_id", "id", "code", "org", "area", "uf", "vacancies", "first_day", "origin")
+
+
 @query(f"with {STAGED}, c as (select source, unnest([{{'stage': 'contest', 'ok': contest, 'in': true}}, {{'stage': 'post', 'ok': post, 'in': contest}}, {{'stage': 'area', 'ok': relevant, 'in': post}}], recursive := true) from r) select stage, count_if(ok)::bigint as covered, count_if(\"in\")::bigint as total from c group by stage")
 def a09_merged_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage by source and stage, merged across sources: the stage and its unit are the key."""

@@ -45,17 +45,43 @@ def w11_last_moves_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.concat_ws(" ", "turn", "voice").alias("t")))), lambda x: x["t"]), "; ").alias("moves"))
 
 
-@query(f"with {STATE}, s as (select unnest(['humano', 'robo', 'system', 'outro']) as voice) select s.voice, count(state.url) as n, count(case when turn > 3 then 1 end) as stale from s left join state on state.voice = s.voice group by s.voice")
-def a23_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages appear, those without rows too."""
-    n = state(spark, sf_dir).groupBy("voice").agg(F.count("*").alias("n"), F.count_if(F.col("turn") > 3).alias("stale"))
-    stages = spark.createDataFrame([(x,) for x in ("humano", "robo", "system", "outro")], "voice string")
-    return stages.join(n, "voice", "left").select("voice", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("stale", F.lit(0)).alias("stale"))
+#: Applications are customers' orders, their stage is the priority; the list of stages is a table, in its order.
+STAGES = "stages as (select o_orderpriority as stage, row_number() over (order by o_orderpriority) as place from (select distinct o_orderpriority from orders))"
 
 
-@query(f"with {STATE} select url, max(turn) as last_move, sum((voice = 'robo')::int)::bigint as done, count(*) as total, arg_min(voice, turn) as current from state group by url")
+@query(f"with {STAGES} select s.stage, s.place, count(o.o_orderkey) as n, count_if(o.o_orderdate::date < date '1998-08-02' - 14)::bigint as stale from stages s left join orders o on o.o_orderpriority = s.stage and o.o_orderstatus = 'P' group by 1, 2")
+def a23_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enrolled rows by stage, in the order of the stages, and those that haven't moved for 14 days; all stages appear, those without rows too."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    stages = o.select(F.col("o_orderpriority").alias("stage")).distinct().withColumn("place", F.row_number().over(Window.orderBy("stage")).cast("long"))  # a row a stage
+    stale = F.to_date("o_orderdate") < F.date_sub(F.lit("1998-08-02").cast("date"), 14)
+    n = o.where("o_orderstatus = 'P'").groupBy(F.col("o_orderpriority").alias("stage")).agg(F.count("*").alias("n"), F.count_if(stale).alias("stale"))
+    return stages.join(n, "stage", "left").select("stage", "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("stale", F.lit(0)).alias("stale"))
+
+
+@query(
+    """with tasks as (select l_orderkey as project, l_linenumber as place, l_shipdate::date as day, l_linestatus = 'F' as done from lineitem)
+select o_orderkey as project, max(case when done then day end) as last_move, count(case when not done then 1 end) as open_tasks, min(case when not done then day end) as next_deadline, count(case when done then 1 end) as done, count(place) as total,
+  min(case when not done then place end) as current_stage from orders left join tasks on project = o_orderkey group by 1"""
+)
 def a24_project_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state(spark, sf_dir).groupBy("url").agg(F.max("turn").alias("last_move"), F.count_if(F.col("voice") == "robo").alias("done"), F.count("*").alias("total"), F.min_by("voice", "turn").alias("current"))
+    """Of each project, one without tasks too: last movement, open tasks, next deadline, progress and the first stage that isn't done."""
+    done = F.col("l_linestatus") == "F"
+    tasks = (
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        .groupBy(F.col("l_orderkey").alias("project"))
+        .agg(
+            F.to_date(F.max(F.when(done, F.col("l_shipdate")))).alias("last_move"),
+            F.count_if(~done).alias("open_tasks"),
+            F.to_date(F.min(F.when(~done, F.col("l_shipdate")))).alias("next_deadline"),
+            F.count_if(done).alias("done"),
+            F.count("*").alias("total"),
+            F.min(F.when(~done, F.col("l_linenumber"))).alias("current_stage"),
+        )
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    projects = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("project"))
+    return projects.join(tasks, "project", "left").select("project", "last_move", zero("open_tasks"), "next_deadline", zero("done"), zero("total"), "current_stage")
 
 
 @query(f"with {STATE}, due as (select url, turn, 'tarefa' as kind from state where voice = 'humano' and turn <= 2), att as (select url, turn, 'aviso' as kind from state where voice = 'robo' and turn >= 5) select url, turn, kind from (select *, row_number() over (partition by kind order by turn, url) as n from (select * from due union all select * from att)) where n <= 8")

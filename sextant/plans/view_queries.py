@@ -284,6 +284,23 @@ def k06_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.when(F.col("g1") == 0, "verdict").when(F.col("g2") == 0, "uf").otherwise("month").alias("section"), F.coalesce("final", "uf", "month").alias("key"), "n", "best")
 
 
+@query(
+    f"""with {SCORED}, r as (select *, case when final = 'fora' then null else coalesce(area, 'sem área') end as profile_area from judged),
+totals as (select count(*) as total, count_if(final != 'fora') as eligible from r)
+select 'total' as section, 'total' as key, total::bigint as n, round(eligible / total, 6) as share from totals
+union all select 'area', profile_area, count(*), round(count(*) / (select eligible from totals), 6) from r where profile_area is not null group by profile_area
+union all select 'degree', coalesce(degree, 'sem exigência'), count(*), round(count_if(final != 'fora') / count(*), 6) from r group by 2"""
+)
+def k06x_profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one profile: how many postings are eligible, in which areas, and what each degree leaves open."""
+    j = judged(spark, sf_dir).withColumn("open", F.col("final") != "fora")
+    totals = written(j.agg(F.count("*").alias("total"), F.count_if("open").alias("eligible")), "report-totals")
+    share = lambda a, b: F.round(a / b, 6).alias("share")
+    whole = totals.where("total > 0").select(F.lit("total").alias("section"), F.lit("total").alias("key"), F.col("total").alias("n"), share(F.col("eligible"), F.col("total")))
+    areas = j.where("open").groupBy(F.coalesce("area", F.lit("sem área")).alias("key")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(totals))  # one row
+    degrees = j.groupBy(F.coalesce("degree", F.lit("sem exigência")).alias("key")).agg(F.count("*").alias("n"), F.count_if("open").alias("k"))
+    return whole.unionByName(areas.select(F.lit("area").alias("section"), "key", "n", share(F.col("n"), F.col("eligible")))).unionByName(degrees.select(F.lit("degree").alias("section"), "key", "n", share(F.col("k"), F.col("n"))))
+
 # ---- boards
 
 BOARD = f"""{STATE}, {SCORED},
@@ -292,8 +309,11 @@ journal as (select 'diario' as block, url || '/' || turn as key, 5 as most, row_
 radar as (select 'radar' as block, id::varchar as key, 10 as most, row_number() over (order by published desc, id) as place from judged),
 due as (select 'vence' as block, id::varchar as key, 8 as most, row_number() over (order by deadline, id) as place from judged where deadline >= date '1998-06-01'),
 attention as (select 'atencao' as block, id::varchar as key, 8 as most, row_number() over (order by score desc, id) as place from judged where final = 'indeterminada'),
-tasks as (select 'tarefas' as block, url || '/' || turn as key, 12 as most, row_number() over (order by turn, url) as place from state where voice = 'humano')"""
-BLOCKS = ("queue", "journal", "radar", "due", "attention", "tasks")
+tasks as (select 'tarefas' as block, url || '/' || turn as key, 12 as most, row_number() over (order by turn, url) as place from state where voice = 'humano'),
+projects as (select 'projetos' as block, url || ' ' || count_if(voice = 'robo') || '/' || count(*) as key, 10 as most, row_number() over (order by max(turn) desc, url) as place from state group by url),
+fresh_news as (select 'noticias' as block, doc_id::varchar as key, 10 as most, row_number() over (order by (doc_id * 7919 % 997)::int desc, doc_id) as place from documents),
+pulse as (select 'pulso' as block, strftime(published, '%Y-%m') || ' ' || count(*) as key, 2 as most, row_number() over (order by strftime(published, '%Y-%m') desc) as place from judged where final != 'fora' group by strftime(published, '%Y-%m'))"""
+BLOCKS = ("queue", "journal", "radar", "due", "attention", "tasks", "projects", "fresh_news", "pulse")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame, list]]:
@@ -301,6 +321,9 @@ def blocks(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame,
     s, j = state(spark, sf_dir), written(judged(spark, sf_dir).select("id", "published", "deadline", "score", "final"), "judged")
     entry = s.withColumn("key", F.concat_ws("/", "url", "turn"))
     by_id = lambda d: d.withColumn("key", F.col("id").cast("string"))
+    projects = s.groupBy("url").agg(F.max("turn").alias("last"), F.count_if(F.col("voice") == "robo").alias("done"), F.count("*").alias("total"))
+    n = news(spark, sf_dir).select("id", (F.col("id") * 7919 % 997).cast("int").alias("score"))
+    months = j.where("final != 'fora'").groupBy(F.date_format("published", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
     return [
         ("fila", 10, s.select("url").distinct().withColumn("key", F.col("url").cast("string")), [F.col("url") % 17, F.col("url")]),
         ("diario", 5, entry, [F.desc("turn"), F.col("url")]),
@@ -308,13 +331,16 @@ def blocks(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, DataFrame,
         ("vence", 8, by_id(j.where("deadline >= date '1998-06-01'")), [F.col("deadline"), F.col("id")]),
         ("atencao", 8, by_id(j.where("final = 'indeterminada'")), [F.desc("score"), F.col("id")]),
         ("tarefas", 12, entry.where("voice = 'humano'"), [F.col("turn"), F.col("url")]),
+        ("projetos", 10, projects.withColumn("key", F.concat_ws(" ", "url", F.concat_ws("/", "done", "total"))), [F.desc("last"), F.col("url")]),
+        ("noticias", 10, by_id(n), [F.desc("score"), F.col("id")]),
+        ("pulso", 2, months.withColumn("key", F.concat_ws(" ", "month", "n")), [F.desc("month")]),
     ]
 
 
-@query(f"with {BOARD} " + " union all ".join(f"select block, key, place::int as place from {b} where place <= most" for b in ("queue", "journal", "radar")))
+@query(f"with {BOARD} " + " union all ".join(f"select block, key, place::int as place from {b} where place <= most" for b in BLOCKS[:7]))
 def t08_newest_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next of the queue, newest of the journal and of the radar."""
-    return board_rows(blocks(spark, sf_dir)[:3])
+    """Next of the queue, newest of the journal and of the radar, what is due, what calls for attention, tasks and projects, each with its own limit."""
+    return board_rows(blocks(spark, sf_dir)[:7])
 
 
 def board_rows(found: list[tuple[str, int, DataFrame, list]]) -> DataFrame:
