@@ -21,6 +21,11 @@ STOP_WORDS = STOP_WORDS_PT + STOP_WORDS_EN
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#039;": "'", "&#34;": '"', "&#034;": '"', "&#8217;": "\u2019", "&#8216;": "\u2018", "&#8220;": "\u201c", "&#8221;": "\u201d", "&#8211;": "\u2013", "&#8212;": "\u2014", "&#160;": " "}
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def strip_accents(c: Column) -> Column:
     return F.translate(c, MARKED, BARE)
 
@@ -46,9 +51,13 @@ def tokens(c: Column) -> Column:
 
 def is_shouting(c: Column, limit: float = 0.6) -> Column:
     """True if over ``limit`` of the tokens of six letters and more are upper-case."""
-    long = F.filter(tokens(c), lambda t: t.rlike("\\p{L}") & (F.length(t) >= 6))
-    loud = F.filter(long, lambda t: (t == F.upper(t)) & (t != F.lower(t)))
-    return F.coalesce(F.try_divide(F.size(loud), F.size(long)) > limit, F.lit(False))
+    return let(tokens(c), lambda own: _shout(own, limit))
+
+
+def _shout(own: Column, limit: float = 0.6) -> Column:
+    long = F.filter(own, lambda t: t.rlike("\\p{L}") & (F.length(t) >= 6))
+    loud = lambda t: (t == F.upper(t)) & (t != F.lower(t))
+    return let(long, lambda x: F.coalesce(F.try_divide(F.size(F.filter(x, loud)), F.size(x)) > limit, F.lit(False)))
 
 
 def numbers(c: Column) -> Column:
@@ -58,11 +67,9 @@ def numbers(c: Column) -> Column:
 
 
 def anchors(c: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
     plain = lambda t: F.lower(strip_accents(t))
-    capitals = F.filter(F.transform(F.filter(tokens(c), lambda t: t.rlike("^\\p{Lu}")), plain), lambda t: F.length(t) >= 2)
-    content = F.filter(F.transform(F.filter(tokens(c), lambda t: t.rlike("\\p{L}")), plain), lambda t: F.length(t) >= 4)
-    kept = F.filter(F.when(is_shouting(c), content).otherwise(capitals), lambda t: ~F.array_contains(stop, t))
+    named = lambda own, first, least: F.filter(F.transform(F.filter(own, lambda t: t.rlike(first)), plain), lambda t: (F.length(t) >= least) & ~t.isin(STOP_WORDS))
+    kept = let(tokens(c), lambda own: F.when(_shout(own), named(own, "\\p{L}", 4)).otherwise(named(own, "^\\p{Lu}", 2)))
     return F.array_distinct(F.concat(kept, numbers(c)))
 
 
@@ -80,11 +87,6 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.when((n > 0) & (n < 0x110000), F.decode(F.unhex(units), "UTF-16BE")).otherwise("")
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)``, with the value worked out once."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _replaced(c: Column, pattern: str, letter: Callable[[Column], Column]) -> Column:
     """Splits at the ampersands; a piece whose head fits the pattern gives way to its ``letter``, if that isn't null."""
 

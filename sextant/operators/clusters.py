@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,9 +115,15 @@ def summaries(items: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def mid_rank_percentile(items: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds the batch size and the percentile (less + equal / 2) / n * 100; one item alone has 50."""
-    part = Window.partitionBy(*by)
-    less = F.rank().over(part.orderBy(value)) - 1
-    equal = F.count("*").over(Window.partitionBy(*by, value))
-    n = F.count("*").over(part)
-    return items.withColumn("batch", n).withColumn("percentile", (less + 0.5 * equal) / n * 100)
+    """Adds the batch size and the percentile (less + equal / 2) / n * 100; one item alone has 50.
+
+    Ranks are taken over the different values of a batch, counted first, so a large batch doesn't meet in one task; the items find theirs by a join.
+    """
+    keys = [*by, value]
+    counts = items.groupBy(*(F.col(c).alias(f"rank_{k}") for k, c in enumerate(keys))).agg(F.count("*").alias("rank_n"))
+    part = Window.partitionBy(*(f"rank_{k}" for k in range(len(by))))
+    less = F.coalesce(F.sum("rank_n").over(part.orderBy(f"rank_{len(by)}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("rank_n").over(part)
+    ranks = counts.select(*(f"rank_{k}" for k in range(len(keys))), n.alias("batch"), ((less + 0.5 * F.col("rank_n")) / n * 100).alias("percentile"))
+    met = reduce(lambda a, b: a & b, (items[c].eqNullSafe(ranks[f"rank_{k}"]) for k, c in enumerate(keys)))
+    return items.join(ranks, met).select(*(items[c] for c in items.columns), "batch", "percentile")

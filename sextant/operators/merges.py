@@ -53,7 +53,7 @@ def canonical_acronyms(rows: DataFrame, names: DataFrame) -> DataFrame:
     org = F.coalesce("org", F.lit(""))
     parts = F.filter(F.transform(F.split(org, "\\s*[-–—]\\s+"), lambda x: F.trim(x)), lambda x: x != "")
     each = rows.select("id", F.posexplode(F.array_distinct(F.concat(F.array(org), parts))).alias("place", "candidate")).withColumn("candidate_key", institution_key(F.col("candidate")))
-    met = each.join(F.broadcast(known), "candidate_key", "left")
+    met = each.join(known, "candidate_key", "left")
     longest = F.max_by("candidate_key", F.struct(F.length("candidate"), -F.col("place")))
     return met.groupBy("id").agg(F.coalesce(F.min_by("known", F.when(F.col("known").isNotNull(), F.col("place"))), longest).alias("acronym"))
 

@@ -21,10 +21,7 @@ select event_id, event_type, day, percentile, place::int as place from p where p
 """)
 def w1_midrank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value", F.to_date("ts").alias("day"))
-    part = Window.partitionBy("day", "event_type")
-    less = F.rank().over(part.orderBy("value")) - 1
-    equal = F.count("*").over(Window.partitionBy("day", "event_type", "value"))
-    ranked = e.withColumn("percentile", F.round((less + 0.5 * equal) / F.count("*").over(part) * 100, 6))
+    ranked = mid_rank_percentile(e, ["day", "event_type"], "value").withColumn("percentile", F.round("percentile", 6))
     best = Window.partitionBy("event_type").orderBy(F.desc("percentile"), F.desc("value"), "event_id")
     return ranked.withColumn("place", F.row_number().over(best)).where("place <= 20").select("event_id", "event_type", "day", "percentile", "place")
 

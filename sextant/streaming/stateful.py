@@ -70,9 +70,9 @@ def first_seen(stream: DataFrame, folder: str | None = None, horizon_ms: int | N
 
 def with_silent_days(counts: DataFrame, source: str) -> DataFrame:
     """``counts(source, day, n)`` with a row of zero for each source and day between the first and the last day of all; the grid grows with sources and days, not with events."""
-    span = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    days = span.where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    grid = counts.select(source).distinct().join(F.broadcast(days))  # a row a day
+    lo, hi = counts.agg(F.min("day"), F.max("day")).first()
+    days = F.sequence(F.lit(lo), F.lit(hi)) if lo else F.array().cast("array<date>")
+    grid = counts.select(source).distinct().select(source, F.explode(days).alias("day"))
     return grid.join(counts, [source, "day"], "left").select(source, "day", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
