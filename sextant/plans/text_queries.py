@@ -89,7 +89,7 @@ def f14_registered_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(c: str) -> str:
-    for name, letter in (text.ENTITIES | {"&amp;": "&"}).items():
+    for name, letter in (text.ENTITIES | text.PAGE_ENTITIES | {"&amp;": "&"}).items():
         quoted = letter.replace("'", "''")
         c = f"replace({c}, '{name}', '{quoted}')"
     return c
@@ -105,7 +105,8 @@ def f15_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select page_id, trim(regexp_replace({_decoded("regexp_replace(html, '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) as plain from pages""")
 def f16_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
+    """Text of whole pages, with the further names that pages use."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.strip_tags(F.col("html"), text.PAGE_ENTITIES).alias("plain"))
 
 
 @query("""select page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as body from pages""")

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from sextant import queries
 from sextant.functions import extract, scoring, text, urls
 from sextant.operators import clusters
 from sextant.sources import feeds
@@ -57,3 +58,10 @@ def test_feeds_of_both_kinds(spark):
     atom = "<feed><entry><title>C</title><link href='q' rel=\"x\" href=\"http://x/2\"/><updated>2024-01-02T00:00:00Z</updated></entry></feed>"
     found = feeds.parse_feed(spark.createDataFrame([(1, rss), (2, atom), (3, None)], "feed int, body string")).orderBy("feed").collect()
     assert [(r.feed, r.title, r.link, str(r.ts)) for r in found] == [(1, "A &amp; B", "http://x/1", "2024-01-01 10:00:00"), (2, "C", "http://x/2", "2024-01-02 00:00:00")]
+
+
+def test_pages_keep_no_reference_of_the_further_names(spark, tmp_path):
+    html = "<p>&copy; 2024&nbsp;&middot; a&MIDDOT;b &amp;copy; &copyx; &bullet;</p>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert queries.queries()["f16_strip_tags"](spark, str(tmp_path)).first()["plain"] == "© 2024 · a·b &copy; &copyx; &bullet;"
+    assert one(spark, "&copy; &middot; &lt;", text.decode_entities) == "&copy; &middot; <"
