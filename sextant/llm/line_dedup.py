@@ -66,7 +66,8 @@ def lines_of(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     place = lambda x: let(words(x), lambda w: F.struct(x.alias("line"), leaf_of(w, depth).alias("leaf"), F.size(w).alias("n")))
     chars = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     both = let(lines_in(F.col("text")), lambda s: F.struct(F.transform(s, place).alias("lines"), set_of(s).alias("document"), chars(s).alias("chars")))
-    found = docs.where("text is not null").select("doc_id", both.alias("x")).select("doc_id", "x.document", "x.chars", F.explode("x.lines").alias("y"))
+    # an outer explode: where only leaves are read, the filters that Spark infers for an inner one work all lines out twice more; null rows fail the filter on n
+    found = docs.where("text is not null").select("doc_id", both.alias("x")).select("doc_id", "x.document", "x.chars", F.explode_outer("x.lines").alias("y"))
     return found.where(F.col("y.n") >= min_tokens).select("doc_id", "document", "chars", "y.line", "y.leaf")
 
 
@@ -132,8 +133,8 @@ def recurring(lines: DataFrame, depth: int, min_docs: int) -> tuple[DataFrame, D
     # each token is looked at once, before the rows are made
     placed = lambda w: F.filter(F.transform(w, lambda t, k: F.struct(k.alias("place"), F.when(~t.rlike("[0-9]"), F.xxhash64(t)).alias("t"))), lambda x: x["t"].isNotNull())
     spelt = distinct.select("leaf", "h", "sets", let(words(F.col("line")), lambda w: F.struct(F.size(w).alias("n"), placed(w).alias("placed"))).alias("x"))
-    each = spelt.select("leaf", "h", "sets", F.col("x.n").alias("n"), F.size("x.placed").alias("words"), F.explode("x.placed").alias("y"))
-    tokens = materialise(each.select("leaf", "h", "sets", "n", "words", "y.place", "y.t"), "line-tokens")
+    each = spelt.select("leaf", "h", "sets", F.col("x.n").alias("n"), F.size("x.placed").alias("words"), F.explode_outer("x.placed").alias("y"))
+    tokens = materialise(each.where("y is not null").select("leaf", "h", "sets", "n", "words", "y.place", "y.t"), "line-tokens")
     by_template = templates(tokens, pairs, depth, min_docs)
     whole = sets.where(F.col("sets") >= min_docs).join(by_template, ["leaf", "h"], "left_anti").select("leaf", "h", F.lit(None).cast("array<int>").alias("places"), F.col("sets").alias("n_docs"))
     return by_template.unionByName(whole), distinct

@@ -124,3 +124,13 @@ def test_links_of_long_texts(spark):
                 x, y = sorted((group[a], group[b]))
                 group = {k: x if v == y else v for k, v in group.items()}
     assert found == group and 1 < len(set(group.values())) < 40
+
+
+def test_lines_are_worked_out_once(spark):
+    """The filters that Spark infers for an inner explode had split, hashed and masked each text three times."""
+    texts = ["", " \n\t", "two words", "1 2 3\n1 2 3\n4 5 6 7", None]
+    lines = lines_of(frame_of(spark, enumerate(texts)), 3, 3)
+    assert lines.groupBy("leaf").count()._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 1
+    assert sorted((r["doc_id"], r["line"], r["chars"]) for r in lines.collect()) == [(3, "1 2 3", 12), (3, "4 5 6 7", 12)]
+    copies = frame_of(spark, ((k, f"1 2 3\nown {k} x{k}") for k in range(6)))
+    assert {r["h"] for r in recurring(lines_of(copies, 3, 3), 3, 5)[0].collect()} == {r[0] for r in spark.range(1).select(F.xxhash64(F.lit("1 2 3"))).collect()}
