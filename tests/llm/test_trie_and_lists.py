@@ -157,3 +157,61 @@ def test_no_vectors_and_clashing_names(spark):
 def test_the_walk_reaches_every_centroid(k):
     index = lists.Index(np.random.default_rng(k).normal(size=(k, 5)), 1.0)
     assert np.isfinite(index.search(np.ones((2, 5), np.float32), np.inf, 1)).all()
+
+
+def shuffled(spark):
+    """Bytes that all stages have written for others so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_rows_move_a_few_times_however_many_lists_are_read(spark):
+    r = np.random.default_rng(8)
+    vectors = r.normal(size=(16_000, 48))
+    vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(4).cache()
+    frame.count()
+    before = shuffled(spark)
+    found = lists.nearest(frame, frame.where("vec_id % 20 = 0"), 20).collect()
+    assert shuffled(spark) - before <= 4 * 16_000 * 48 * 4
+    x = vectors.astype(np.float32).astype(float)
+    own = defaultdict(set)
+    for row in found:
+        own[row["query_id"]].add(row["vec_id"])
+    hits = 0
+    for q in range(0, 16_000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(own[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 800
+    frame.unpersist()
+
+
+def test_many_blocks_and_guesses_that_are_too_high(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    vectors = np.round(r.normal(size=(1500, 8)) * r.uniform(0.1, 30, (1500, 1)), 2)
+    vectors[200:260] = vectors[20]
+    rows = [(k % 1400, v.tolist()) for k, v in enumerate(vectors)]
+    monkeypatch.setattr(lists, "BLOCK_BYTES", 4096)
+    # nobody reaches the guess, so all are asked again under sure bounds and see all lists
+    monkeypatch.setattr(lists.Index, "learn_bounds", lambda self, *_: setattr(self, "closer", 0.0))
+    assert answers(spark, rows) == plain_nearest(rows, 20)
+
+
+def test_vectors_of_doubles(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(400, 5)) * 1e30
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(y["query_id"], y["rank"]): y["score"] for y in lists.nearest(frame, frame.where("vec_id % 20 = 0"), 1).collect()}
+    assert found.keys() == {(q, 1) for q in range(0, 400, 20)}
+    best = [max(x[q] @ x[k] for k in range(400) if k != q) for q in range(0, 400, 20)]
+    assert sum(abs(found[q, 1] - b) <= 1e-12 * abs(b) for q, b in zip(range(0, 400, 20), best, strict=True)) >= 18
+
+
+def test_single_precision_errs_less_than_the_slack():
+    r = np.random.default_rng(10)
+    q, x = r.normal(size=(300, 64)), (r.normal(size=(500, 64)) * 10.0 ** r.integers(-6, 7, (500, 1))).astype(np.float32)
+    wrong = np.abs(lists.units(q) @ x.T - (q / np.sqrt((q * q).sum(1))[:, None]) @ x.T.astype(float))
+    assert (wrong <= lists.slack(x)).all()
