@@ -15,7 +15,7 @@
 
 Largest inner product is nearness in one more dimension: an entry x, in units of the greatest length, gets sqrt(1 - x * x), a query gets length 1 and zero.
 
-Bounds: the sample has at most ``SAMPLE`` vectors and ``SAMPLE_BYTES``; the centroids, at most one for 32 of these, are broadcast with their graph and ``GUESS`` of the sample.
+Bounds: the sample has at most ``SAMPLE`` vectors and ``SAMPLE_BYTES``; the centroids, at most one for 16 of these, are broadcast with their graph and ``GUESS`` of the sample.
 
 Edge cases: vectors that are null, empty, zero or hold a null or a non-finite component take no part, nor do those without vec_id or of another length than most
 (of lengths as frequent, the greater); rows that share a vec_id are one, at its best score; ties go to the smaller vec_id; where there are fewer
@@ -39,9 +39,9 @@ from .shared import file_system, materialise
 SAMPLE = 131_072
 SAMPLE_BYTES = 1 << 26
 #: Sampled vectors for each list.
-SHARE = 32
+SHARE = 16
 #: Lists that an entry stands in, and how much farther than the nearest the others' centroids may be.
-REPLICAS = 4
+REPLICAS = 8
 BOUNDARY = 1.2
 #: Links of a centroid, without those back.
 LINKS = 12
@@ -51,9 +51,9 @@ TRIALS = 256
 #: Sampled rows that bound a query's best at first.
 GUESS = 8192
 #: Bytes of the vectors of a block.
-BLOCK_BYTES = 256 << 20
+BLOCK_BYTES = 64 << 20
 #: Queries that a task compares at a time, and tasks for each core at least.
-HELD = 32_768
+HELD = 16_384
 TASKS = 2
 #: Rows worked on at a time.
 SHORT = 4096
@@ -77,22 +77,19 @@ class Index:
 
     def _link(self) -> None:
         c, k = self.centroids, len(self.centroids)
-        between = np.empty((k, k), np.float32)
-        near = np.empty((k, min(k, 4 * LINKS)), np.int64)
+        links: list[dict[int, None]] = [{} for _ in range(k)]
         for at in range(0, k, 256):
-            part = np.sqrt(np.maximum(0, self.squares[at : at + 256, None] + self.squares[None] - 2 * (c[at : at + 256] @ c.T)))
+            part = self._between(np.arange(at, min(k, at + 256)), np.arange(k))
             part[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
-            between[at : at + 256] = part
-            near[at : at + 256] = np.argsort(part, axis=1, kind="stable")[:, : 4 * LINKS]
-        links: list[dict[int, None]] = [{} for _ in range(k)]
-        for a in range(k):
-            own: list[int] = []
-            for b in near[a].tolist():
-                # a link is spared where one that is kept leads nearer
-                if len(own) < LINKS and b != a and (not own or between[b, own].min() > between[a, b]):
-                    own.append(b)
-            for b in own:
-                links[a][b] = links[b][a] = None
+            for a, near in enumerate(np.argsort(part, axis=1, kind="stable")[:, : 4 * LINKS], at):
+                among = self._between(near, near)
+                own: list[int] = []
+                for b in range(len(near)):
+                    # a link is spared where one that is kept leads nearer
+                    if len(own) < LINKS and near[b] != a and (not own or among[b, own].min() > part[a - at, near[b]]):
+                        own.append(b)
+                for b in near[own].tolist():
+                    links[a][b] = links[b][a] = None
         self.entry = int(self.squares.argmin())
         reached, rest = {self.entry}, [self.entry]
         while True:
@@ -103,8 +100,7 @@ class Index:
                 break
             inside = sorted(reached)
             outside = [a for a in range(k) if a not in reached]
-            a, b = np.unravel_index(int(between[np.ix_(inside, outside)].argmin()), (len(inside), len(outside)))
-            a, b = inside[a], outside[b]
+            a, b = inside[0], outside[int(self._between(np.array(inside[:1]), np.array(outside))[0].argmin())]
             links[a][b] = links[b][a] = None
             reached.add(b)
             rest = [b]
@@ -112,6 +108,10 @@ class Index:
         for a, own in enumerate(links):
             self.links[a, : len(own)] = list(own)
 
+    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        c = self.centroids
+        return np.sqrt(np.maximum(0, self.squares[a, None] + self.squares[b] - 2 * (c[a] @ c[b].T)))
+
     def extended(self, x: np.ndarray, query: bool) -> np.ndarray:
         x = x / self.greatest
         square = (x * x).sum(1)
@@ -124,33 +124,39 @@ class Index:
 
         The walk goes on from the nearest centroid not left yet, until ``least`` have been left and that is farther than ``ratio`` times the ``REPLICAS``-th nearest met.
         """
+        return self._walk(points, ratio, least)[0]
+
+    def _walk(self, points: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(what ``search`` gives, distance of the ``REPLICAS``-th nearest met)."""
         m, k = len(points), len(self.centroids)
         own = (points.astype(np.float64) ** 2).sum(1)
-        met = np.full((m, k), np.inf)
-        ahead = np.full((m, k), np.inf)
+        met = np.full((m, k), np.inf, np.float32)
+        ahead = np.full((m, k), np.inf, np.float32)
+        place = min(REPLICAS, k) - 1
+        nearest = np.full((m, place + 1), np.inf, np.float32)
 
         def meet(rows: np.ndarray, nodes: np.ndarray) -> None:
-            rows, nodes = np.repeat(rows, nodes.shape[1]), nodes.ravel()
-            new = (nodes >= 0) & ~np.isfinite(met[rows, nodes])
-            rows, nodes = rows[new], nodes[new]
-            dots = np.einsum("ij,ij->i", points[rows], self.centroids[nodes])
-            met[rows, nodes] = ahead[rows, nodes] = np.sqrt(np.maximum(0, own[rows] + self.squares[nodes] - 2 * dots))
+            new = (nodes >= 0) & ~np.isfinite(met[rows[:, None], nodes])
+            far = np.full(nodes.shape, np.inf, np.float32)
+            at, nodes = np.nonzero(new)[0], nodes[new]
+            dots = np.einsum("ij,ij->i", points[rows[at]], self.centroids[nodes])
+            far[new] = np.sqrt(np.maximum(0, own[rows[at]] + self.squares[nodes] - 2 * dots))
+            met[rows[at], nodes] = ahead[rows[at], nodes] = far[new]
+            nearest[rows] = np.partition(np.concatenate((nearest[rows], far), 1), place, axis=1)[:, : place + 1]
 
         rows = np.arange(m)
         meet(rows, np.full((m, 1), self.entry))
-        left, place = 0, min(REPLICAS, k) - 1
-        base = np.full(m, np.inf)
+        left = 0
         while len(rows):
             node = ahead[rows].argmin(1)
             far = ahead[rows, node]
-            if left >= least and left % 4 == 0:
-                base[rows] = np.partition(met[rows], place, axis=1)[:, place]
-            on = np.isfinite(far) & (far <= ratio * base[rows])
+            base = nearest[rows].max(1) if left >= least else np.inf
+            on = np.isfinite(far) & (far <= ratio * base)
             rows, node = rows[on], node[on]
             ahead[rows, node] = np.inf
             meet(rows, self.links[node])
             left += 1
-        return met
+        return met, nearest.max(1).astype(np.float64)
 
     def lists_of_entries(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that entries join."""
@@ -172,16 +178,15 @@ class Index:
 
     def base(self, x: np.ndarray) -> np.ndarray:
         """Distance of queries to the ``REPLICAS``-th nearest centroid that the walk meets."""
-        met = self.search(self.extended(x, True), 1.0, 2 * REPLICAS)
-        place = min(REPLICAS, met.shape[1]) - 1
-        return np.partition(met, place, axis=1)[:, place]
+        return self._walk(self.extended(x, True), 1.0, 2 * REPLICAS)[1]
 
     def first_bounds(self, x: np.ndarray, most: int) -> np.ndarray:
         """What the ``most``-th best inner product of each query, taken as of length 1, reaches at least."""
         if len(self.guess) < most:
             return np.full(len(x), -np.inf)
         unit, rows = units(x), self.guess.astype(np.float32)
-        scores = unit @ rows.T - slack(rows)
+        scores = unit @ rows.T
+        scores -= slack(rows)
         return np.partition(scores, -most, axis=1)[:, -most].astype(np.float64)
 
     def likely_bounds(self, x: np.ndarray, most: int) -> np.ndarray:
@@ -353,8 +358,8 @@ def _bounded(batches: Iterator[pa.RecordBatch], index: object, most: int, every:
     """Queries (key, vec) with the distance of the farthest centroid whose list they take, and what their best reach at least."""
     own = index.value
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            rows = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256)
             x = matrix(rows.column("vec"))
             cut = np.full(len(x), np.inf) if every or np.isinf(own.ratio) else own.ratio * own.base(x)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cut), pa.array(own.first_bounds(x, most) if every else own.likely_bounds(x, most))], [*rows.schema.names, "cut", "least"])
